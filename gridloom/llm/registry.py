@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding, token_counts, toxicity, url_filter
+from . import bpe, embed_dedup, knn, mixing, sharding, token_counts, toxicity, url_filter
 from .common import table
 
 #: Bytes of text in a shard, at most.
@@ -22,6 +22,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every vector."""
+    return embed_dedup.link_embeddings(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -52,6 +57,22 @@ select doc_id, n_bytes,
 from f where k = 1"""
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id and score of the ten best candidates of every hundredth vector."""
+    return knn.top_k(table(spark, sf_dir, "embeddings"), 10, 100, 1024)
+
+
+TOPK_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as x
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.x::double[], c.x::double[])::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as k from s)
+select query_id, k::int as rank, vec_id, score from r where k <= 10"""
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -71,5 +92,5 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_bpe, op4_sharding, op6_token_counts, op7_mixing, op9_urls)}
-ORACLES = {"op4_sharding": _shards_sql(SHARD_BYTES)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_bpe, op4_sharding, op5_topk, op6_token_counts, op7_mixing, op9_urls)}
+ORACLES = {"op4_sharding": _shards_sql(SHARD_BYTES), "op5_topk": TOPK_SQL}
