@@ -41,6 +41,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_or_many(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """``df``, stored, with a hint to broadcast it if it has at most ``most`` rows (of a few numbers); else it is shuffled."""
+    df = stored(df, "side")
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A spanning forest of a partition's edges, as (a, root) rows."""
     parent: dict[int, int] = {}

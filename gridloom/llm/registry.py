@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, knn, mixing, sharding, token_counts, toxicity, url_filter
+from . import bpe, embed_dedup, knn, minhash, mixing, sharding, token_counts, toxicity, url_filter
 from .common import table
 
 #: Bytes of text in a shard, at most.
@@ -92,5 +92,10 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_bpe, op4_sharding, op5_topk, op6_token_counts, op7_mixing, op9_urls)}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, component_id and kept of every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_bpe, op4_sharding, op5_topk, op6_token_counts, op7_mixing, op9_urls, op10_minhash)}
 ORACLES = {"op4_sharding": _shards_sql(SHARD_BYTES), "op5_topk": TOPK_SQL}
