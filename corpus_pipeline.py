@@ -1,8 +1,53 @@
-"""Documents to training text."""
+"""Documents to training text: toxic ones go, near copies go, personal data is replaced, sources are mixed, texts become token ids."""
 
-STAGES: list = []
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm import bpe, minhash, mixing, pii, toxicity
+from gridloom.llm.common import shared_dir, table
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the noisy-or of sentence scores doesn't call toxic."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs, model)
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return minhash.deduplicate(docs)
+
+
+def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates for personal data; n_chars follows the text."""
+    return pii.pseudonymise(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mix_documents(docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with the hashes of the ids and of what they decode to."""
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, columns=["doc_id", "lang", "source"])
+
+
+STAGES = [("toxicity", not_toxic), ("near copies", without_near_copies), ("personal data", pseudonymised), ("mixing", mixed), ("byte-level BPE", encoded)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = f"{shared_dir(spark)}/stages/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, knn, minhash, mixing, sharding, token_counts, toxicity, url_filter
+from . import bpe, embed_dedup, knn, minhash, mixing, pii, sharding, token_counts, toxicity, url_filter
 from .common import table
 
 #: Bytes of text in a shard, at most.
@@ -87,6 +87,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the text with surrogates, their number and places, of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs).select("doc_id", "text", F.size("pii").alias("n_entities"), "pii")
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule and verdict of every page."""
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
@@ -97,5 +103,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_bpe, op4_sharding, op5_topk, op6_token_counts, op7_mixing, op9_urls, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_bpe, op4_sharding, op5_topk, op6_token_counts, op7_mixing, op8_pii, op9_urls, op10_minhash)}
 ORACLES = {"op4_sharding": _shards_sql(SHARD_BYTES), "op5_topk": TOPK_SQL}
