@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import few_or_many, stored
 
 #: Places of the hashed weight vector.
 PLACES = 1 << 18
@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     for label, n in sizes.items():
         keep = keep | ((F.col("label") == label) & (order < int((1 << 40) * min(1.0, sample / n))))
     picked = known.where(keep).withColumn("order", order)
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(picked, "id")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(few_or_many(picked), "id")
     bags = stored(texts.select("order", "label", "text").mapInPandas(_bags, "order long, label int, bag array<array<int>>"), "bags")
     row = bags.coalesce(1).mapInPandas(_fit_all, "weights binary, bias double").first()
     return Model(np.frombuffer(row.weights, dtype=np.float32).copy(), row.bias)
