@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .queries import common, folds, joins, maps, programs, regions
+
+MODULES = (maps, joins, folds, regions, programs)
+QUERIES = common.QUERIES
+ORACLES = common.ORACLES
