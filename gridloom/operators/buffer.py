@@ -71,6 +71,8 @@ class Buffer:
             raise ValueError(f"a snapshot of {extent} is over {most} cells: write the buffer instead")
         part = self.box(offset or [0] * len(extent), extent, rebase=True)
         pdf = part.df.select(*self.keys, *self.values).toPandas()
+        if not extent:
+            return np.array(pdf[self.values[0]].iat[0])
         if len(self.values) == 1:
             out = np.zeros(extent, dtype=pdf[self.values[0]].dtype)
             out[tuple(pdf[k] for k in self.keys)] = pdf[self.values[0]]

@@ -240,7 +240,8 @@ def scan(df: DataFrame, order: str, value: str, name: str = "scan", by: Sequence
     inside = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     totals = df.groupBy(*by, "_b").agg(F.sum(value).alias("_t"))
     if (totals.agg(F.max("_b")).first()[0] or 0) >= block:
-        before = scan(totals, "_b", "_t", "_before", by, False, block).select(*by, "_b", "_before")
+        upper = totals.withColumnsRenamed({"_b": "_at", "_t": "_each"})
+        before = scan(upper, "_at", "_each", "_prev", by, False, block).select(*by, F.col("_at").alias("_b"), F.col("_prev").alias("_before"))
     else:
         earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         before = totals.select(*by, "_b", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_before"))

@@ -81,6 +81,8 @@ def _sweep(layers: Sequence[Sequence[Box]], keep: Callable[[tuple[bool, ...]], b
     if dims == 0:
         return [Box((), ())] if keep(tuple(bool(layer) for layer in layers)) else []
     cuts = sorted({x for layer in layers for b in layer if not b.empty for x in (b.min[0], b.max[0])})
+    if not cuts:
+        return []
     done: list[Box] = []
     running: dict[tuple[tuple[int, ...], tuple[int, ...]], int] = {}  # cross-section box -> where it began
     for lo, hi in zip(cuts, [*cuts[1:], None], strict=True):
