@@ -29,34 +29,38 @@ DOUBT = 0.5
 TILE, POOL = 256, 20_000
 
 _M1, _M2, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x100000001B3)
-_PLACES = 1 << 16  # entries of a table of draws
+#: Entries of the tables of draws of c, and of r with beta.
+_PLACES, _PAIRS = 1 << 16, 1 << 14
 
 
-class _Hashes(dict):
-    """64-bit hashes of words; starts anew when it is large."""
+#: ASCII white space, by byte; powers of a word hash's base by place.
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_POWERS = np.cumprod(np.full(1 << 16, _STEP))
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(word) <= 64:
-            self[word] = h
-        return h
 
-
-_HASHES = _Hashes()
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word in order: what stands between ASCII white space, in lower case."""
+    raw = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
+    at = np.flatnonzero(~_SPACE[raw])
+    if not len(at):
+        return np.empty(0, np.uint64)
+    starts = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+    place = np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))
+    w = np.add.reduceat((raw[at].astype(np.uint64) + np.uint64(1)) * _POWERS[place & 0xFFFF], starts)
+    w ^= w >> np.uint64(32)
+    w *= _M2
+    return w ^ (w >> np.uint64(29))
 
 
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of a text's different shingles in ascending order, and how often each is in it.
 
-    Words are what stands between white space, in lower case. A text of fewer
-    words than a shingle has is one shingle; one without words has none.
+    A text of fewer words than a shingle has is one shingle; one without words
+    has none.
     """
-    words = (text or "").lower().split()
-    if not words:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    w = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    w = word_hashes(text or "")
+    if not len(w):
+        return w, np.empty(0, np.int64)
     n = min(WORDS, len(w))
     h = w[: len(w) - n + 1].copy()
     for j in range(1, n):
@@ -104,14 +108,14 @@ class _Draws:
 
     def __init__(self, steps: int = 96):
         rng = np.random.Generator(np.random.PCG64(2010))
-        r, beta = rng.gamma(2.0, 1.0, _PLACES), rng.random(_PLACES)
+        r, beta = rng.gamma(2.0, 1.0, _PAIRS), rng.random(_PAIRS)
         self.ln_c = np.log(rng.gamma(2.0, 1.0, _PLACES)).astype(np.float32)
         t = np.floor(np.arange(steps)[:, None] * (np.log(2) / 16) / r + beta)
         self.t = t.astype(np.int32).ravel()
         self.fall = (-r * (t - beta + 1)).astype(np.float32).ravel()
         self.steps = steps
-        self.keys = rng.integers(1 << 62, size=SAMPLES, dtype=np.int64).astype(np.uint64)[:, None]
-        self.odd = rng.integers(1 << 62, size=SAMPLES, dtype=np.int64).astype(np.uint64)[:, None] | np.uint64(1)
+        self.keys = rng.integers(1 << 32, size=SAMPLES, dtype=np.int64).astype(np.uint32)[:, None]
+        self.odd = rng.integers(1 << 32, size=SAMPLES, dtype=np.int64).astype(np.uint32)[:, None] | np.uint32(1)
 
 
 _DRAWS: list[_Draws] = []
@@ -129,21 +133,23 @@ def sample(h: np.ndarray, step: np.ndarray) -> np.ndarray:
     best = np.full(SAMPLES, np.inf, np.float32)
     out = np.zeros(SAMPLES, np.uint64)
     row = np.arange(SAMPLES)
-    step = np.minimum(step, d.steps - 1)
+    low = (h ^ (h >> np.uint64(32))).astype(np.uint32)
+    base = np.minimum(step, d.steps - 1).astype(np.intp) * _PAIRS
     for at in range(0, len(h), 512):
-        x = (h[None, at : at + 512] ^ d.keys) * d.odd
-        x ^= x >> np.uint64(32)
-        x *= _M1
-        pick = (x >> np.uint64(48)).astype(np.int32)
-        pick += (step[at : at + 512] * _PLACES).astype(np.int32)[None, :]
-        x >>= np.uint64(32)
-        x &= np.uint64(_PLACES - 1)
-        a = d.ln_c.take(x.astype(np.int32))
-        a += d.fall.take(pick)
+        x = (low[None, at : at + 512] ^ d.keys) * d.odd
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x2C1B3C6D)
+        x ^= x >> np.uint32(16)
+        x *= np.uint32(0x297A2D39)
+        pick = (x >> np.uint32(18)).astype(np.intp)
+        pick += base[None, at : at + 512]
+        x &= np.uint32(_PLACES - 1)
+        a = d.ln_c.take(x.astype(np.intp), mode="clip")
+        a += d.fall.take(pick, mode="clip")
         i = a.argmin(axis=1)
-        low = a[row, i]
-        better = low < best
-        best[better] = low[better]
+        least = a[row, i]
+        better = least < best
+        best[better] = least[better]
         mark = (h[at + i] + d.t[pick[row, i]].astype(np.int64).astype(np.uint64) * _M2) * _M1
         out[better] = mark[better]
     return out
@@ -186,12 +192,18 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for row in (0, 1):
         for at in range(0, COUNTERS, BLOCK):
             c = counts[row][at : at + BLOCK]
-            if c.any():
-                yield pd.DataFrame({"block": [(row * COUNTERS + at) // BLOCK], "part": [group], "counts": [zlib.compress(c.tobytes(), 1)]})
+            if c.any():  # a task has fewer than 2**32 documents
+                yield pd.DataFrame({"block": [(row * COUNTERS + at) // BLOCK], "part": [group], "counts": [zlib.compress(c.astype(np.uint32).tobytes(), 1)]})
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    """A block of counters: of 32 bits from a task, of 64 bits where many tasks are added up."""
+    got = zlib.decompress(raw)
+    return np.frombuffer(got, np.uint32).astype(np.int64) if len(got) == 4 * BLOCK else np.frombuffer(got, np.int64)
 
 
 def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in pdf["counts"])
+    total = sum(_wide(x) for x in pdf["counts"])
     return pd.DataFrame({"block": [pdf["block"].iat[0]], "part": [pdf["part"].iat[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
 
@@ -207,7 +219,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
     full = stored(part.groupBy("block").applyInPandas(_summed, kind), "frequencies").collect()
     counts, n = np.zeros(2 * COUNTERS, np.int64), 0
     for r in full:
-        c = np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64)
+        c = _wide(bytes(r.counts))
         if r.block < 0:
             n = int(c[0])
         else:
