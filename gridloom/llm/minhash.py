@@ -25,8 +25,8 @@ COUNTERS, BLOCK = 1 << 22, 1 << 14
 RARE, SPAN = 2.0**-12, 0.5
 #: Pairs whose samples agree less often than this aren't verified: more than five standard errors below 0.8.
 DOUBT = 0.5
-#: Members of a bucket in a tile, and rows of small buckets in a task, about.
-TILE, POOL = 256, 20_000
+#: Members of a bucket in a tile, members of a bucket whose pairs are listed, and rows of such buckets in a task, about.
+TILE, SMALL, POOL = 256, 64, 2000
 
 _M1, _M2, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x100000001B3)
 #: Entries of the tables of draws of c, and of r with beta.
@@ -227,90 +227,90 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
     return levels(counts, n).reshape(2, COUNTERS)
 
 
-def tile_pairs(a: tuple, b: tuple | None, depth: int, doubt: float = DOUBT) -> list[tuple[int, int, bool]]:
-    """Pairs of two tiles (ids, components, samples), or within one, that may be near copies.
-
-    Only pairs of different components whose samples agree often enough; for
-    each member at most the ``depth`` likeliest in each other component. The
-    flag says that a member had more.
-    """
-    (ia, ca, sa), (ib, cb, sb) = a, b or a
-    agree = np.zeros((len(ia), len(ib)), np.int16)
-    for k in range(sa.shape[1]):
-        agree += sa[:, k, None] == sb[None, :, k]
-    ok = (agree >= doubt * sa.shape[1]) & (ca[:, None] != cb[None, :])
-    if b is None:
-        ok &= np.tri(len(ia), dtype=bool).T
-    i, j = np.nonzero(ok)
-    if not len(i):
-        return []
-    p = pd.DataFrame({"a": ia[i], "b": ib[j], "ca": ca[i], "cb": cb[j], "s": agree[i, j]}).sort_values(["s", "a", "b"], ascending=[False, True, True])
-    first, second = p.groupby(["a", "cb"]).cumcount(), p.groupby(["b", "ca"]).cumcount()
-    keep = (first < depth) | (second < depth)
-    more = ~keep.all()
-    return [(min(x, y), max(x, y), bool(more)) for x, y in zip(p["a"][keep].tolist(), p["b"][keep].tolist(), strict=True)]
+def likely_pairs(ids: np.ndarray, comps: np.ndarray, sigs: np.ndarray, doubt: float = DOUBT) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a < b) of different components, within one small bucket, whose samples agree often enough."""
+    agree = np.zeros((len(ids), len(ids)), np.int16)
+    for k in range(sigs.shape[1]):
+        agree += sigs[:, k, None] == sigs[None, :, k]
+    i, j = np.nonzero((agree >= doubt * sigs.shape[1]) & (comps[:, None] != comps[None, :]) & (ids[:, None] < ids[None, :]))
+    return ids[i], ids[j]
 
 
-def _tile(ids, comps, sigs) -> tuple:
-    return np.asarray(ids, np.int64), np.asarray(comps, np.int64), np.frombuffer(b"".join(sigs), np.uint16).reshape(-1, SAMPLES)
+def similarities(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np.ndarray]], width: int = 4096) -> np.ndarray:
+    """The weighted Jaccard similarity of each set of ``a`` with each of ``b``, by matrix products.
 
+    A sum of minima is a product of 0/1 matrices: a shingle has a column for
+    each weight that it takes, which counts what that weight is above the one
+    before. Shingles that only one set has add nothing and are left out; columns
+    are taken ``width`` at a time.
+    """
+    every = [*a, *b]
+    owner = np.repeat(np.arange(len(every)), [len(h) for h, _ in every])
+    h, step = np.concatenate([x[0] for x in every]), np.concatenate([x[1] for x in every])
+    total = np.bincount(owner, weights=2.0 ** (step / 16), minlength=len(every))
+    order = np.lexsort((step, h))
+    h, step, owner = h[order], step[order], owner[order]
+    new = np.empty(len(h), bool)
+    if len(h):
+        new[0], new[1:] = True, h[1:] != h[:-1]
+    many = np.diff(np.flatnonzero(np.append(new, True))) if len(h) else np.empty(0, int)
+    keep = np.repeat(many > 1, many)
+    h, step, owner, new = h[keep], step[keep], owner[keep], new[keep]
+    level = new | np.append(True, step[1:] != step[:-1])[: len(step)]  # a shingle's next weight
+    column = np.cumsum(level) - 1
+    first = column[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))] if len(h) else column
+    weight = 2.0 ** (step[level] / 16)
+    above = weight - np.where(new[level], 0.0, np.append(0.0, weight[:-1])[: len(weight)])
+    n_col = int(column[-1]) + 1 if len(column) else 0
+    # An entry stands for its column and those of the shingle's lower weights.
+    reps = column - first + 1
+    at = np.repeat(first, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+    who = np.repeat(owner, reps)
+    by = np.argsort(at, kind="stable")
+    at, who = at[by], who[by]
+    both = np.zeros((len(a), len(b)))
+    for lo in range(0, n_col, width):
+        p, q = np.searchsorted(at, (lo, lo + width))
+        x = np.zeros((len(every), min(width, n_col - lo)))
+        x[who[p:q], at[p:q] - lo] = 1.0
+        both += (x[: len(a)] * above[lo : lo + width]) @ x[len(a) :].T
+    union = total[: len(a), None] + total[None, len(a) :] - both
+    return np.divide(both, union, out=np.zeros_like(both), where=union > 0)
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links (a, b), enough to connect what they connect."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        p, q = find(x), find(y)
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((min(x, y), max(x, y)))
+    return out
 
-def _pooled(depth: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: set[tuple[int, int, bool]] = set()
-        for _, g in pdf.groupby("key"):
-            out.update(tile_pairs(_tile(g["rep"], g["comp"], g["sig"]), None, depth))
-        return pd.DataFrame(sorted(out), columns=["a", "b", "more"]).astype({"a": np.int64, "b": np.int64, "more": bool})
 
-    return run
+def _listed(pdf: pd.DataFrame) -> pd.DataFrame:
+    out: set[tuple[int, int]] = set()
+    for _, g in pdf.groupby("key"):
+        sigs = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(-1, SAMPLES)
+        a, b = likely_pairs(g["rep"].to_numpy(np.int64), g["comp"].to_numpy(np.int64), sigs)
+        out.update(zip(a.tolist(), b.tolist(), strict=True))
+    return pd.DataFrame(sorted(out), columns=["a", "b"]).astype({"a": np.int64, "b": np.int64})
 
 
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("rep")
-    one = pdf["comp"].nunique() == 1
-    return pd.DataFrame({"key": [pdf["key"].iat[0]], "block": [pdf["block"].iat[0]], "pure": [pdf["comp"].iat[0] if one else None], "ids": [pdf["rep"].to_numpy(np.int64).tobytes()], "comps": [pdf["comp"].to_numpy(np.int64).tobytes()], "sigs": [b"".join(pdf["sig"])]}).astype({"pure": "Int64"})
-
-
-def _crossed(depth: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, r in pdf.iterrows():
-                x = _tile(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["comps"], np.int64), [r["sigs"]])
-                same = r["block"] == r["block2"]
-                y = None if same else _tile(np.frombuffer(r["ids2"], np.int64), np.frombuffer(r["comps2"], np.int64), [r["sigs2"]])
-                got = tile_pairs(x, y, depth)
-                if got:
-                    yield pd.DataFrame(got, columns=["a", "b", "more"])
-
-    return run
-
-
-def _candidates(members: DataFrame, reps: DataFrame, depth: int) -> DataFrame:
-    """(a, b, more) from ``members(key, rep, comp)`` of buckets that hold several components."""
-    spark = members.sparkSession
-    full = members.join(reps.select("rep", "sig"), "rep")
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    small = full.join(sizes.where(F.col("n") <= 2 * TILE), "key", "left_semi")
-    pools = max(1, total // POOL)
-    out = small.groupBy(F.pmod(F.xxhash64("key"), F.lit(pools)).alias("pool")).applyInPandas(_pooled(depth), "a long, b long, more boolean")
-    large = sizes.where(F.col("n") > 2 * TILE)
-    if large.isEmpty():
-        return out
-    rows = full.join(large, "key")
-    each = rows.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    alone = F.col("m") > TILE
-    rest = each.groupBy("key").agg(F.sum(F.when(~alone, F.col("m"))).alias("rest"))
-    each = each.join(rest, "key").withColumn("deal", F.when(alone, F.ceil(F.col("m") / TILE)).otherwise(F.ceil(F.col("rest") / TILE)))
-    block = F.when(alone, F.concat_ws(":", "comp", F.pmod(F.xxhash64("rep"), "deal"))).otherwise(F.concat(F.lit("-"), F.pmod(F.xxhash64("comp"), "deal").cast("string")))
-    dealt = rows.join(each, ["key", "comp"]).select("key", "rep", "comp", "sig", block.alias("block"))
-    packed = stored(dealt.groupBy("key", "block").applyInPandas(_pack, "key long, block string, pure long, ids binary, comps binary, sigs binary"), "blocks")
-    x, y = packed.select("key", "block", "pure"), packed.select("key", F.col("block").alias("block2"), F.col("pure").alias("pure2"))
-    meet = x.join(y, "key").where("block <= block2 and coalesce(pure <> pure2, true)").select("key", "block", "block2")
-    right = packed.select("key", F.col("block").alias("block2"), F.col("ids").alias("ids2"), F.col("comps").alias("comps2"), F.col("sigs").alias("sigs2"))
-    both = meet.join(packed.drop("pure"), ["key", "block"]).join(right, ["key", "block2"])
-    wide = both.repartition(max(8, spark.sparkContext.defaultParallelism))
-    return out.unionByName(wide.mapInPandas(_crossed(depth), "a long, b long, more boolean"))
+    pure = pdf["comp"].iat[0] if pdf["comp"].nunique() == 1 else None
+    return pd.DataFrame({"key": [pdf["key"].iat[0]], "block": [pdf["block"].iat[0]], "pure": pd.array([pure], "Int64"), "ids": [pdf["rep"].tolist()], "comps": [pdf["comp"].tolist()], "texts": [pdf["text"].tolist()]})
 
 
 class NearDuplicates:
@@ -342,7 +342,7 @@ class NearDuplicates:
         return self.docs.mapInPandas(run, "id long, key binary, sig binary, bands array<long>")
 
     def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """Adds ``near`` to pairs (a, b): whether their similarity is at least ``least``."""
+        """Those of the pairs (a, b) whose similarity is at least ``least``."""
         sent, least = self.sent, self.least
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -359,11 +359,46 @@ class NearDuplicates:
                     if held[0] != a:
                         held = a, of(x)
                     near.append(similarity(held[1], of(y)) >= least)
-                yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "near": near})
+                yield pdf.loc[near, ["a", "b"]]
 
         side = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("y")), "b")
         both = side.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("x")), "a")
-        return both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long, near boolean")
+        return both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+
+    def crossed(self, members: DataFrame, texts: DataFrame) -> DataFrame:
+        """Links (a, b) that join the components of large buckets ``members(key, rep, comp)``, found in tiles."""
+        sent, least = self.sent, self.least
+        each = members.groupBy("key", "comp").agg(F.count("*").alias("m"))
+        alone = F.col("m") > TILE
+        rest = each.groupBy("key").agg(F.sum(F.when(~alone, F.col("m"))).alias("rest"))
+        each = each.join(rest, "key").withColumn("deal", F.when(alone, F.ceil(F.col("m") / TILE)).otherwise(F.ceil(F.col("rest") / TILE)))
+        block = F.when(alone, F.concat_ws(":", "comp", F.pmod(F.xxhash64("rep"), "deal"))).otherwise(F.concat(F.lit("-"), F.pmod(F.xxhash64("comp"), "deal").cast("string")))
+        dealt = stored(members.join(each, ["key", "comp"]).select("key", "rep", "comp", block.alias("block")), "dealt")
+        packed = dealt.join(texts, "rep").groupBy("key", "block").applyInPandas(_pack, "key long, block string, pure long, ids array<long>, comps array<long>, texts array<string>")
+        packed = stored(packed, "blocks")
+        x, y = packed.select("key", "block", "pure"), packed.select("key", F.col("block").alias("block2"), F.col("pure").alias("pure2"))
+        meet = x.join(y, "key").where("block <= block2 and coalesce(pure <> pure2, true)").select("key", "block", "block2")
+        right = packed.select("key", F.col("block").alias("block2"), *[F.col(c).alias(f"{c}2") for c in ("ids", "comps", "texts")])
+        both = meet.join(packed.drop("pure"), ["key", "block"]).join(right, ["key", "block2"])
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            idf = sent.value
+
+            def of(text: str):
+                h, tf = shingles(text)
+                return h, weights(h, tf, idf)
+
+            for pdf in batches:
+                for _, r in pdf.iterrows():
+                    a = [of(t) for t in r["texts"]]
+                    b = a if r["block"] == r["block2"] else [of(t) for t in r["texts2"]]
+                    ok = (similarities(a, b) >= least) & (np.asarray(r["comps"])[:, None] != np.asarray(r["comps2"])[None, :])
+                    i, j = np.nonzero(ok)
+                    got = forest(np.asarray(r["ids"])[i], np.asarray(r["ids2"])[j])
+                    if got:
+                        yield pd.DataFrame(got, columns=["a", "b"])
+
+        return both.repartition("key", "block", "block2").mapInPandas(run, "a long, b long")
 
     def classes(self) -> DataFrame:
         """(id, component) of the documents with words."""
@@ -374,26 +409,26 @@ class NearDuplicates:
         put = reps.select("rep", F.explode("bands").alias("key")).distinct()
         shared = put.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("key", "lead")
         members = stored(put.join(shared, "key"), "buckets")
-        involved = members.select("rep").distinct()
-        texts = self.docs.select(F.col("id").alias("rep"), "text").join(few_or_many(involved), "rep").dropDuplicates(["rep"])
+        texts = self.docs.select(F.col("id").alias("rep"), "text").join(few_or_many(members.select("rep").distinct()), "rep").dropDuplicates(["rep"])
         texts = stored(texts, "involved")
         pairs = members.where("lead < rep").groupBy("rep").agg(F.min("lead").alias("a")).select("a", F.col("rep").alias("b"))
-        tried = stored(self.verified(pairs, texts), "verified")
+        links = stored(self.verified(pairs, texts), "links")
+        # Buckets whose members are still in several components.
+        comp = components(links)
+        state = members.select("key", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+        state = stored(state, "state")
+        sizes = state.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", "n")
+        sizes = stored(sizes, "open")
+        small = state.join(sizes.where(F.col("n") <= SMALL).select("key"), "key", "left_semi")
+        pools = max(1, (sizes.where(F.col("n") <= SMALL).agg(F.sum("n")).first()[0] or 0) // POOL)
+        listed = small.join(one, "rep").groupBy(F.pmod(F.xxhash64("key"), F.lit(pools)).alias("pool")).applyInPandas(_listed, "a long, b long")
+        fresh = stored(listed.distinct().join(pairs, ["a", "b"], "left_anti"), "fresh")
+        links = links.unionByName(stored(self.verified(fresh, texts), "links"))
+        large = state.join(sizes.where(F.col("n") > SMALL).select("key"), "key", "left_semi")
+        if not sizes.where(F.col("n") > SMALL).isEmpty():
+            links = links.unionByName(stored(self.crossed(large, texts), "links"))
         copies = sigs.join(reps.select("key", "rep"), "key").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-        depth = 1
-        while True:
-            comp = components(tried.where("near").select("a", "b"))
-            state = members.select("key", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-            state = stored(state, "state")
-            open_ = state.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-            found = stored(_candidates(state.join(open_, "key", "left_semi"), one, depth), "candidates")
-            fresh = stored(found.select("a", "b").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), "fresh")
-            if fresh.isEmpty() and found.where("more").isEmpty():
-                break
-            tried = stored(tried.unionByName(self.verified(fresh, texts)), "verified")
-            depth *= 4
-        edges = copies.unionByName(tried.where("near").select("a", "b"))
-        comp = components(edges)
+        comp = components(copies.unionByName(links))
         ids = sigs.select("id").distinct()
         return ids.join(comp, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
@@ -408,17 +443,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     One row for each different id. Null and empty texts, and those without
     words, link with nothing and are kept. A null id gives no row. An id with
-    several texts is one document, compared by one of them in the rounds. Other
-    columns are not read; an empty table gives no rows.
+    several texts is one document, compared by one of them. Other columns are
+    not read; an empty table gives no rows.
 
     Document frequencies are counted over all documents in a sketch of fixed
     size. Each text gives consistent weighted samples, four to a band; documents
     of equal text form one class, whose smallest id stands for it. Members of a
-    band's bucket are first compared with its smallest id. Buckets whose members
-    are then still in several components are searched in tiles for pairs of
-    different components whose samples agree; these are verified in rounds until
-    no pair is left, so that a hot bucket costs what its components differ in,
-    not the square of its size. Only verified pairs link.
+    band's bucket are first compared with its smallest id. Then only buckets
+    whose members are in several components are open: all pairs of different
+    components are compared, in small buckets where their samples agree by half
+    at least, in large ones all, tile by tile in matrix products that return a
+    spanning forest of their links. So a hot bucket costs what its components
+    differ in, and no pair that shares a band is left out.
     """
     run = NearDuplicates(docs, doc_id, text, least)
     found = run.classes()

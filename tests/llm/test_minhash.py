@@ -82,10 +82,25 @@ def test_against_all_pairs_on_documents(spark, sf_dir):
 
 def test_large_buckets_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(minhash, "TILE", 2)
+    monkeypatch.setattr(minhash, "SMALL", 2)
     rows = corpus(5)
     assert found(near_duplicates(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
 
 
+def test_similarities_by_matrix_products():
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(25):
+        h = np.unique(rng.integers(0, 60, size=rng.integers(1, 50))).astype(np.uint64)
+        sets.append((h, rng.integers(0, 4, size=len(h)) * 7))
+    a, b = sets[:11], sets[11:]
+    for width in (5, 4096):
+        got = minhash.similarities(a, b, width)
+        assert np.allclose(got, [[similarity(x, y) for y in b] for x in a])
+    assert np.allclose(np.diag(minhash.similarities(a, a)), 1)
+    assert minhash.similarities(a[:1], [(np.array([999], np.uint64), np.array([3]))]).tolist() == [[0.0]]
+
+
 def test_odd_rows(spark):
     long = " ".join(f"x{i % 997}y{i}" for i in range(60_000))
     rows = [(1, None), (2, ""), (3, "  \n"), (4, "one two"), (5, "One  TWO"), (6, long), (7, long + " more"), (None, "one two"), (4, "one two"), (9, "")]
