@@ -39,7 +39,7 @@ class Counting:
     def miss(self, unit: str, frequent: dict[str, int]) -> int:
         """Letters and the punctuation after them are separate matches of the tokenizer's pattern."""
         core = unit.rstrip(_PUNCTUATION)
-        if len(core) < len(unit) and core.isalpha():
+        if len(core) < len(unit) and core.isalpha() and core.lower().isalpha():
             return self.word(core, frequent) + self.word(unit[len(core) :], frequent)
         return self.word(unit, frequent)
 
