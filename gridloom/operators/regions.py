@@ -119,6 +119,10 @@ class Region:
     def __sub__(self, other: Region) -> Region:
         return self._with(other, lambda m: m[0] and not m[1])
 
+    def overlaps(self, other: Region) -> bool:
+        """Whether both share a cell; it compares boxes and makes none."""
+        return any(all(lo < y and x < hi for lo, hi, x, y in zip(a.min, a.max, b.min, b.max, strict=True)) for a in self.boxes for b in other.boxes)
+
     @property
     def empty(self) -> bool:
         return not self.boxes
@@ -229,13 +233,15 @@ class RegionMap:
         for r, v in self._parts:
             if v == value:
                 same = same | r
+            elif not r.overlaps(region):
+                parts.append((r, v))
             elif not (left := r - region).empty:
                 parts.append((left, v))
         self._parts = [*parts, (same, value)] if not same.empty else parts
 
     def values(self, region: Region | Box) -> list[tuple[Box, object]]:
         region = Region.of(region) if isinstance(region, Box) else region
-        return sorted(((b, v) for r, v in self._parts for b in (r & region).boxes), key=lambda x: x[0])
+        return sorted(((b, v) for r, v in self._parts if r.overlaps(region) for b in (r & region).boxes), key=lambda x: x[0])
 
     def apply(self, f: Callable[[object], object]) -> None:
         """Changes every value; parts of equal values become one."""

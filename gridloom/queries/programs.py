@@ -15,6 +15,7 @@ from ..operators.reductions import equal_everywhere, reduction
 from ..operators.regions import Box
 from ..plans.loops import iterate, supersteps, until
 from ..plans.program import Access, Program
+from ..plans.topologies import TOPOLOGIES
 from ..sources.files import load, save, scratch, table
 from .common import CELLS, GREY, WIDTH, byte, cells, events, parts, query, rounded
 from .joins import BOX, CROSS
@@ -292,3 +293,10 @@ def uninitialised_reads(spark, d):
     p.submit("again", (10,), [Access("a", "read", OneToOne())])
     assert OneToOne().region(Chunk((0,), (10,), (10,)), (10,)).area == 10
     return spark.createDataFrame([(first, len(p.warnings) - first)], "warned long, never_again long")
+
+
+@query("select * from (values ('soup', 100::bigint, 1::bigint), ('chain', 30, 30), ('expanding tree', 31, 5), ('contracting tree', 31, 5), ('wave', 203, 202), ('jacobi', 51, 51)) t(topology, tasks, depth)")
+def task_graph_topologies(spark, d):
+    """The number of tasks of typical programs, and of those on their longest chain."""
+    rows = [(name, len(p.tasks), p.critical_path()) for name, p in ((name, make()) for name, make in TOPOLOGIES.items())]
+    return spark.createDataFrame(rows, "topology string, tasks long, depth long")
