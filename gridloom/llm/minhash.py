@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -164,8 +165,15 @@ def bands_of(s: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts = [np.zeros(COUNTERS, np.int64), np.zeros(COUNTERS, np.int64)]
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[dict[str, list]]:
+    """Columns as lists, a few rows at a time: a worker holds few texts as Python strings."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows).to_pydict()
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = [np.zeros(COUNTERS, np.uint32), np.zeros(COUNTERS, np.uint32)]  # a task has fewer than 2**32 documents
     held: list[np.ndarray] = []
     n = size = 0
 
@@ -173,27 +181,32 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         nonlocal size
         if held:
             for row, slots in enumerate(_slots(np.concatenate(held))):
-                counts[row] += np.bincount(slots, minlength=COUNTERS)
+                places, more = np.unique(slots, return_counts=True)
+                counts[row][places] += more.astype(np.uint32)
             held.clear()
             size = 0
 
-    for pdf in batches:
-        for text in pdf["text"]:
+    for cols in _slices(batches):
+        for text in cols["text"]:
             h, _ = shingles(text)
             n += len(h) > 0
             held.append(h)
             size += len(h)
-            if size > 1 << 21:
+            if size > 1 << 20:
                 flush()
     flush()
     group = TaskContext.get().partitionId() // 256
+
+    def block(number: int, c: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int32()), "part": pa.array([group], pa.int32()), "counts": [zlib.compress(c.tobytes(), 1)]})
+
     if n:
-        yield pd.DataFrame({"block": [-1], "part": [group], "counts": [zlib.compress(np.array([n], np.int64).tobytes(), 1)]})
+        yield block(-1, np.array([n], np.int64))
     for row in (0, 1):
         for at in range(0, COUNTERS, BLOCK):
             c = counts[row][at : at + BLOCK]
-            if c.any():  # a task has fewer than 2**32 documents
-                yield pd.DataFrame({"block": [(row * COUNTERS + at) // BLOCK], "part": [group], "counts": [zlib.compress(c.astype(np.uint32).tobytes(), 1)]})
+            if c.any():
+                yield block((row * COUNTERS + at) // BLOCK, c)
 
 
 def _wide(raw: bytes) -> np.ndarray:
@@ -215,7 +228,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
     under RARE weigh alike. Tasks' counters are added up in two steps, by block.
     """
     kind = "block int, part int, counts binary"
-    part = docs.select(F.col(text).alias("text")).mapInPandas(_sketch, kind).groupBy("block", "part").applyInPandas(_summed, kind)
+    part = docs.select(F.col(text).alias("text")).mapInArrow(_sketch, kind).groupBy("block", "part").applyInPandas(_summed, kind)
     full = stored(part.groupBy("block").applyInPandas(_summed, kind), "frequencies").collect()
     counts, n = np.zeros(2 * COUNTERS, np.int64), 0
     for r in full:
@@ -324,28 +337,27 @@ class NearDuplicates:
     def signatures(self) -> DataFrame:
         sent = self.sent
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             idf = sent.value
-            for pdf in batches:
+            for cols in _slices(batches):
                 ids, keys, sigs, bands = [], [], [], []
-                for i, text in zip(pdf["id"].tolist(), pdf["text"], strict=True):
+                for i, text in zip(cols["id"], cols["text"], strict=True):
                     h, tf = shingles(text)
                     if len(h):
                         s = sample(h, weights(h, tf, idf))
                         ids.append(i)
                         keys.append(xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")))
                         sigs.append((s >> np.uint64(17)).astype(np.uint16).tobytes())
-                        bands.append(bands_of(s))
-                if ids:
-                    yield pd.DataFrame({"id": ids, "key": keys, "sig": sigs, "bands": bands})
+                        bands.append(bands_of(s).tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "key", "sig", "bands"])
 
-        return self.docs.mapInPandas(run, "id long, key binary, sig binary, bands array<long>")
+        return self.docs.mapInArrow(run, "id long, key binary, sig binary, bands array<long>")
 
     def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose similarity is at least ``least``."""
         sent, least = self.sent, self.least
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             idf = sent.value
 
             def of(text: str):
@@ -353,17 +365,18 @@ class NearDuplicates:
                 return h, weights(h, tf, idf)
 
             held = None, None
-            for pdf in batches:
+            for cols in _slices(batches):
                 near = []
-                for a, x, y in zip(pdf["a"], pdf["x"], pdf["y"], strict=True):
+                for a, b, x, y in zip(cols["a"], cols["b"], cols["x"], cols["y"], strict=True):
                     if held[0] != a:
                         held = a, of(x)
-                    near.append(similarity(held[1], of(y)) >= least)
-                yield pdf.loc[near, ["a", "b"]]
+                    if similarity(held[1], of(y)) >= least:
+                        near.append((a, b))
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in near], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         side = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("y")), "b")
         both = side.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("x")), "a")
-        return both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+        return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
     def crossed(self, members: DataFrame, texts: DataFrame) -> DataFrame:
         """Links (a, b) that join the components of large buckets ``members(key, rep, comp)``, found in tiles."""
@@ -381,24 +394,23 @@ class NearDuplicates:
         right = packed.select("key", F.col("block").alias("block2"), *[F.col(c).alias(f"{c}2") for c in ("ids", "comps", "texts")])
         both = meet.join(packed.drop("pure"), ["key", "block"]).join(right, ["key", "block2"])
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             idf = sent.value
 
             def of(text: str):
                 h, tf = shingles(text)
                 return h, weights(h, tf, idf)
 
-            for pdf in batches:
-                for _, r in pdf.iterrows():
-                    a = [of(t) for t in r["texts"]]
-                    b = a if r["block"] == r["block2"] else [of(t) for t in r["texts2"]]
-                    ok = (similarities(a, b) >= least) & (np.asarray(r["comps"])[:, None] != np.asarray(r["comps2"])[None, :])
-                    i, j = np.nonzero(ok)
-                    got = forest(np.asarray(r["ids"])[i], np.asarray(r["ids2"])[j])
-                    if got:
-                        yield pd.DataFrame(got, columns=["a", "b"])
-
-        return both.repartition("key", "block", "block2").mapInPandas(run, "a long, b long")
+            for cols in _slices(batches, 1):
+                r = {k: v[0] for k, v in cols.items()}
+                a = [of(t) for t in r["texts"]]
+                b = a if r["block"] == r["block2"] else [of(t) for t in r["texts2"]]
+                ok = (similarities(a, b) >= least) & (np.asarray(r["comps"])[:, None] != np.asarray(r["comps2"])[None, :])
+                i, j = np.nonzero(ok)
+                got = forest(np.asarray(r["ids"])[i], np.asarray(r["ids2"])[j])
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in got], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        return both.repartition("key", "block", "block2").mapInArrow(run, "a long, b long")
 
     def classes(self) -> DataFrame:
         """(id, component) of the documents with words."""

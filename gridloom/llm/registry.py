@@ -103,5 +103,35 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+LINKS_SQL = """
+with recursive v as (
+  select distinct vec_id, label, embedding::double[] as x from embeddings
+  where label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda e: e is null or isnan(e) or isinf(e))) = 0),
+n as (select vec_id, label, x, sqrt(list_inner_product(x, x)) as size from v where list_inner_product(x, x) > 0),
+l as (
+  select a.vec_id as a, b.vec_id as b from n a join n b on a.label = b.label and a.vec_id <> b.vec_id and len(a.x) = len(b.x)
+  where list_inner_product(a.x, b.x) / (a.size * b.size) >= 0.93),
+r as (select distinct vec_id as node, vec_id as low from embeddings where vec_id is not null union select l.a, r.low from r join l on l.b = r.node)
+select node as vec_id, (select count(*) from l where a = node) as n_links, min(low) as component_id, min(low) = node as kept from r group by node"""
+
+
+#: All pairs that share a shingle, with exact document frequencies.
+NEAR_SQL = r"""
+with recursive t as (select doc_id, text, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents where doc_id is not null and text is not null),
+k as (select text, min(doc_id) as rep, count(*) as copies, any_value(w) as w from t where len(w) > 0 group by text),
+s as (select rep, copies, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') as shingle from (select *, unnest(range(1, len(w) - least(5, len(w)) + 2)) as i from k)),
+f as (select rep, shingle, any_value(copies) as copies, count(*) as tf from s group by all),
+d as (select shingle, sum(copies) as df from f group by 1),
+n as (select sum(copies) as n from k),
+x as (select rep, shingle, pow(2, round_even(16 * log2((1 + ln(tf)) * (1 + 0.5 / 255 * round_even(255 * least(1, greatest(0, ln(greatest(df / n, pow(2, -12))) / ln(pow(2, -12)))), 0))), 0) / 16) as weight from f join d using (shingle), n),
+m as (select rep, sum(weight) as total from x group by 1),
+p as (select a.rep as a, b.rep as b, sum(least(a.weight, b.weight)) as common from x a join x b on a.shingle = b.shingle and a.rep < b.rep group by all),
+l as (select a, b from p join m ma on ma.rep = a join m mb on mb.rep = b where common / (ma.total + mb.total - common) >= 0.8
+  union select k.rep, t.doc_id from t join k on t.text = k.text and t.doc_id <> k.rep),
+e as (select a, b from l union select b, a from l),
+r as (select distinct doc_id as node, doc_id as low from documents where doc_id is not null union select e.a, r.low from r join e on e.b = r.node)
+select node as doc_id, min(low) as component_id, min(low) = node as kept from r group by node"""
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_bpe, op4_sharding, op5_topk, op6_token_counts, op7_mixing, op8_pii, op9_urls, op10_minhash)}
-ORACLES = {"op4_sharding": _shards_sql(SHARD_BYTES), "op5_topk": TOPK_SQL}
+ORACLES = {"op2_embedding_dedup": LINKS_SQL, "op4_sharding": _shards_sql(SHARD_BYTES), "op5_topk": TOPK_SQL, "op10_minhash": NEAR_SQL}

@@ -63,7 +63,7 @@ class Model:
     def word(self, w: str) -> float:
         v = self.cache.get(w)
         if v is None:
-            if len(self.cache) > 500_000:
+            if len(self.cache) > 250_000:
                 self.cache.clear()
             v = float(sum(self.weights[i] for i in features(w)))
             if len(w) <= 64:
@@ -171,17 +171,20 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", columns:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*sent.value)
-        for b in batches:
-            score, spans = [], []
-            for t in b.column("text").to_pylist():
-                where, z = m.logits(t)
-                score.append(float(-np.expm1(-np.logaddexp(0, z).sum())) if len(z) else 0.0)
-                p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-                spans.append([{"start": a, "end": e, "score": float(x)} for (a, e), x in zip(where, p, strict=True) if x >= threshold] if len(z) and p.max() >= threshold else [])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(score, pa.float64()), pa.array(spans, kind)], names=["row", "score", "offending"])
-
-    rest = [F.col(f"`{c}`") for c in (docs.columns if columns is None else columns) if c not in ("score", "predicted", "offending")]
-    base = docs.select(F.struct(*rest).alias("row"), F.col(text).alias("text"))
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                score, spans = [], []
+                for t in (b.column("row").flatten()[inside] if inside is not None else b.column("text")).to_pylist():
+                    where, z = m.logits(t)
+                    score.append(float(-np.expm1(-np.logaddexp(0, z).sum())) if len(z) else 0.0)
+                    p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+                    spans.append([{"start": a, "end": e, "score": float(x)} for (a, e), x in zip(where, p, strict=True) if x >= threshold] if len(z) and p.max() >= threshold else [])
+                yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(score, pa.float64()), pa.array(spans, kind)], names=["row", "score", "offending"])
+
+    names = [c for c in (docs.columns if columns is None else columns) if c not in ("score", "predicted", "offending")]
+    inside = names.index(text) if text in names else None  # the text then travels once
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *([F.col(text).alias("text")] if inside is None else []))
     out = base.mapInArrow(run, f"row {base.schema['row'].dataType.simpleString()}, score double, offending array<struct<start:int,end:int,score:double>>")
     return out.select("row.*", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "offending")
