@@ -14,17 +14,22 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded_batches, stored
 
 #: Characters in a chunk, and characters that it shares with the next one.
 CHUNK, OVERLAP = 32_768, 1_024
 #: Entries of a worker's cache of encoded pieces before it starts anew.
-CACHE = 400_000
+CACHE = 120_000
 
 #: A space before more white space, or at the end, joins it: such texts aren't cut at spaces.
 _AWKWARD = re.compile(r" [\s\x85]| \Z")
 
 
+def numbers(ids: str) -> list[int]:
+    """Ids that are joined by commas."""
+    return list(map(int, ids.split(","))) if ids else []
+
+
 class Codec:
     """Encodes and decodes with one rank file, as tiktoken does without special tokens."""
 
@@ -34,13 +39,13 @@ class Codec:
         self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.bytes = {i: b for b, i in ranks.items()}
         self.pattern = pattern
-        self.pieces: dict[str, tuple[str, bytes, list[int]]] = {}
+        self.pieces: dict[str, tuple[str, bytes]] = {}
 
-    def _piece(self, piece: str) -> tuple[str, bytes, list[int]]:
+    def _piece(self, piece: str) -> tuple[str, bytes]:
         got = self.pieces.get(piece)
         if got is None:
             ids = self.library.encode_ordinary(piece)
-            got = ",".join(map(str, ids)), self.decode(ids), ids
+            got = ",".join(map(str, ids)), self.decode(ids)
             if len(self.pieces) >= CACHE:
                 self.pieces.clear()
             if len(piece) <= 64:
@@ -55,7 +60,7 @@ class Codec:
         return ([first] if first else []) + [" " + x for x in rest]
 
     def encode(self, text: str) -> list[int]:
-        return [i for p in self.split(text) for i in self._piece(p)[2]]
+        return numbers(self.strings(text)[1])
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes[i] for i in ids])
@@ -119,15 +124,15 @@ def _short(rank_file: str, pattern: str, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(rank_file, pattern)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
                 n, ids, raw, lists = [], [], [], []
                 for text in b.column("text").to_pylist():
                     k, s, r = c.strings(text)
                     x, y = _digest(s, r)
                     n.append(k), ids.append(x), raw.append(y)
                     if keep:
-                        lists.append(c.encode(text))
+                        lists.append(numbers(s))
                 cols = {"row": b.column("row"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": ids, "decoded_sha256": raw}
                 if keep:
                     cols["ids"] = pa.array(lists, pa.list_(pa.int32()))
@@ -180,7 +185,7 @@ def _join(keep: bool):
         x, y = _digest(ids, raw)
         out = {"key": [pdf["key"].iat[0]], "n_tokens": [int(pdf["n"].sum())], "ids_sha256": [x], "decoded_sha256": [y]}
         if keep:
-            out["ids"] = [[int(i) for i in ids.split(",")]]
+            out["ids"] = [numbers(ids)]
         return pd.DataFrame(out)
 
     return run
@@ -204,6 +209,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str =
     Decoding concatenates the bytes of the pieces in their order. Only
     positions and encoded pieces are grouped, by text.
     """
+    bounded_batches(docs.sparkSession)
     added = ["n_tokens", "ids_sha256", "decoded_sha256"] + (["ids"] if keep_ids else [])
     extra = ", ids array<int>" if keep_ids else ""
     rest = [F.col(f"`{c}`") for c in (docs.columns if columns is None else columns) if c not in ("n_tokens", "ids", "ids_sha256", "decoded_sha256")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,6 +42,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Lets Arrow batches of texts to Python workers have about ``most`` bytes, where the session allows more."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.sub(r"[bB]$", "", spark.conf.get(name, "67108864"))
+    if not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(name, str(most))
+
+
 def few_or_many(df: DataFrame, most: int = 500_000) -> DataFrame:
     """``df``, stored, with a hint to broadcast it if it has at most ``most`` rows (of a few numbers); else it is shuffled."""
     df = stored(df, "side")

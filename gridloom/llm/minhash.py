@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, few_or_many, stored
+from .common import bounded_batches, components, few_or_many, stored
 
 #: Words in a shingle.
 WORDS = 5
@@ -468,6 +468,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spanning forest of their links. So a hot bucket costs what its components
     differ in, and no pair that shares a band is left out.
     """
+    bounded_batches(docs.sparkSession)
     run = NearDuplicates(docs, doc_id, text, least)
     found = run.classes()
     every = docs.select(F.col(doc_id).cast("long").alias("id")).where("id is not null").distinct()

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded_batches, stored
 
 #: Given names by script and gender. A surrogate is another name of its list.
 GIVEN = {
@@ -271,7 +271,7 @@ def replaced(text: str, key: bytes, redrawn: dict[tuple[str, str], int], cache:
         own = e.kind, canonical(e)
         s = cache.get(own)
         if s is None:
-            if len(cache) > 100_000:
+            if len(cache) > 50_000:
                 cache.clear()
             s = cache[own] = surrogate(key, *own, redrawn.get(own, 0))
         s = cased(s, e.value)
@@ -329,14 +329,15 @@ def pseudonymise(docs: DataFrame, key: bytes = b"surrogates", text: str = "text"
     stay (one named ``pii`` is replaced). A null text stays null with no
     entities; texts without entities stay as they are; whole texts are searched.
     """
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(collisions(docs, key, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[tuple[str, str], str] = {}
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
                 texts, spans = [], []
                 for t in b.column("text").to_pylist():
                     new, where = (None, []) if t is None else replaced(t, key, sent.value, cache)

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import bounded_batches
+
 #: Entries of the broadcast table, at most; and of a worker's cache before it starts anew.
 FREQUENT, CACHE = 65_536, 600_000
 #: A task reports a pre-token that makes up this share of all that it saw, so at most 1 / SHARE of them.
@@ -124,6 +126,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 20
     count of the text.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     c = counting(path)
     none: dict[str, int] = {}
     sent = spark.sparkContext.broadcast({u: c.miss(u, none) for u in frequent_units(docs, text, most)} | {"": 0})

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few_or_many, stored
+from .common import bounded_batches, few_or_many, stored
 
 #: Places of the hashed weight vector.
 PLACES = 1 << 18
@@ -145,6 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     other than 0 and 1 and null ids are left out. Without labelled documents
     every score is near 0. One task of an executor fits the weights.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.where("toxic in (0, 1) and doc_id is not null and crc32(cast(doc_id as string)) % 5 <> 0").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label")).distinct()
     sizes = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     order = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 40))
@@ -167,6 +168,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", columns:
     ``threshold``, in characters. Only the text is an input. Columns of the
     added names are replaced; repeated rows score alike.
     """
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
