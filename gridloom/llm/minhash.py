@@ -28,6 +28,8 @@ RARE, SPAN = 2.0**-12, 0.5
 DOUBT = 0.5
 #: Members of a bucket in a tile, members of a bucket whose pairs are listed, and rows of such buckets in a task, about.
 TILE, SMALL, POOL = 256, 64, 2000
+#: Characters of the texts in a tile, about.
+TILE_CHARS = 4_000_000
 
 _M1, _M2, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x100000001B3)
 #: Entries of the tables of draws of c, and of r with beta.
@@ -230,14 +232,12 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
     kind = "block int, part int, counts binary"
     part = docs.select(F.col(text).alias("text")).mapInArrow(_sketch, kind).groupBy("block", "part").applyInPandas(_summed, kind)
     full = stored(part.groupBy("block").applyInPandas(_summed, kind), "frequencies").collect()
-    counts, n = np.zeros(2 * COUNTERS, np.int64), 0
+    n = next((int(_wide(bytes(r.counts))[0]) for r in full if r.block < 0), 0)
+    out = np.full(2 * COUNTERS, 255, np.uint8)
     for r in full:
-        c = _wide(bytes(r.counts))
-        if r.block < 0:
-            n = int(c[0])
-        else:
-            counts[r.block * BLOCK : (r.block + 1) * BLOCK] = c
-    return levels(counts, n).reshape(2, COUNTERS)
+        if r.block >= 0:
+            out[r.block * BLOCK : (r.block + 1) * BLOCK] = levels(_wide(bytes(r.counts)), n)
+    return out.reshape(2, COUNTERS)
 
 
 def likely_pairs(ids: np.ndarray, comps: np.ndarray, sigs: np.ndarray, doubt: float = DOUBT) -> tuple[np.ndarray, np.ndarray]:
@@ -381,16 +381,22 @@ class NearDuplicates:
     def crossed(self, members: DataFrame, texts: DataFrame) -> DataFrame:
         """Links (a, b) that join the components of large buckets ``members(key, rep, comp)``, found in tiles."""
         sent, least = self.sent, self.least
-        each = members.groupBy("key", "comp").agg(F.count("*").alias("m"))
-        alone = F.col("m") > TILE
+        sizes = texts.select("rep", F.length("text").alias("chars"))
+        members = members.join(sizes, "rep")
+        load = F.greatest(F.count("*") / TILE, F.sum("chars") / TILE_CHARS)
+        each = members.groupBy("key", "comp").agg(load.alias("m"))
+        alone = F.col("m") > 1
         rest = each.groupBy("key").agg(F.sum(F.when(~alone, F.col("m"))).alias("rest"))
-        each = each.join(rest, "key").withColumn("deal", F.when(alone, F.ceil(F.col("m") / TILE)).otherwise(F.ceil(F.col("rest") / TILE)))
+        each = each.join(rest, "key").withColumn("deal", F.greatest(F.lit(1), F.ceil(F.when(alone, F.col("m")).otherwise(F.col("rest")))))
         block = F.when(alone, F.concat_ws(":", "comp", F.pmod(F.xxhash64("rep"), "deal"))).otherwise(F.concat(F.lit("-"), F.pmod(F.xxhash64("comp"), "deal").cast("string")))
         dealt = stored(members.join(each, ["key", "comp"]).select("key", "rep", "comp", block.alias("block")), "dealt")
         packed = dealt.join(texts, "rep").groupBy("key", "block").applyInPandas(_pack, "key long, block string, pure long, ids array<long>, comps array<long>, texts array<string>")
         packed = stored(packed, "blocks")
-        x, y = packed.select("key", "block", "pure"), packed.select("key", F.col("block").alias("block2"), F.col("pure").alias("pure2"))
-        meet = x.join(y, "key").where("block <= block2 and coalesce(pure <> pure2, true)").select("key", "block", "block2")
+        # The tiles of a bucket's largest component meet only those of others.
+        main = packed.where("pure is not null").groupBy("key", "pure").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("pure", F.struct("n", "pure")).alias("main"))
+        place = packed.select("key", "block", "pure").join(main, "key", "left").select("key", "block", "pure", F.coalesce(F.col("pure") == F.col("main"), F.lit(False)).alias("inner"))
+        other = place.select("key", *[F.col(c).alias(f"{c}2") for c in ("block", "pure", "inner")])
+        meet = place.where(~F.col("inner")).join(other, "key").where("(inner2 or block <= block2) and coalesce(pure <> pure2, true)").select("key", "block", "block2")
         right = packed.select("key", F.col("block").alias("block2"), *[F.col(c).alias(f"{c}2") for c in ("ids", "comps", "texts")])
         both = meet.join(packed.drop("pure"), ["key", "block"]).join(right, ["key", "block2"])
 

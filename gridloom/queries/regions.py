@@ -106,6 +106,16 @@ def region_map(spark, d):
     return regions.overwrite(ids, runs.withColumnRenamed("new", "value"), ["i0"], "at")
 
 
+@query("""select greatest(o_orderkey, p_partkey * 7) as lo, least(o_orderkey + 3 + o_custkey % 40, p_partkey * 7 + p_size) as hi, o_custkey as value, p_partkey as asked
+from orders join part on o_orderkey < p_partkey * 7 + p_size and p_partkey * 7 < o_orderkey + 3 + o_custkey % 40""")
+def region_values(spark, d):
+    """What a map of runs holds in each of many queried runs: an overlap join in buckets."""
+    o, p = table(spark, d, "orders"), table(spark, d, "part")
+    held = o.select(F.col("o_orderkey").alias("lo"), (F.col("o_orderkey") + 3 + F.col("o_custkey") % 40).alias("hi"), F.col("o_custkey").alias("value"))
+    asked = p.select((F.col("p_partkey") * 7).alias("lo"), (F.col("p_partkey") * 7 + F.col("p_size")).alias("hi"), F.col("p_partkey").alias("asked"))
+    return regions.interval_join(held, asked, 32)
+
+
 @query("select event_id as i0, floor(value / 10) as v, round((floor(value) % 7) - 3, 6) + 0.0 as w from events")
 def coordinate_arithmetic(spark, d):
     """Arithmetic on coordinates and values of a map's regions."""

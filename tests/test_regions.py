@@ -16,6 +16,7 @@ from gridloom.operators.regions import (
     bounding_box,
     connected_bounding_boxes,
     dissected,
+    interval_join,
     merged_intervals,
     merged_overlapping,
     split_overlapping,
@@ -128,3 +129,13 @@ def test_region_map_is_last_writer(updates, asked):
         truth |= {c: v for c in cells([b]) if c in truth}
     got = {c: v for b, v in m.values(asked) for c in cells([b])}
     assert got == {c: v for c, v in truth.items() if c in cells([asked])}
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_interval_join(spark, width):
+    rng = random.Random(width)
+    a = [(rng.randrange(2), x, x + rng.randrange(0, 9), k) for k in range(40) for x in [rng.randrange(60)]]
+    b = [(rng.randrange(2), x, x + rng.randrange(0, 30), k) for k in range(20) for x in [rng.randrange(60)]]
+    out = interval_join(spark.createDataFrame(a, "g int, lo long, hi long, x int"), spark.createDataFrame(b, "g int, lo long, hi long, y int"), width, ["g"])
+    want = sorted((g, max(lo, p), min(hi, q), x, y) for g, lo, hi, x in a for h, p, q, y in b if g == h and max(lo, p) < min(hi, q))
+    assert sorted(map(tuple, out.select("g", "lo", "hi", "x", "y").collect())) == want
