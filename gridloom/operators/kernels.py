@@ -216,6 +216,45 @@ def separable(buffer: Buffer, weights: Sequence[Sequence[float]], first: Sequenc
     return Buffer(df.where("inner").select("i0", "i1", F.col("_s1").alias(name)), buffer.shape, (name,))
 
 
+def dense_stencil(buffer: Buffer, weights: np.ndarray, first: Sequence[int], border: str = "constant", constant: float = 0.0, name: str = "v", tile: Sequence[int] = TILE) -> Buffer:
+    """A weighted sum over a box of any weights, in arrays: for boxes too large for a window expression a cell.
+
+    ``first`` is the offset of ``weights[0, 0]``. Each tile, with its halo, is
+    one array in a task; with ``skip`` cells beyond the array count as 0.
+    """
+    if border not in BORDERS:
+        raise ValueError(f"border is one of {BORDERS}")
+    (v,) = buffer.values
+    weights = np.asarray(weights, float)
+    low = [max(0, -f) for f in first]
+    high = [max(0, f + n - 1) for f, n in zip(first, weights.shape, strict=True)]
+    mode = {"mode": "edge"} if border == "edge" else {"mode": "constant", "constant_values": constant if border == "constant" else 0.0}
+    tile = tuple(tile)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        inner = pdf[pdf["inner"]]
+        if inner.empty:
+            return pd.DataFrame({"i0": [], "i1": [], name: []})
+        i, j = pdf["i0"].to_numpy(), pdf["i1"].to_numpy()
+        (a, b), (c, d) = (i.min(), i.max()), (j.min(), j.max())
+        have = _dense(pdf["i0"] - a, pdf["i1"] - c, pdf["v"], b - a + 1, d - c + 1)
+        p, q = inner["i0"].to_numpy(), inner["i1"].to_numpy()
+        # What the tile lacks of its halo lies beyond the array.
+        lack = [(max(0, low[0] - (p.min() - a)), max(0, high[0] - (b - p.max()))), (max(0, low[1] - (q.min() - c)), max(0, high[1] - (d - q.max())))]
+        have = np.pad(have, lack, **mode)
+        at0, at1 = p - a + lack[0][0] + first[0], q - c + lack[1][0] + first[1]
+        out = np.zeros(len(p))
+        for x in range(weights.shape[0]):
+            for y in range(weights.shape[1]):
+                if weights[x, y]:
+                    out += weights[x, y] * have[at0 + x, at1 + y]
+        return pd.DataFrame({"i0": p, "i1": q, name: out})
+
+    cells = buffer.with_df(buffer.df.select("i0", "i1", F.col(v).cast("double").alias("v")), ("v",))
+    df = tiled(cells, [max(lo, hi) for lo, hi in zip(low, high, strict=True)], tile)
+    return Buffer(df.groupBy("t0", "t1").applyInPandas(run, f"i0 long, i1 long, {name} double"), buffer.shape, (name,))
+
+
 def update(current: Buffer, written: Buffer) -> Buffer:
     """A write that keeps the cells it doesn't reach: written cells replace current ones, new ones are added."""
     mine = written.df.select(*current.keys, *[F.col(v).alias(f"_{v}") for v in written.values], F.lit(True).alias("_hit"))

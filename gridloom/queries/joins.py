@@ -121,6 +121,15 @@ def neighbourhood_along_axes(spark, d):
     return out.df.select("i0", "i1", rounded("v").alias("v"))
 
 
+@query(f"""with {CELLS}, offs as (select a.range - 2 as a, b.range - 1 as b, ((a.range * 4 + b.range) % 7 - 3) / 10.0::double as w from range(5) a, range(4) b)
+select x.i0, x.i1, round(sum(w * coalesce(y.v, 0)), 6) + 0.0 as v from cells x cross join offs left join cells y on y.i0 = x.i0 + a and y.i1 = x.i1 + b group by all""")
+def neighbourhood_dense(spark, d):
+    """Any weights over a box of 5 × 4 cells, tile by tile in arrays."""
+    w = [[((a * 4 + b) % 7 - 3) / 10.0 for b in range(4)] for a in range(5)]
+    out = kernels.dense_stencil(cells(spark, d), w, [-2, -1])
+    return out.df.select("i0", "i1", rounded("v").alias("v"))
+
+
 @query(f"""with {CELLS} select i0, i1, round(coalesce(lag(v, 3) over c, 0) + 2 * coalesce(lead(v, 2) over c, 0), 6) + 0.0 as v
 from cells window c as (partition by i1 order by i0)""")
 def neighbourhood_far(spark, d):

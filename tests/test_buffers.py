@@ -82,6 +82,16 @@ def test_separable_is_the_product(spark, image):
     assert np.allclose(array_of(out, image.shape), want)
 
 
+@pytest.mark.parametrize("border", ["skip", "edge", "constant"])
+def test_dense_stencils(spark, image, border):
+    w = np.random.default_rng(3).normal(size=(3, 6))
+    out = kernels.dense_stencil(from_host(spark, image), w, [-2, -1], border, 0.5, tile=(8, 8))
+    pad = {"mode": "edge"} if border == "edge" else {"constant_values": 0.5 if border == "constant" else 0.0}
+    p = np.pad(image, 6, **pad)
+    want = sum(w[a, b] * p[6 + a - 2 : 6 + a - 2 + 23, 6 + b - 1 : 6 + b - 1 + 19] for a in range(3) for b in range(6))
+    assert np.allclose(array_of(out, image.shape), want)
+
+
 def test_products(spark, image):
     a, b = image, image.T[:, :11].copy()
     x, y = from_host(spark, a), from_host(spark, b)
