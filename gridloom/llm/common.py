@@ -31,13 +31,24 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
+def drop_stored(spark: SparkSession) -> bool:
+    """Removes the intermediate tables of this application; frames that read them are then of no use."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read back.
 
-    It cuts the lineage and survives the loss of executors.
+    It cuts the lineage and survives the loss of executors. The tables of an
+    application share a folder; drop_stored removes it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
