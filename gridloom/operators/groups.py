@@ -70,11 +70,15 @@ class Groups:
 
     def tile(self, x: Column | str) -> Column:
         """All values of the group by lane: local memory that every lane may read after a barrier."""
-        return F.transform(F.array_sort(F.collect_list(F.struct("lane", _c(x).alias("x"))).over(self.whole)), lambda s: s["x"])
+        return F.transform(self._lanes(x), lambda s: s["x"])
+
+    def _lanes(self, x: Column | str) -> Column:
+        """The group's values as structs (so that nulls count), in the window's order: made once a group, not once a lane."""
+        return F.collect_list(F.struct(_c(x).alias("x"))).over(self.whole)
 
     def select_from(self, x: Column | str, lane: Column | str) -> Column:
         """The value of the lane with the given number; null if there is none."""
-        return F.get(self.tile(x), _c(lane).cast("int"))
+        return F.get(self._lanes(x), _c(lane).cast("int"))["x"]
 
     def permute_by_xor(self, x: Column | str, mask: int) -> Column:
         """The value of the lane whose number differs in the mask's bits."""

@@ -182,3 +182,11 @@ def test_frames_as_a_stream(spark, tmp_path):
     q.awaitTermination(60)
     assert sorted(map(tuple, spark.table("frames").collect())) == [(0, 0), (1, 6), (2, 12)]
     assert read_frames(spark, path).count() == 12
+
+
+def test_groups_keep_nulls(spark):
+    b = index_space(spark, (6,), v=F.when(F.col("i0") % 3 != 1, F.col("i0")))
+    g = Groups(b, (3,))
+    got = g.df.select("i0", g.tile("v").alias("t"), g.select_from("v", 2 - F.col("lane")).alias("r"), g.select_from("v", F.lit(9)).alias("beyond")).orderBy("i0").collect()
+    assert [r.t for r in got] == [[0, None, 2]] * 3 + [[3, None, 5]] * 3
+    assert [r.r for r in got] == [2, None, 0, 5, None, 3] and all(r.beyond is None for r in got)
