@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import stored
+
 #: (rule, verdict): a rule is a host and a path prefix.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 #: Words of the unigram model, at most, and places of the hashed token counts.
@@ -108,6 +110,8 @@ def unigrams(pages: DataFrame, html: str = "html", most: int = WORDS) -> dict[st
     title = F.lower(F.regexp_extract(F.col(html), r"(?is)<title>([^<]*)", 1))
     word = pages.select(F.explode(F.split(title, r"[^\p{L}]+")).alias("w")).where(F.length("w").between(2, LONGEST_WORD))
     top = word.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most)
+    # Collected directly, every task would send its own ``most`` words to the driver.
+    top = stored(top, "title-words")
     counts = {r.w: r.n for r in top.collect()}
     usual = max(2, sum(counts.values()) // 5000)
     return counts | {w: max(usual, counts.get(w, 0)) for w in {*ORDINARY, *" ".join(UNWANTED).split()}}
