@@ -122,7 +122,8 @@ def naive_bayes(urls: DataFrame, words: Words) -> np.ndarray:
 
     ``urls(host, path)``: all those without a word of an unwanted name count
     for ``allow``. The class ``block`` is a mixture of the same counts and of
-    the unwanted names, so that usual tokens decide nothing. Tasks count by
+    the unwanted names, in hosts and in paths, so that usual tokens decide
+    nothing: a token in no name has the log odds ln(1 - MIXED). Tasks count by
     place, of which there are ``PLACES``, so what is gathered is bounded.
     """
     sent = urls.sparkSession.sparkContext.broadcast((words.cost, words.unknown, words.longest))
@@ -147,6 +148,7 @@ def naive_bayes(urls: DataFrame, words: Words) -> np.ndarray:
     for name in UNWANTED:
         for w in name.split():
             block[place("h=" + w)] += 1
+            block[place("p=" + w)] += 1
     allow, block = allow / allow.sum(), block / block.sum()
     odds = np.log((1 - MIXED) * allow + MIXED * block) - np.log(allow)
     return np.append(odds, math.log(PRIOR / (1 - PRIOR))).astype(np.float32)

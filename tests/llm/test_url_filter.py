@@ -57,6 +57,12 @@ def test_verdicts(spark, pages):
     assert judge_urls(pages.where("false")).collect() == []
 
 
+def test_words_of_the_path_count(spark):
+    urls = ["http://x.org/casino/poker/viagra-pills", "http://x.org/garden/tools"] + [f"http://x.org/garden/{i}" for i in range(50)]
+    got = {r.path: r.verdict for r in judge_urls(spark.createDataFrame([(i, u, "") for i, u in enumerate(urls)], "page_id long, url string, html string")).collect()}
+    assert got.pop("/casino/poker/viagra-pills") == "block" and set(got.values()) == {"allow"}
+
+
 def test_pages(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/pages.parquet")
     urls = {r.page_id: r.url for r in df.select("page_id", "url").collect()}
