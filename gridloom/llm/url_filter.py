@@ -120,14 +120,13 @@ def unigrams(pages: DataFrame, html: str = "html", most: int = WORDS) -> dict[st
 def naive_bayes(urls: DataFrame, words: Words) -> np.ndarray:
     """Log odds (block against allow) by token place, and those of the classes at the end.
 
-    ``urls(host, path)``: all those without a word of an unwanted name count
-    for ``allow``. The class ``block`` is a mixture of the same counts and of
+    ``urls(host, path)``: all of them count for ``allow``, so that a listed word
+    that is usual earns its own count. The class ``block`` is a mixture of the same counts and of
     the unwanted names, in hosts and in paths, so that usual tokens decide
     nothing: a token in no name has the log odds ln(1 - MIXED). Tasks count by
     place, of which there are ``PLACES``, so what is gathered is bounded.
     """
     sent = urls.sparkSession.sparkContext.broadcast((words.cost, words.unknown, words.longest))
-    bad = {"h=" + w for name in UNWANTED for w in name.split()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = Words({})
@@ -135,10 +134,8 @@ def naive_bayes(urls: DataFrame, words: Words) -> np.ndarray:
         seen = np.zeros(PLACES, dtype=np.int64)
         for pdf in batches:
             for h, p in zip(pdf["host"], pdf["path"], strict=True):
-                got = tokens(h, p, w)
-                if bad.isdisjoint(got):
-                    for t in got:
-                        seen[place(t)] += 1
+                for t in tokens(h, p, w):
+                    seen[place(t)] += 1
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"place": at.astype(np.int32), "n": seen[at]})
 

@@ -63,6 +63,13 @@ def test_words_of_the_path_count(spark):
     assert got.pop("/casino/poker/viagra-pills") == "block" and set(got.values()) == {"allow"}
 
 
+def test_usual_words_of_clean_hosts_do_not_block(spark):
+    hosts = [f"{a}{b}.org" for a in ("news", "music", "garden", "city", "food", "sport", "book", "photo") for b in ("online", "video", "free", "farm")]
+    df = spark.createDataFrame([(i, f"http://{h}/", "<title>garden</title>") for i, h in enumerate([*hosts, "casinoslotsjackpot.org"])], "page_id long, url string, html string")
+    got = {r.host: r.verdict for r in judge_urls(df).collect()}
+    assert got.pop("casinoslotsjackpot.org") == "block" and set(got.values()) == {"allow"}
+
+
 def test_pages(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/pages.parquet")
     urls = {r.page_id: r.url for r in df.select("page_id", "url").collect()}
