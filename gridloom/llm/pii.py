@@ -31,11 +31,15 @@ ALPHABETS = {
     "latin": "abcdefghijklmnopqrstuvwxyz", "latin accents": "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœß",
     "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюяё", "greek": "αβγδεζηθικλμνξοπρστυφχψωάέήίόύώς",
 }
+#: Characters that a cipher takes at once: its rounds' hashes have 64 bytes.
+BLOCK = 150
 VOWELS = {"latin": "aeiouy", "latin accents": "àáâãäåæèéêëìíîïòóôõöøùúûüýÿœ", "cyrillic": "аеиоуыэюяё", "greek": "αεηιουωάέήίόύώ"}
 #: Words before ``=`` or ``:`` that make what follows a secret.
 _KEYWORD = re.compile(r"(?i:token|secret|passw(?:or)?d|passwd|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?\s*\Z")
 
-_SECRET = re.compile(r"[=:]\s{0,3}[\"']?([A-Za-z0-9_+/-]{12,}={0,2})")
+#: A secret stands between quotes, or runs to white space or to a quote that closes something around it.
+_SECRET = re.compile(r"""(\s{0,3})(?:"((?:\\.|[^"\\\n])+)"|'((?:\\.|[^'\\\n])+)'|["']?((?:(?!["'](?:[\s,;:)}\]<>]|\Z))\S)+))""")
+_SEPARATOR = re.compile("[=:]")
 _KNOWN_KEY = re.compile(r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])")
 _AT = re.compile(r"@[\w-]+(?:\.[\w-]+)+")
 _LOCAL = re.compile(r"[\w.+%-]+\Z")
@@ -48,7 +52,9 @@ _NUMBER = re.compile(
 )
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _CAPITAL = "[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ]"
-_NAME = re.compile(rf"{_CAPITAL}\w*\.?(?: {_CAPITAL}[\w'-]*\w)+")
+_NAME = re.compile(rf"{_CAPITAL}(?:[\w'-]*\w)?\.?(?: (?:{_CAPITAL}[\w'-]*\w|{_CAPITAL}(?:\.|(?= {_CAPITAL}))))+")
+_INITIAL = re.compile(rf"{_CAPITAL}\.?")
+_PART = re.compile("[^-]+")
 _GENDER = {n: g for (_, g), names in GIVEN.items() for n in names}
 _LISTS = {n: key for key, names in GIVEN.items() for n in names}
 _TITLE = {t: g for g, ts in TITLES.items() for t in ts}
@@ -71,18 +77,46 @@ def _names(text: str) -> Iterator[Entity]:
         for w in words:
             place.append(at)
             at += len(w) + 1
-        i = 0
-        while i < len(words) - 1:
-            titled, given = words[i].rstrip(".") in _TITLE, words[i] in _LISTS
-            if titled and words[i + 1] in _LISTS:
-                i += 1
-                continue
-            if titled or given:
-                if given:
-                    yield Entity(place[i], place[i] + len(words[i]), "given", words[i])
-                yield Entity(place[i + 1], place[i + 1] + len(words[i + 1]), "surname", words[i + 1])
-                i += 1
-            i += 1
+        first = next((i for i, w in enumerate(words[:-1]) if w.rstrip(".") in _TITLE or _is_given(w)), None)
+        if first is None:
+            continue
+        while first and _INITIAL.fullmatch(words[first - 1]):
+            first -= 1
+        for i in range(first, len(words)):
+            if _INITIAL.fullmatch(words[i]):
+                yield Entity(place[i], place[i] + 1, "initial", words[i][0])
+            elif i < len(words) - 1 and _is_given(words[i]):
+                for m in _PART.finditer(words[i]):
+                    yield Entity(place[i] + m.start(), place[i] + m.end(), "given", m[0])
+            elif words[i].rstrip(".") not in _TITLE:
+                yield Entity(place[i], place[i] + len(words[i]), "surname", words[i])
+
+
+def _is_given(word: str) -> bool:
+    return word in _LISTS or ("-" in word and any(p in _LISTS for p in word.split("-")))
+
+
+def _secrets(text: str) -> Iterator[Entity]:
+    """What follows a keyword; a short plain word or number after a space, as in prose, only if the keyword is a password's."""
+    at = 0
+    for sep in _SEPARATOR.finditer(text):
+        if sep.start() < at:
+            continue
+        keyword = _KEYWORD.search(text, max(0, sep.start() - 24), sep.start())
+        m = keyword and _SECRET.match(text, sep.end())
+        if not m:
+            continue
+        start, end = m.span(m.lastindex)
+        bare = m.lastindex == 4
+        if bare:
+            end = start + len(text[start:end].rstrip(".,;:!?)]}>\"'"))
+        value = text[start:end]
+        if not any(map(str.isalnum, value)):
+            continue
+        if len(value) < 12 and ("\n" in m[1] or (bare and (m[1] or sep[0] == ":") and not keyword[0].lower().startswith("passw") and (value.isalpha() or not any(map(str.isalpha, value))))):
+            continue
+        yield Entity(start, end, "secret", value)
+        at = end
 
 
 def find(text: str | None) -> list[Entity]:
@@ -103,9 +137,7 @@ def find(text: str | None) -> list[Entity]:
             if kind == "ip" and max(map(int, m[0].split("."))) > 255:
                 continue
             out.append(Entity(m.start(), m.end(), kind, m[0]))
-    for m in _SECRET.finditer(text):
-        if _KEYWORD.search(text, max(0, m.start() - 24), m.start()):
-            out.append(Entity(m.start(1), m.end(1), "secret", m[1]))
+    out += _secrets(text)
     if "AKIA" in text or "gh" in text:
         out += [Entity(m.start(), m.end(), "secret", m[0]) for m in _KNOWN_KEY.finditer(text)]
     out += [Entity(m.start(), m.end(), "iban", m[0]) for m in _IBAN.finditer(text) if sum(x.isdigit() for x in m[0]) >= 8 and not (m.start() and text[m.start() - 1].isalnum())]
@@ -186,16 +218,21 @@ def _octets(value: str) -> list[range]:
 
 
 def _ciphered(key: bytes, tweak: str, value: str, free: list[tuple[int, str]]) -> str:
-    x, size = 0, 1
-    for i, abc in free:
-        x, size = x * len(abc) + abc.index(value[i]), size * len(abc)
+    """A permutation of the values of a format: long ones in blocks, each under a tweak of those before it."""
     template = list(value)
     for i, abc in free:
         template[i] = abc[0]
-    x = shift(key, tweak + "|" + "".join(template), x, size)
-    for i, abc in reversed(free):
-        x, r = divmod(x, len(abc))
-        template[i] = abc[r]
+    tweak += "|" + "".join(template)
+    for at in range(0, len(free) or 1, BLOCK):
+        block = free[at : at + BLOCK]
+        x, size = 0, 1
+        for i, abc in block:
+            x, size = x * len(abc) + abc.index(value[i]), size * len(abc)
+        before = "".join(value[i] for i, _ in free[:at])
+        x = shift(key, tweak + ("|" + hashlib.blake2b(before.encode(), key=key).hexdigest() if at else ""), x, size)
+        for i, abc in reversed(block):
+            x, r = divmod(x, len(abc))
+            template[i] = abc[r]
     return "".join(template)
 
 
@@ -216,7 +253,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
             return _ciphered(key, tweak, value, _letters(value, set(), True, False))
         names = GIVEN[_LISTS[own]]
         return names[shift(key, f"{tweak}|{_LISTS[own]}", names.index(own), len(names))].lower()
-    if kind == "surname":
+    if kind in ("surname", "initial"):
         return _ciphered(key, tweak, value, _letters(value, set(), True, False))
     if kind == "ip":
         spans = _octets(value)
@@ -322,8 +359,10 @@ def pseudonymise(docs: DataFrame, key: bytes = b"surrogates", text: str = "text"
     """``docs`` with surrogates in ``text``, and ``pii``: array of (start, end, kind) of each surrogate.
 
     Found are emails, phone numbers, IPv4 addresses, card numbers, social
-    security numbers, IBANs, secrets after a keyword, and names (a known given
-    name or a title, then a surname). An entity has the same surrogate in all
+    security numbers, IBANs, secrets after a keyword (to white space or the closing
+    quote), and names: from a known given name or a title, all given names,
+    initials and surnames of the capitalised words that follow one another (a
+    lower-case particle ends a name). An entity has the same surrogate in all
     rows, in the letter case of each mention, and different entities have
     different ones. Each row gives one row, repeated ones alike; other columns
     stay (one named ``pii`` is replaced). A null text stays null with no

@@ -59,6 +59,53 @@ def test_names_keep_gender_script_and_coreference():
     assert all(x[0].isupper() for x in sur) and re.fullmatch("[А-ЯЁа-яё]+", sur[2])
 
 
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("met Anna Maria Lopez today", "given:Anna given:Maria surname:Lopez"),
+        ("met Carlos Garcia Marquez, who", "given:Carlos surname:Garcia surname:Marquez"),
+        ("by John Q. Smith.", "given:John initial:Q surname:Smith"),
+        ("by J. Robert Q Adams.", "initial:J given:Robert initial:Q surname:Adams"),
+        ("Mr. J. R. Brown left", "initial:J initial:R surname:Brown"),
+        ("to Anna-Maria Lopez-Diaz.", "given:Anna given:Maria surname:Lopez-Diaz"),
+        ("Visit Maria Smith. Then John Martin", "given:Maria surname:Smith given:John surname:Martin"),
+    ],
+)
+def test_names_are_found_whole(text, names):
+    assert [f"{e.kind}:{e.value}" for e in find(text)] == names.split()
+    new, spans = replaced(text, KEY, {}, {})
+    assert all(new[a:b] != e.value for (a, b, _), e in zip(spans, find(text), strict=True))
+
+
+@pytest.mark.parametrize(
+    ("text", "secret"),
+    [
+        ("use token=eyJhbGciOi.eyJzdWIiOiIx.SflKxw-RJ_S now", "eyJhbGciOi.eyJzdWIiOiIx.SflKxw-RJ_S"),
+        ("password=Tr0ub4dor&3, then", "Tr0ub4dor&3"),
+        ("Password: hunter and", "hunter"),
+        ('{"password": "correct horse \\"battery", "n": 1}', 'correct horse \\"battery'),
+        ('url = "http://x.org/?api_key=a1b2" end', "a1b2"),
+        ("passwd='it is'", "it is"),
+        ("secret: " + "aZ3." * 5000, ("aZ3." * 5000)[:-1]),
+    ],
+)
+def test_secrets_are_found_whole(text, secret):
+    assert [(e.kind, e.value) for e in find(text)] == [("secret", secret)]
+    new, ((a, b, _),) = replaced(text, KEY, {}, {})
+    assert len(new) == len(text) and new[:a] + secret + new[b:] == text and secret not in new
+
+
+@pytest.mark.parametrize("text", ["The secret: never give up", "max tokens: 512", "Passwords:\n\nNext part"])
+def test_prose_after_a_keyword_is_no_secret(text):
+    assert find(text) == []
+
+
+def test_long_values_stay_different():
+    values = ["ab1" * 100 + c for c in "abcdefgh"] + [c + "ab1" * 100 for c in "bcdefgh"]
+    out = [surrogate(KEY, "secret", v) for v in values]
+    assert len(set(out)) == len(values) and all(x != v and len(x) == len(v) for x, v in zip(out, values, strict=True))
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 1000, 4097])
 def test_shift_is_a_permutation_without_fixed_points(size):
     got = [shift(KEY, "t", i, size) for i in range(size)]
