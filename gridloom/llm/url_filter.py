@@ -7,10 +7,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +16,12 @@ from gridloom.llm.common import stored
 
 #: (rule, verdict): a rule is a host and a path prefix.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-#: Words of the unigram model, at most, and places of the hashed token counts.
-WORDS, PLACES = 50_000, 1 << 16
+#: So many tokens share what naive Bayes sets aside for those not seen.
+PLACES = 1 << 16
+#: Words have 2 to this many letters.
 LONGEST_WORD = 24
+#: Rows, or parts of names, that one group of a lookup has, as powers of two.
+ROWS, PARTS = 11, 8
 #: Names of unwanted sites, one word after another: the examples of the class ``block``.
 UNWANTED = (
     "casino win", "casino slots jackpot", "poker bonus", "free bets", "bet win gambling", "cheap pills", "viagra pharmacy", "pills online pharmacy",
@@ -59,8 +60,9 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 class Words:
     """Unigram model of words, and the best split of a string into them."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """``total`` is that of all words, if ``counts`` has only those that can be in the strings."""
+        total = total or sum(counts.values()) + 1
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
         #: A letter outside any word costs more than the rarest word.
         self.unknown = math.log(total) + 3.0
@@ -92,66 +94,90 @@ class Words:
 _LETTERS = re.compile(r"[^\W\d_]+|\d+")
 
 
-def tokens(host: str, path: str, words: Words) -> list[str]:
-    """Host labels split into words, path parts likewise; digits are one kind of token."""
-    out = ["tld=" + host.rpartition(".")[2]]
-    for kind, s in (("h=", host.rpartition(".")[0]), ("p=", path.lower())):
-        for m in _LETTERS.findall(s):
-            out += [kind + "#"] if m[0].isdigit() else [kind + w for w in words.split(m)]
-    return out
+def parts_of(host: str, path: str) -> tuple[list[str], list[str]]:
+    """Runs of letters of the host without its last label, and of the path; runs of digits are all ``#``."""
+    return tuple(["#" if m[0].isdigit() else m for m in _LETTERS.findall(s)] for s in (host.rpartition(".")[0], path.lower()))
+
+
+def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
+    """``w, n``: every word of all pages' titles and texts (without tags, scripts and styles), and how often it occurs."""
+    text = F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
+    word = pages.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("w")).where(F.length("w").between(2, LONGEST_WORD))
+    return stored(word.groupBy("w").agg(F.count("*").alias("n")), "words")
+
 
+def _uses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        hosts, paths = Counter(), Counter()
+        for h, p in zip(pdf["host"], pdf["path"], strict=True):
+            x, y = parts_of(h, p)
+            hosts.update(x)
+            paths.update(y)
+        parts = list(hosts | paths)
+        if parts:
+            yield pd.DataFrame({"part": parts, "hosts": [hosts[x] for x in parts], "paths": [paths[x] for x in parts]})
 
-def place(token: str) -> int:
-    return xxhash.xxh32_intdigest(token) % PLACES
 
+def _substrings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for k, parts in pdf.groupby("bucket")["part"]:
+            got = {s[i:j] for s in parts for i in range(len(s)) for j in range(i + 2, min(len(s), i + LONGEST_WORD) + 1)}
+            if got:
+                yield pd.DataFrame({"bucket": k, "w": list(got)})
 
-def unigrams(pages: DataFrame, html: str = "html", most: int = WORDS) -> dict[str, int]:
-    """Counts of the words in all pages' titles, the ``most`` frequent ones, and of those listed here."""
-    title = F.lower(F.regexp_extract(F.col(html), r"(?is)<title>([^<]*)", 1))
-    word = pages.select(F.explode(F.split(title, r"[^\p{L}]+")).alias("w")).where(F.length("w").between(2, LONGEST_WORD))
-    top = word.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most)
-    # Collected directly, every task would send its own ``most`` words to the driver.
-    top = stored(top, "title-words")
-    counts = {r.w: r.n for r in top.collect()}
-    usual = max(2, sum(counts.values()) // 5000)
-    return counts | {w: max(usual, counts.get(w, 0)) for w in {*ORDINARY, *" ".join(UNWANTED).split()}}
 
+def _needs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for k, rows in pdf.groupby("bucket"):
+            got = {x for h, p in zip(rows["host"], rows["path"], strict=True) for side in parts_of(h, p) for x in side}
+            if got:
+                yield pd.DataFrame({"bucket": k, "part": list(got)})
 
-def naive_bayes(urls: DataFrame, words: Words) -> np.ndarray:
-    """Log odds (block against allow) by token place, and those of the classes at the end.
 
-    ``urls(host, path)``: all of them count for ``allow``, so that a listed word
-    that is usual earns its own count. The class ``block`` is a mixture of the same counts and of
-    the unwanted names, in hosts and in paths, so that usual tokens decide
-    nothing: a token in no name has the log odds ln(1 - MIXED). Tasks count by
-    place, of which there are ``PLACES``, so what is gathered is bounded.
+def split_parts(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """``part, hosts, paths, tokens, listed`` of every different part in ``rows(host, path)``.
+
+    ``hosts`` and ``paths`` are how often it occurs, ``tokens`` is the number of
+    words in its best split, ``listed`` has those of unwanted names. Only words
+    that are substrings of a part meet it: parts go in groups, whose different
+    substrings are joined with all words before the search.
+    """
+    uses = rows.select("host", "path").mapInPandas(_uses, "part string, hosts long, paths long").groupBy("part").agg(F.sum("hosts").alias("hosts"), F.sum("paths").alias("paths"))
+    uses = stored(uses.withColumn("bucket", F.shiftright(F.monotonically_increasing_id(), PARTS)), "parts")
+    listed = {w for name in UNWANTED for w in name.split()}
+    known = {r.w: r.n for r in words.where(F.col("w").isin(*{*ORDINARY, *listed})).collect()}
+    total = words.agg(F.sum("n").alias("n")).first()["n"] or 0
+    usual = max(2, total // 5000)
+    least = {w: max(usual, known.get(w, 0)) for w in {*ORDINARY, *listed}}
+    total += sum(least.values()) - sum(known.values()) + 1
+
+    def run(parts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        w = Words(dict(zip(found["w"], found["n"].tolist(), strict=True)) | least, total)
+        split = [w.split(x) for x in parts["part"]]
+        return parts[["part", "hosts", "paths"]].assign(tokens=[len(x) for x in split], listed=[[t for t in x if t in listed] for x in split])
+
+    found = uses.select("bucket", "part").mapInPandas(_substrings, "bucket long, w string").join(words, "w").select("bucket", "w", "n")
+    out = uses.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInPandas(run, "part string, hosts long, paths long, tokens long, listed array<string>")
+    return stored(out, "splits")
+
+
+def naive_bayes(parts: DataFrame, rows: int) -> dict[str, float]:
+    """Log odds (block against allow) of the tokens of unwanted names; any other has ln(1 - MIXED).
+
+    All urls count for ``allow``, so that a listed word that is usual earns its
+    own count. The class ``block`` is a mixture of the same counts and of the
+    unwanted names, in hosts and in paths, so that usual tokens decide nothing.
+    The last label of each of the ``rows`` hosts is one token.
     """
-    sent = urls.sparkSession.sparkContext.broadcast((words.cost, words.unknown, words.longest))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = Words({})
-        w.cost, w.unknown, w.longest = sent.value
-        seen = np.zeros(PLACES, dtype=np.int64)
-        for pdf in batches:
-            for h, p in zip(pdf["host"], pdf["path"], strict=True):
-                for t in tokens(h, p, w):
-                    seen[place(t)] += 1
-        at = np.flatnonzero(seen)
-        yield pd.DataFrame({"place": at.astype(np.int32), "n": seen[at]})
-
-    allow, block = np.ones(PLACES), np.zeros(PLACES)
-    for r in urls.mapInPandas(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
-        allow[r.place] += r.n
-    for name in UNWANTED:
-        for w in name.split():
-            block[place("h=" + w)] += 1
-            block[place("p=" + w)] += 1
-    allow, block = allow / allow.sum(), block / block.sum()
-    odds = np.log((1 - MIXED) * allow + MIXED * block) - np.log(allow)
-    return np.append(odds, math.log(PRIOR / (1 - PRIOR))).astype(np.float32)
-
-
-def judge_urls(pages: DataFrame, url: str = "url", html: str = "html", columns: tuple[str, ...] = ("page_id",), rules=RULES, words: int = WORDS) -> DataFrame:
+    total = PLACES + rows + (parts.agg(F.sum(F.col("tokens") * (F.col("hosts") + F.col("paths"))).alias("n")).first()["n"] or 0)
+    seen: Counter[str] = Counter()
+    for r in parts.select(F.explode("listed").alias("w"), "hosts", "paths").groupBy("w").agg(F.sum("hosts").alias("h"), F.sum("paths").alias("p")).collect():
+        seen |= {"h=" + r.w: r.h, "p=" + r.w: r.p}
+    block = Counter(kind + w for name in UNWANTED for w in name.split() for kind in ("h=", "p="))
+    return {t: math.log(1 - MIXED + MIXED * (n / block.total()) * total / (1 + seen[t])) for t, n in block.items()}
+
+
+def judge_urls(pages: DataFrame, url: str = "url", html: str = "html", columns: tuple[str, ...] = ("page_id",), rules=RULES) -> DataFrame:
     """host, path, rule, verdict and p_block for every row of ``pages``, with its ``columns``.
 
     A null url, or one without ``://``, has an empty host and path, no rule, and
@@ -159,29 +185,32 @@ def judge_urls(pages: DataFrame, url: str = "url", html: str = "html", columns:
     else null; ``verdict`` is the rule's, else ``block`` where multinomial naive
     Bayes makes it likelier than ``allow`` (a tie allows). The Bayes model sets
     the listed unwanted names against all urls of the input; the words by which
-    names are split come from all titles. Null html gives no words. Repeated rows get equal
-    verdicts. Both models are of bounded size, whatever the input.
+    names are split are all those of the pages' titles and texts. Null html
+    gives no words. Repeated rows get equal verdicts. Words, parts and splits
+    are tables, joined by groups of rows, so that no key is in one task more
+    often than there are groups.
     """
     base = pages.select(*[F.col(c) for c in columns], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     base = base.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     by_rule = F.create_map(*[F.lit(x) for r in rules for x in r])
-    model = Words(unigrams(pages, html, words))
-    odds = naive_bayes(base.select("host", "path"), model)
-    sent = pages.sparkSession.sparkContext.broadcast((model.cost, model.unknown, model.longest, odds))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost, unknown, longest, odds = sent.value
-        w = Words({})
-        w.cost, w.unknown, w.longest = cost, unknown, longest
-        for b in batches:
-            rows = b.column("row")
-            p = []
-            for h, x in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True):
-                s = float(odds[PLACES]) + sum(float(odds[place(t)]) for t in tokens(h, x, w))
-                p.append(1 / (1 + math.exp(-max(-500.0, min(500.0, s)))))
-            yield pa.RecordBatch.from_arrays([rows, pa.array(p, pa.float64())], names=["row", "p_block"])
-
-    shaped = base.select(F.struct("*").alias("row"), "host", "path")
-    out = shaped.mapInArrow(run, f"row {shaped.schema['row'].dataType.simpleString()}, p_block double").select("row.*", "p_block")
+    shaped = stored(base.select(F.struct("*").alias("row"), "host", "path", F.shiftright(F.monotonically_increasing_id(), ROWS).alias("bucket")), "urls")
+    parts = split_parts(shaped, word_counts(pages, html))
+    odds = naive_bayes(parts, shaped.count())
+    prior, usual = math.log(PRIOR / (1 - PRIOR)), math.log(1 - MIXED)
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        found = {r["part"]: (r["tokens"], r["listed"]) for r in found.to_pylist()}
+        p = []
+        for h, x in zip(rows.column("host").to_pylist(), rows.column("path").to_pylist(), strict=True):
+            s = prior + usual
+            for kind, side in zip(("h=", "p="), parts_of(h, x), strict=True):
+                for part in side:
+                    n, listed = found[part]
+                    s += usual * (n - len(listed)) + sum(odds[kind + w] for w in listed)
+            p.append(1 / (1 + math.exp(-max(-500.0, min(500.0, s)))))
+        return pa.table({"row": rows.column("row"), "p_block": pa.array(p, pa.float64())})
+
+    found = shaped.select("bucket", "host", "path").mapInPandas(_needs, "bucket long, part string").join(parts.select("part", "tokens", "listed"), "part")
+    out = shaped.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(run, f"row {shaped.schema['row'].dataType.simpleString()}, p_block double").select("row.*", "p_block")
     verdict = F.coalesce(by_rule[F.col("rule")], F.when(F.col("p_block") > 0.5, "block").otherwise("allow"))
     return out.select(*columns, "host", "path", "rule", verdict.alias("verdict"), "p_block")

@@ -70,6 +70,21 @@ def test_usual_words_of_clean_hosts_do_not_block(spark):
     assert got.pop("casinoslotsjackpot.org") == "block" and set(got.values()) == {"allow"}
 
 
+@pytest.mark.parametrize("url", [None, "http://", "http://1.x/", "http://a.x/b/2"])
+def test_urls_without_words(spark, url):
+    (r,) = judge_urls(spark.createDataFrame([(1, url, None)], "page_id long, url string, html string")).collect()
+    assert r.verdict == "allow" and r.p_block < 0.05
+
+
+MANY = " ".join(f"{''.join(x)} {''.join(x)}" for x in itertools.islice(itertools.product("bcdfghjklm", repeat=5), 60_000))
+
+
+@pytest.mark.parametrize("html", ["<title>a county</title><script>var x</script><body><p>The county of <b>Essex</b>.</p>", f"<title>{MANY} essex</title>"], ids=["body", "rare"])
+def test_hosts_split_by_all_words_of_the_pages(spark, html):
+    df = spark.createDataFrame([(1, "http://essex.org/", html), (2, "http://casinopoker.org/", None)], "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in judge_urls(df).collect()} == {1: "allow", 2: "block"}
+
+
 def test_pages(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/pages.parquet")
     urls = {r.page_id: r.url for r in df.select("page_id", "url").collect()}
