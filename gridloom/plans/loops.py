@@ -37,7 +37,8 @@ def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], steps
 def until(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], measure: Callable[[DataFrame], Column], enough: Callable[[object], bool], most: int = 1000) -> tuple[DataFrame, int, object]:
     """Steps until ``enough(measure)``: each round reduces the state to one value on the driver.
 
-    Returns the state, the number of steps taken, and the last value.
+    Returns the state, the number of steps taken, and the last value. An error
+    says so if ``most`` steps are not enough.
     """
     value = None
     for t in range(most):
@@ -45,7 +46,7 @@ def until(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], measure
         value = state.agg(measure(state).alias("m")).first()["m"]
         if enough(value):
             return state, t + 1, value
-    return state, most, value
+    raise RuntimeError(f"the loop did not end in {most} steps: the last value is {value}")
 
 
 def supersteps(buffer: Buffer, step: Callable[[Callable[[str, int, int], Column], int], dict[str, Column]], steps: int, reach: int = 1, border: str = "edge", per: int = 4, tile: Sequence[int] = TILE) -> Buffer:

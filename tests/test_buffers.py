@@ -190,3 +190,9 @@ def test_groups_keep_nulls(spark):
     got = g.df.select("i0", g.tile("v").alias("t"), g.select_from("v", 2 - F.col("lane")).alias("r"), g.select_from("v", F.lit(9)).alias("beyond")).orderBy("i0").collect()
     assert [r.t for r in got] == [[0, None, 2]] * 3 + [[3, None, 5]] * 3
     assert [r.r for r in got] == [2, None, 0, 5, None, 3] and all(r.beyond is None for r in got)
+
+
+def test_until_says_when_its_steps_are_not_enough(spark):
+    df = spark.createDataFrame([(0, 1.0)], "i0 long, v double")
+    with pytest.raises(RuntimeError, match="did not end in 2 steps"):
+        until(df, lambda s, t: s.withColumn("v", F.col("v") / 2), lambda s: F.max("v"), lambda m: m < 0.2, most=2)
