@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.buffer import Buffer
 from ..operators.kernels import TILE, neighbour, tiled
+from ..sources.storage import shared_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -16,12 +18,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            import tempfile
-
-            named = "file://" + tempfile.mkdtemp(prefix="checkpoints-")  # one machine, as in tests
-        sc.setCheckpointDir(named)
+        sc.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
 
 
@@ -34,14 +31,15 @@ def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], steps
     return state
 
 
-def until(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], measure: Callable[[DataFrame], Column], enough: Callable[[object], bool], most: int = 1000) -> tuple[DataFrame, int, object]:
+def until(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], measure: Callable[[DataFrame], Column], enough: Callable[[object], bool], most: int | None = None) -> tuple[DataFrame, int, object]:
     """Steps until ``enough(measure)``: each round reduces the state to one value on the driver.
 
-    Returns the state, the number of steps taken, and the last value. An error
-    says so if ``most`` steps are not enough.
+    Returns the state, the number of steps taken, and the last value. It goes on
+    as long as it takes, unless ``most`` is given: an error then says that so
+    many steps are not enough.
     """
     value = None
-    for t in range(most):
+    for t in count() if most is None else range(most):
         state = cut(step(state, t))
         value = state.agg(measure(state).alias("m")).first()["m"]
         if enough(value):
