@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,25 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.sources.storage import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests
-    in one process), a folder of this machine is set and used.
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not d:
-        d = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d.rstrip("/")
-
-
 def _tables(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
 
@@ -67,8 +54,12 @@ def few_or_many(df: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+#: Nodes that a task holds at once while it shrinks its edges.
+HELD = 500_000
+
+
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A spanning forest of a partition's edges, as (a, root) rows."""
+    """A spanning forest of each run of a partition's edges (of about HELD nodes), as (a, root) rows."""
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -78,19 +69,24 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x = parent[x]
         return x
 
+    def forest() -> Iterator[pd.DataFrame]:
+        pairs = [(r, x) for x in list(parent) if (r := find(x)) != x]
+        parent.clear()
+        for i in range(0, len(pairs), 100_000):
+            part = pairs[i : i + 100_000]
+            yield pd.DataFrame({"a": [p[0] for p in part], "b": [p[1] for p in part]})
+
     for pdf in batches:
         for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
             ra, rb = find(a), find(b)
             if ra != rb:
                 parent[max(ra, rb)] = min(ra, rb)
-    pairs = [(find(x), x) for x in list(parent)]
-    pairs = [p for p in pairs if p[0] != p[1]]
-    for i in range(0, len(pairs), 100_000):
-        part = pairs[i : i + 100_000]
-        yield pd.DataFrame({"a": [p[0] for p in part], "b": [p[1] for p in part]})
+        if len(parent) > HELD:
+            yield from forest()
+    yield from forest()
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a long, b long)``.
 
     Returns ``(node, component)`` for every node that has an edge to another
@@ -100,12 +96,14 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     Each partition first shrinks its edges to a spanning forest. Then large-star
     and small-star rounds alternate: each is one grouped minimum (combined
     before the shuffle) and one equi-join that can be split if a node is hot.
-    Every round is written to the shared folder. No edge list is collected.
+    Every round is written to the shared folder. No edge list is collected. The
+    rounds go on until one changes nothing; they end for any input, as a round
+    that changes an edge gives a node a smaller neighbour.
     """
     clean = edges.where("a is not null and b is not null and a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
     e = stored(clean.mapInPandas(_forest, "a long, b long").distinct(), "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         # Large star: each node's larger neighbours point to its smallest neighbour.
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -119,7 +117,5 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if before == now:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     out = e.groupBy("b").agg(F.min("a").alias("component")).select(F.col("b").alias("node"), "component")
     return out.unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

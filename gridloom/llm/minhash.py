@@ -24,12 +24,8 @@ SAMPLES = BANDS * ROWS
 COUNTERS, BLOCK = 1 << 22, 1 << 14
 #: Shares of documents below this weigh like it; and how much more a rare shingle weighs than one in all documents.
 RARE, SPAN = 2.0**-12, 0.5
-#: Pairs whose samples agree less often than this aren't verified: more than five standard errors below 0.8.
-DOUBT = 0.5
-#: Members of a bucket in a tile, members of a bucket whose pairs are listed, and rows of such buckets in a task, about.
-TILE, SMALL, POOL = 256, 64, 2000
-#: Characters of the texts in a tile, about.
-TILE_CHARS = 4_000_000
+#: Members of a bucket in a tile, and characters of their texts, about. They only say how work is cut.
+TILE, TILE_CHARS = 256, 4_000_000
 
 _M1, _M2, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x100000001B3)
 #: Entries of the tables of draws of c, and of r with beta.
@@ -240,15 +236,6 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
     return out.reshape(2, COUNTERS)
 
 
-def likely_pairs(ids: np.ndarray, comps: np.ndarray, sigs: np.ndarray, doubt: float = DOUBT) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a < b) of different components, within one small bucket, whose samples agree often enough."""
-    agree = np.zeros((len(ids), len(ids)), np.int16)
-    for k in range(sigs.shape[1]):
-        agree += sigs[:, k, None] == sigs[None, :, k]
-    i, j = np.nonzero((agree >= doubt * sigs.shape[1]) & (comps[:, None] != comps[None, :]) & (ids[:, None] < ids[None, :]))
-    return ids[i], ids[j]
-
-
 def similarities(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np.ndarray]], width: int = 4096) -> np.ndarray:
     """The weighted Jaccard similarity of each set of ``a`` with each of ``b``, by matrix products.
 
@@ -311,15 +298,6 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _listed(pdf: pd.DataFrame) -> pd.DataFrame:
-    out: set[tuple[int, int]] = set()
-    for _, g in pdf.groupby("key"):
-        sigs = np.frombuffer(b"".join(g["sig"]), np.uint16).reshape(-1, SAMPLES)
-        a, b = likely_pairs(g["rep"].to_numpy(np.int64), g["comp"].to_numpy(np.int64), sigs)
-        out.update(zip(a.tolist(), b.tolist(), strict=True))
-    return pd.DataFrame(sorted(out), columns=["a", "b"]).astype({"a": np.int64, "b": np.int64})
-
-
 def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("rep")
     pure = pdf["comp"].iat[0] if pdf["comp"].nunique() == 1 else None
@@ -340,18 +318,17 @@ class NearDuplicates:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             idf = sent.value
             for cols in _slices(batches):
-                ids, keys, sigs, bands = [], [], [], []
+                ids, keys, bands = [], [], []
                 for i, text in zip(cols["id"], cols["text"], strict=True):
                     h, tf = shingles(text)
                     if len(h):
                         s = sample(h, weights(h, tf, idf))
                         ids.append(i)
                         keys.append(xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")))
-                        sigs.append((s >> np.uint64(17)).astype(np.uint16).tobytes())
                         bands.append(bands_of(s).tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "key", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "key", "bands"])
 
-        return self.docs.mapInArrow(run, "id long, key binary, sig binary, bands array<long>")
+        return self.docs.mapInArrow(run, "id long, key binary, bands array<long>")
 
     def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose similarity is at least ``least``."""
@@ -379,17 +356,59 @@ class NearDuplicates:
         return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
     def crossed(self, members: DataFrame, texts: DataFrame) -> DataFrame:
-        """Links (a, b) that join the components of large buckets ``members(key, rep, comp)``, found in tiles."""
+        """Links (a, b) that join the components of open buckets ``members(key, rep, comp)``: all pairs of different components.
+
+        A bucket is cut into tiles; those of a large component hold it alone.
+        Buckets of one tile are compared where they are gathered, many to a
+        task; tiles of larger ones meet one another. Each pair of different
+        components is compared exactly, whatever the number of tiles.
+        """
         sent, least = self.sent, self.least
+
+        def of(text: str) -> tuple[np.ndarray, np.ndarray]:
+            h, tf = shingles(text)
+            return h, weights(h, tf, sent.value)
+
+        def links(ids, comps, sets, ids2, comps2, sets2) -> list[tuple[int, int]]:
+            ok = (similarities(sets, sets2) >= least) & (np.asarray(comps)[:, None] != np.asarray(comps2)[None, :])
+            i, j = np.nonzero(ok)
+            return forest(np.asarray(ids)[i], np.asarray(ids2)[j])
+
         sizes = texts.select("rep", F.length("text").alias("chars"))
         members = members.join(sizes, "rep")
         load = F.greatest(F.count("*") / TILE, F.sum("chars") / TILE_CHARS)
-        each = members.groupBy("key", "comp").agg(load.alias("m"))
+        each = members.groupBy("key", "comp").agg(load.alias("m"), F.sum("chars").alias("c"))
         alone = F.col("m") > 1
-        rest = each.groupBy("key").agg(F.sum(F.when(~alone, F.col("m"))).alias("rest"))
-        each = each.join(rest, "key").withColumn("deal", F.greatest(F.lit(1), F.ceil(F.when(alone, F.col("m")).otherwise(F.col("rest")))))
-        block = F.when(alone, F.concat_ws(":", "comp", F.pmod(F.xxhash64("rep"), "deal"))).otherwise(F.concat(F.lit("-"), F.pmod(F.xxhash64("comp"), "deal").cast("string")))
-        dealt = stored(members.join(each, ["key", "comp"]).select("key", "rep", "comp", block.alias("block")), "dealt")
+        rest = each.groupBy("key").agg(F.sum(F.when(~alone, F.col("m"))).alias("rest"), F.sum("m").alias("all"), F.sum("c").alias("chars"))
+        each = stored(each.drop("c").join(rest, "key"), "loads")
+        members = stored(members.drop("chars").join(each, ["key", "comp"]), "open-members")
+
+        one = members.where("all <= 1").select("key", "rep", "comp")
+        pools = max(1, int((each.where("all <= 1").select("key", "chars").distinct().agg(F.sum("chars")).first()[0] or 0) // TILE_CHARS))
+
+        def within(pdf: pd.DataFrame) -> pd.DataFrame:
+            sets, out = {}, set()
+            for rep, text in zip(pdf["rep"].tolist(), pdf["text"], strict=True):
+                if rep not in sets:
+                    sets[rep] = of(text)
+            for _, g in pdf.groupby("key"):
+                ids, comps = g["rep"].tolist(), g["comp"].to_numpy(np.int64)
+                mine = [sets[i] for i in ids]
+                out.update(links(ids, comps, mine, ids, comps, mine))
+            return pd.DataFrame(sorted(out), columns=["a", "b"]).astype({"a": np.int64, "b": np.int64})
+
+        # Buckets of the same members count once.
+        w = one.groupBy("key").agg(F.min("rep").alias("low"), F.sum(F.xxhash64("rep") % F.lit(1 << 40)).alias("x"), F.sum(F.xxhash64(F.lit(1), "rep") % F.lit(1 << 40)).alias("y"), F.count("*").alias("n"))
+        w = w.groupBy("low", "x", "y", "n").agg(F.min("key").alias("key"))
+        pooled = one.join(w.select("key", F.pmod(F.xxhash64("low", "x"), F.lit(pools)).alias("pool")), "key").join(texts, "rep")
+        found = stored(pooled.groupBy("pool").applyInPandas(within, "a long, b long").distinct(), "links")
+
+        many = members.where("all > 1")
+        if many.isEmpty():
+            return found
+        deal = F.greatest(F.lit(1), F.ceil(F.when(alone, F.col("m")).otherwise(F.col("rest"))))
+        block = F.when(alone, F.concat_ws(":", "comp", F.pmod(F.xxhash64("rep"), deal))).otherwise(F.concat(F.lit("-"), F.pmod(F.xxhash64("comp"), deal).cast("string")))
+        dealt = many.select("key", "rep", "comp", block.alias("block"))
         packed = dealt.join(texts, "rep").groupBy("key", "block").applyInPandas(_pack, "key long, block string, pure long, ids array<long>, comps array<long>, texts array<string>")
         packed = stored(packed, "blocks")
         # The tiles of a bucket's largest component meet only those of others.
@@ -400,30 +419,21 @@ class NearDuplicates:
         right = packed.select("key", F.col("block").alias("block2"), *[F.col(c).alias(f"{c}2") for c in ("ids", "comps", "texts")])
         both = meet.join(packed.drop("pure"), ["key", "block"]).join(right, ["key", "block2"])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            idf = sent.value
-
-            def of(text: str):
-                h, tf = shingles(text)
-                return h, weights(h, tf, idf)
-
+        def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for cols in _slices(batches, 1):
                 r = {k: v[0] for k, v in cols.items()}
                 a = [of(t) for t in r["texts"]]
                 b = a if r["block"] == r["block2"] else [of(t) for t in r["texts2"]]
-                ok = (similarities(a, b) >= least) & (np.asarray(r["comps"])[:, None] != np.asarray(r["comps2"])[None, :])
-                i, j = np.nonzero(ok)
-                got = forest(np.asarray(r["ids"])[i], np.asarray(r["ids2"])[j])
+                got = links(r["ids"], r["comps"], a, r["ids2"], r["comps2"], b)
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in got], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        return both.repartition("key", "block", "block2").mapInArrow(run, "a long, b long")
+        return found.unionByName(stored(both.repartition("key", "block", "block2").mapInArrow(across, "a long, b long"), "links"))
 
     def classes(self) -> DataFrame:
         """(id, component) of the documents with words."""
         sigs = stored(self.signatures(), "samples")
-        best = sigs.groupBy("key").agg(F.min_by(F.struct("id", "sig", "bands"), "id").alias("s"))
-        reps = stored(best.select("key", F.col("s.id").alias("rep"), F.col("s.sig").alias("sig"), F.col("s.bands").alias("bands")), "texts")
-        one = reps.groupBy("rep").agg(F.first("sig").alias("sig"))  # an id with several texts is still one document
+        best = sigs.groupBy("key").agg(F.min_by(F.struct("id", "bands"), "id").alias("s"))
+        reps = stored(best.select("key", F.col("s.id").alias("rep"), F.col("s.bands").alias("bands")), "texts")
         put = reps.select("rep", F.explode("bands").alias("key")).distinct()
         shared = put.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last").select("key", "lead")
         members = stored(put.join(shared, "key"), "buckets")
@@ -435,16 +445,8 @@ class NearDuplicates:
         comp = components(links)
         state = members.select("key", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
         state = stored(state, "state")
-        sizes = state.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key", "n")
-        sizes = stored(sizes, "open")
-        small = state.join(sizes.where(F.col("n") <= SMALL).select("key"), "key", "left_semi")
-        pools = max(1, (sizes.where(F.col("n") <= SMALL).agg(F.sum("n")).first()[0] or 0) // POOL)
-        listed = small.join(one, "rep").groupBy(F.pmod(F.xxhash64("key"), F.lit(pools)).alias("pool")).applyInPandas(_listed, "a long, b long")
-        fresh = stored(listed.distinct().join(pairs, ["a", "b"], "left_anti"), "fresh")
-        links = links.unionByName(stored(self.verified(fresh, texts), "links"))
-        large = state.join(sizes.where(F.col("n") > SMALL).select("key"), "key", "left_semi")
-        if not sizes.where(F.col("n") > SMALL).isEmpty():
-            links = links.unionByName(stored(self.crossed(large, texts), "links"))
+        open_keys = state.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+        links = links.unionByName(self.crossed(stored(state.join(open_keys, "key", "left_semi"), "open"), texts))
         copies = sigs.join(reps.select("key", "rep"), "key").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
         comp = components(copies.unionByName(links))
         ids = sigs.select("id").distinct()
@@ -469,10 +471,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of equal text form one class, whose smallest id stands for it. Members of a
     band's bucket are first compared with its smallest id. Then only buckets
     whose members are in several components are open: all pairs of different
-    components are compared, in small buckets where their samples agree by half
-    at least, in large ones all, tile by tile in matrix products that return a
-    spanning forest of their links. So a hot bucket costs what its components
-    differ in, and no pair that shares a band is left out.
+    components are compared exactly, by one rule for buckets of any size, tile
+    by tile in matrix products that return a spanning forest of their links. So
+    a hot bucket costs what its components differ in, and no pair that shares a
+    band is left out.
     """
     bounded_batches(docs.sparkSession)
     run = NearDuplicates(docs, doc_id, text, least)

@@ -80,9 +80,11 @@ def test_against_all_pairs_on_documents(spark, sf_dir):
     assert found(near_duplicates(docs)) == brute(rows)
 
 
-def test_large_buckets_in_tiles(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "TILE", 2)
-    monkeypatch.setattr(minhash, "SMALL", 2)
+@pytest.mark.parametrize(("tile", "chars"), [(2, 4_000_000), (256, 3000), (10_000, 4_000_000)])
+def test_the_size_of_tiles_changes_nothing(spark, monkeypatch, tile, chars):
+    """A pair's outcome does not depend on how its bucket is cut."""
+    monkeypatch.setattr(minhash, "TILE", tile)
+    monkeypatch.setattr(minhash, "TILE_CHARS", chars)
     rows = corpus(5)
     assert found(near_duplicates(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
 
