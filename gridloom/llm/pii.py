@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import os
 import re
+import secrets
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, stored
@@ -25,7 +30,7 @@ GIVEN = {
 }
 #: Titles before a surname, by gender.
 TITLES = {"f": "Mrs Ms Miss Frau Señora Sra Madame Mme Mademoiselle Госпожа Κυρία".split(), "m": "Mr Herr Señor Sr Monsieur Mister Господин Κύριος".split()}
-#: Letters that stand for one another in a surrogate (in names vowels stay vowels).
+#: Letters that stand for one another in a surrogate (in names vowels stay vowels); those of other scripts follow a rule.
 ALPHABETS = {
     "digit": "0123456789", "hex": "0123456789abcdef",
     "latin": "abcdefghijklmnopqrstuvwxyz", "latin accents": "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœß",
@@ -34,30 +39,32 @@ ALPHABETS = {
 #: Characters that a cipher takes at once: its rounds' hashes have 64 bytes.
 BLOCK = 150
 VOWELS = {"latin": "aeiouy", "latin accents": "àáâãäåæèéêëìíîïòóôõöøùúûüýÿœ", "cyrillic": "аеиоуыэюяё", "greek": "αεηιουωάέήίόύώ"}
-#: Words before ``=`` or ``:`` that make what follows a secret.
-_KEYWORD = re.compile(r"(?i:token|secret|passw(?:or)?d|passwd|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?\s*\Z")
-
+#: Words before ``=`` or ``:`` that make what follows a secret, and characters of the longest.
+_KEYWORD, KEYWORD = re.compile(r"(?i:token|secret|passw(?:or)?d|passwd|api[_-]?key|access[_-]?key|auth|credential)s?\Z"), 16
 #: A secret stands between quotes, or runs to white space or to a quote that closes something around it.
 _SECRET = re.compile(r"""(\s{0,3})(?:"((?:\\.|[^"\\\n])+)"|'((?:\\.|[^'\\\n])+)'|["']?((?:(?!["'](?:[\s,;:)}\]<>]|\Z))\S)+))""")
 _SEPARATOR = re.compile("[=:]")
 _KNOWN_KEY = re.compile(r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])")
 _AT = re.compile(r"@[\w-]+(?:\.[\w-]+)+")
-_LOCAL = re.compile(r"[\w.+%-]+\Z")
 _CHUNK = re.compile(r"[+(\d][\d().\- /]{5,}")
 _NUMBER = re.compile(
-    r"(?<![\w.])(?:(?P<card>\d{4}(?P<s>[ -]?)\d{4}(?P=s)\d{4}(?P=s)\d{1,7}(?!\w))"
-    r"|(?P<ip>(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d))"
+    r"(?<![\w.])(?:(?P<card>(?:\d{4}(?P<s>[ -]?)\d{4}(?P=s)\d{4}(?P=s)\d{1,7}|\d{4}(?P<t>[ -])\d{6}(?P=t)\d{5})(?!\w))"
+    r"|(?P<ip>(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.\d))"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4}(?!\w))"
     r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\w)|\d{3}(?P<d>[-.])\d{3}(?P=d)\d{4}(?!\w)))"
 )
-_IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-_CAPITAL = "[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ]"
-_NAME = re.compile(rf"{_CAPITAL}(?:[\w'-]*\w)?\.?(?: (?:{_CAPITAL}[\w'-]*\w|{_CAPITAL}(?:\.|(?= {_CAPITAL}))))+")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+_CAPITAL = "[" + "".join(c for c in map(chr, range(1 << 16)) if unicodedata.category(c) in ("Lu", "Lt")) + "]"
+_NAME = re.compile(rf"{_CAPITAL}(?:[\w'-]*\w)?\.?(?: (?:{_CAPITAL}[\w'-]*\w|{_CAPITAL}(?:\.|(?= {_CAPITAL}))|(?!I){_CAPITAL}(?!\w)))+")
 _INITIAL = re.compile(rf"{_CAPITAL}\.?")
 _PART = re.compile("[^-]+")
+#: Words that introduce a name of two words or more, and characters of the longest.
+_CUE, CUE = re.compile(r"(?i:\b(?:name is|name:|i am|i'm|dear|signed|sincerely,?|regards,?|attn:?|attention:|nombre es|me llamo|name ist|ich heiße|m'appelle|nom est|меня зовут|με λένε))\s\Z"), 16
 _GENDER = {n: g for (_, g), names in GIVEN.items() for n in names}
 _LISTS = {n: key for key, names in GIVEN.items() for n in names}
 _TITLE = {t: g for g, ts in TITLES.items() for t in ts}
+#: Of these words, those that may begin a run of capitalised words themselves.
+_OPENING = {"dear", "signed", "sincerely", "regards", "attn", "attention"}
 
 
 @dataclass(frozen=True)
@@ -78,14 +85,19 @@ def _names(text: str) -> Iterator[Entity]:
             place.append(at)
             at += len(w) + 1
         first = next((i for i, w in enumerate(words[:-1]) if w.rstrip(".") in _TITLE or _is_given(w)), None)
-        if first is None:
-            continue
+        told = first is None and bool(_CUE.search(text, max(0, m.start() - CUE), m.start()))
+        if first is None and not told:
+            told = len(words) > 2 and words[0].lower() in _OPENING
+            if not told:
+                continue
+            first = 1
+        first = first or 0
         while first and _INITIAL.fullmatch(words[first - 1]):
             first -= 1
         for i in range(first, len(words)):
             if _INITIAL.fullmatch(words[i]):
                 yield Entity(place[i], place[i] + 1, "initial", words[i][0])
-            elif i < len(words) - 1 and _is_given(words[i]):
+            elif i < len(words) - 1 and (told or _is_given(words[i])):
                 for m in _PART.finditer(words[i]):
                     yield Entity(place[i] + m.start(), place[i] + m.end(), "given", m[0])
             elif words[i].rstrip(".") not in _TITLE:
@@ -93,7 +105,8 @@ def _names(text: str) -> Iterator[Entity]:
 
 
 def _is_given(word: str) -> bool:
-    return word in _LISTS or ("-" in word and any(p in _LISTS for p in word.split("-")))
+    """A listed given name, alone or joined to others, as it is or in capitals."""
+    return any(p in _LISTS or (p.isupper() and len(p) > 2 and p.title() in _LISTS) for p in word.split("-"))
 
 
 def _secrets(text: str) -> Iterator[Entity]:
@@ -102,7 +115,11 @@ def _secrets(text: str) -> Iterator[Entity]:
     for sep in _SEPARATOR.finditer(text):
         if sep.start() < at:
             continue
-        keyword = _KEYWORD.search(text, max(0, sep.start() - 24), sep.start())
+        end = sep.start()
+        while end > at and text[end - 1].isspace():
+            end -= 1
+        end -= end > at and text[end - 1] in "\"'"
+        keyword = _KEYWORD.search(text, max(at, end - KEYWORD), end)
         m = keyword and _SECRET.match(text, sep.end())
         if not m:
             continue
@@ -125,10 +142,14 @@ def find(text: str | None) -> list[Entity]:
         return []
     out: list[Entity] = []
     if "@" in text:
+        done = 0
         for m in _AT.finditer(text):
-            local = _LOCAL.search(text, max(0, m.start() - 64), m.start())
-            if local:
-                out.append(Entity(local.start(), m.end(), "email", text[local.start() : m.end()]))
+            start = m.start()
+            while start > done and ((c := text[start - 1]).isalnum() or c in "._+%-"):
+                start -= 1
+            if start < m.start():
+                out.append(Entity(start, m.end(), "email", text[start : m.end()]))
+            done = m.end()
     for c in _CHUNK.finditer(text):
         for m in _NUMBER.finditer(text, c.start(), c.end()):
             kind = m.lastgroup
@@ -188,20 +209,35 @@ def shift(key: bytes, tweak: str, x: int, size: int) -> int:
     return walk((walk(x, False) + 1) % size, True) if size > 1 else x
 
 
+@lru_cache(100_000)
+def _alphabet(c: str, names: bool, hexed: bool) -> str:
+    """The characters that may stand for ``c``, itself among them; empty for separators and marks.
+
+    Letters outside ALPHABETS are exchanged with those of their 128 code points
+    that are of the same category, case and (in names) kind of sound; digits
+    with those of their script. Each of these characters has the same list.
+    """
+    for kind in (("hex",) if hexed else ("digit", "latin", "latin accents", "cyrillic", "greek")):
+        if c in ALPHABETS[kind]:
+            if names and kind in VOWELS:
+                return "".join(x for x in ALPHABETS[kind] if (x in VOWELS[kind]) == (c in VOWELS[kind]))
+            return ALPHABETS[kind]
+    if c.isdecimal():
+        zero = ord(c) - unicodedata.decimal(c)
+        return "".join(map(chr, range(zero, zero + 10)))
+    if not c.isalpha():
+        return ""
+
+    def nature(x: str) -> tuple:
+        return unicodedata.category(x), x.lower() == x, x.upper() != x and len(x.upper()) == 1 and x.upper().lower() == x, names and unicodedata.normalize("NFD", x)[0] in "aeiouy"
+
+    block = map(chr, range(ord(c) & ~127, (ord(c) | 127) + 1))
+    return "".join(x for x in block if x.isalpha() and nature(x) == nature(c) and not any(x in abc for abc in ALPHABETS.values()))
+
+
 def _letters(value: str, fixed: set[int], names: bool, hexed: bool) -> list[tuple[int, str]]:
     """(place, alphabet) of the characters that may change."""
-    out = []
-    for i, c in enumerate(value):
-        if i in fixed:
-            continue
-        for kind in (("hex",) if hexed else ("digit", "latin", "latin accents", "cyrillic", "greek")):
-            if c in ALPHABETS[kind]:
-                abc = ALPHABETS[kind]
-                if names and kind in VOWELS:
-                    abc = "".join(x for x in abc if (x in VOWELS[kind]) == (c in VOWELS[kind]))
-                out.append((i, abc))
-                break
-    return out
+    return [(i, abc) for i, c in enumerate(value) if i not in fixed and (abc := _alphabet(c, names, hexed))]
 
 
 def _luhn(digits: list[int]) -> int:
@@ -237,7 +273,26 @@ def _ciphered(key: bytes, tweak: str, value: str, free: list[tuple[int, str]]) -
 
 
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
-    """The replacement of a canonical value.
+    """The replacement of a canonical value, which it never equals.
+
+    A value without a character that can change (as one of marks only) gets a
+    keyed name of its kind instead of a value of its format.
+    """
+    out = _same_format(key, kind, value, attempt)
+    return out if out != value else f"{kind}-{hashlib.blake2b(f'{kind}|{attempt}|{value}'.encode(), key=key, digest_size=12).hexdigest()}"
+
+
+def form_of(kind: str, value: str) -> tuple[str, float]:
+    """A value's format, and about how many values it has."""
+    free = _letters(value, set(), kind in ("given", "surname", "initial"), False)
+    shape = list(value)
+    for i, abc in free:
+        shape[i] = abc[0]
+    return f"{kind}|{''.join(shape)}", 1.0 if kind in ("given", "initial") else float(math.prod(len(abc) for _, abc in free[:60]))
+
+
+def _same_format(key: bytes, kind: str, value: str, attempt: int) -> str:
+    """A replacement of the same format, where it has more values than one.
 
     For a kind, a format and an attempt it is a permutation of the values of
     that format without a fixed point: different entities get different
@@ -279,10 +334,10 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
             fixed |= set(range(m.start(), m.end()))
     if kind == "iban":
         fixed |= {0, 1}
-        if _mod_97(value) == 1:  # a valid one stays valid
+        if value.isascii() and _mod_97(value) == 1:  # a valid one stays valid
             out = _ciphered(key, tweak + "|97", value[:2] + "00" + value[4:], _letters(value, fixed | {2, 3}, False, False))
             return out[:2] + f"{98 - _mod_97(out):02d}" + out[4:]
-    if kind == "card":
+    if kind == "card" and value.isascii():
         at = [i for i, c in enumerate(value) if c.isdigit()]
         if _luhn([int(value[i]) for i in at]) == 0:  # a valid number stays valid
             out = _ciphered(key, tweak + "|luhn", value[: at[-1]] + "0" + value[at[-1] + 1 :], _letters(value, fixed | {at[-1]}, False, False))
@@ -321,54 +376,89 @@ def replaced(text: str, key: bytes, redrawn: dict[tuple[str, str], int], cache:
     return "".join(out), spans
 
 
-def collisions(docs: DataFrame, key: bytes, text: str = "text", rounds: int = 12, most: int = 1_000_000) -> dict[tuple[str, str], int]:
-    """Attempts of entities whose surrogate would be another entity's: as a rule none.
+#: A surrogate isn't an entity of the corpus where the corpus has less than this share of a format's values.
+SPARSE = 1e-4
+
+
+def collisions(docs: DataFrame, key: bytes, text: str = "text", most: int = 1_000_000) -> dict[tuple[str, str], int]:
+    """Attempts of entities whose surrogate would be another's, or an entity of the corpus itself: as a rule few or none.
 
-    All different entities of the corpus get their surrogates; where two agree
-    (two kinds may read alike), all but the smallest draw again, until none do.
-    Within a kind and format there are none in the first round, so the result is
-    tiny; beyond ``most`` entries an error says to use another key.
+    All different entities of the corpus get their surrogates. Where two agree
+    (two kinds may read alike), all but the smallest draw again. So does an
+    entity whose surrogate really is in the corpus, in formats of which the
+    corpus has a share under SPARSE (parts of names are common words, and in a
+    crowded format any value may be somebody's). It goes on until nothing
+    agrees; an entity that has drawn 100 times, or over ``most`` entries, raise
+    an error that says to use another key.
     """
 
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = sorted({(e.kind, canonical(e)) for t in pdf["text"] for e in find(t)})
             if got:
-                yield pd.DataFrame(got, columns=["kind", "value"])
+                yield pd.DataFrame([(*x, *form_of(*x)) for x in got], columns=["kind", "value", "form", "room"])
 
     def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf.assign(surrogate=[surrogate(key, *x) for x in zip(pdf["kind"], pdf["value"], pdf["attempt"], strict=True)])
 
-    rows = docs.select(F.col(text).alias("text")).mapInPandas(seen, "kind string, value string").distinct().withColumn("attempt", F.lit(0))
-    rows = stored(rows.mapInPandas(drawn, "kind string, value string, attempt int, surrogate string"), "entities")
-    for _ in range(rounds):
+    every = stored(docs.select(F.col(text).alias("text")).mapInPandas(seen, "kind string, value string, form string, room double").distinct(), "entities")
+    sparse = every.groupBy("form").agg(F.count("*").alias("n"), F.first("room").alias("room")).where(F.col("n") < F.col("room") * SPARSE).select("form", F.lit(True).alias("sparse"))
+    real = every.where("kind not in ('given', 'initial')").select(F.col("value").alias("surrogate")).distinct()
+    rows = every.join(sparse, "form", "left").select("kind", "value", F.coalesce("sparse", F.lit(False)).alias("sparse"), F.lit(0).alias("attempt"))
+    schema = "kind string, value string, sparse boolean, attempt int, surrogate string"
+    rows = stored(rows.mapInPandas(drawn, schema), "surrogates")
+    while True:
         least = rows.groupBy("surrogate").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "kind", "value")).alias("first")).where("n > 1").select("surrogate", "first")
-        clash = stored(rows.join(least, "surrogate").where(F.struct("attempt", "kind", "value") != F.col("first")).select("kind", "value"), "collisions")
+        twice = rows.join(least, "surrogate").where(F.struct("attempt", "kind", "value") != F.col("first")).select("kind", "value")
+        taken = rows.where("sparse").join(real, "surrogate", "left_semi").select("kind", "value")
+        clash = stored(twice.unionByName(taken).distinct(), "collisions")
         if clash.isEmpty():
             break
-        again = rows.join(clash, ["kind", "value"]).select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
-        rows = stored(rows.join(clash, ["kind", "value"], "left_anti").unionByName(again.mapInPandas(drawn, rows.schema)), "entities")
+        again = rows.join(clash, ["kind", "value"]).select("kind", "value", "sparse", (F.col("attempt") + 1).alias("attempt"))
+        if not again.where("attempt > 100").isEmpty():
+            raise RuntimeError("some surrogates agree however often they are drawn: use another key")
+        rows = stored(rows.join(clash, ["kind", "value"], "left_anti").unionByName(again.mapInPandas(drawn, schema)), "surrogates")
     redrawn = rows.where("attempt > 0")
     if redrawn.count() > most:
         raise RuntimeError("too many surrogates agree: use another key")
     return {(r.kind, r.value): r.attempt for r in redrawn.collect()}
 
 
-def pseudonymise(docs: DataFrame, key: bytes = b"surrogates", text: str = "text") -> DataFrame:
+#: The setting of a session, and the variable of the environment, that may hold the key.
+SETTING, VARIABLE = "spark.gridloom.surrogates.key", "GRIDLOOM_SURROGATES_KEY"
+_OWN: dict[str, bytes] = {}
+
+
+def secret_key(spark: SparkSession) -> bytes:
+    """The key that the session's setting or the driver's environment gives, else a random one of this application.
+
+    Surrogates can be turned back with the key, so none is in the code. Runs
+    agree with one another only where a key is given.
+    """
+    given = spark.conf.get(SETTING, None) or os.environ.get(VARIABLE)
+    if given:
+        return hashlib.blake2b(given.encode()).digest()
+    return _OWN.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
+def pseudonymise(docs: DataFrame, key: bytes | None = None, text: str = "text") -> DataFrame:
     """``docs`` with surrogates in ``text``, and ``pii``: array of (start, end, kind) of each surrogate.
 
     Found are emails, phone numbers, IPv4 addresses, card numbers, social
     security numbers, IBANs, secrets after a keyword (to white space or the closing
     quote), and names: from a known given name or a title, all given names,
     initials and surnames of the capitalised words that follow one another (a
-    lower-case particle ends a name). An entity has the same surrogate in all
+    lower-case particle ends a name), and all of them after words that introduce
+    a name. Capitals and digits are those of any script. ``key`` is that of
+    secret_key() if None. An entity has the same surrogate in all
     rows, in the letter case of each mention, and different entities have
     different ones. Each row gives one row, repeated ones alike; other columns
     stay (one named ``pii`` is replaced). A null text stays null with no
     entities; texts without entities stay as they are; whole texts are searched.
     """
     bounded_batches(docs.sparkSession)
+    key = secret_key(docs.sparkSession) if key is None else key
     sent = docs.sparkSession.sparkContext.broadcast(collisions(docs, key, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
