@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded_batches, stored
 from .embed_dedup import usable
 
 #: Vectors in a block of a cell, and queries in a group, at most.
@@ -55,21 +55,24 @@ def _closest(k: int):
     return run
 
 
-def needed(q: np.ndarray, pivots: np.ndarray, radius: np.ndarray, near: list[np.ndarray], k: int) -> np.ndarray:
+def needed(q: np.ndarray, pivots: np.ndarray, radius: np.ndarray, near: list[np.ndarray], k: int, known: np.ndarray | None = None) -> np.ndarray:
     """For each query, the cells that may hold one of its k best: a matrix of booleans.
 
     A vector x at distance d from its cell's pivot p has q.x within |q| d of
     q.p. The k nearest of all cells so give k lower bounds at least; the
     (k + 1)-th of them (one may be the query itself) is a score that the answer
-    reaches. A cell is left out if even q.p + |q| radius is below it.
+    reaches, as is the k-th score ``known`` of some candidates (-inf for none).
+    A cell is left out if even q.p + |q| radius is below both.
     """
     mid = q @ pivots.T
     size = np.sqrt((q * q).sum(axis=1))
     flat, owner = np.concatenate(near), np.repeat(np.arange(len(near)), [len(x) for x in near])
     low = mid[:, owner] - size[:, None] * flat[None, :]
-    if low.shape[1] <= k:
-        return np.ones(mid.shape, dtype=bool) & (radius >= 0)[None, :]
-    reach = np.partition(low, low.shape[1] - k - 1, axis=1)[:, low.shape[1] - k - 1]
+    reach = np.full(len(q), -np.inf)
+    if low.shape[1] > k:
+        reach = np.partition(low, low.shape[1] - k - 1, axis=1)[:, low.shape[1] - k - 1]
+    if known is not None:
+        reach = np.maximum(reach, known)
     slack = 1e-9 * (1 + np.abs(mid) + size[:, None] * np.maximum(radius, 0)[None, :])
     return (mid + size[:, None] * radius[None, :] + slack >= reach[:, None]) & (radius >= 0)[None, :]
 
@@ -78,6 +81,8 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     top = float(max(np.abs(q).max(initial=0), 1)) * float(max(np.abs(x).max(initial=0), 1)) * q.shape[1]
     if top < 2**53:  # every sum is exact in double precision
         return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
+    if top >= 2**63:
+        raise OverflowError("an inner product of these components may not fit 64 bits: use a smaller scale")
     return q @ x.T
 
 
@@ -106,10 +111,15 @@ def _pack(key: list[str]):
 
 
 def _solve(k: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        side = {r["side"]: (np.frombuffer(r["ids"], np.int64), np.frombuffer(r["packed"], np.int64)) for _, r in pdf.iterrows()}
-        (qi, q), (xi, x) = side["q"], side["x"]
-        return best(qi, q.reshape(len(qi), -1), xi, x.reshape(len(xi), -1), k).astype({"query_id": np.int64, "vec_id": np.int64, "score": np.int64})
+    """The best of one block for the queries of one group that may need it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, r in pdf.iterrows():
+                qi, xi = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
+                q, x = np.frombuffer(r["q_packed"], np.int64).reshape(len(qi), -1), np.frombuffer(r["packed"], np.int64).reshape(len(xi), -1)
+                at = np.asarray(r["who"])
+                yield best(qi[at], q[at], xi, x, k).astype({"query_id": np.int64, "vec_id": np.int64, "score": np.int64})
 
     return run
 
@@ -143,20 +153,46 @@ def _search(rows: DataFrame, k: int, every: int) -> DataFrame:
     asked = asked.withColumn("head", to_head[F.col("cell")]).withColumn("part", F.pmod(F.xxhash64(F.lit(2), "vec_id"), split[F.col("head")]).cast("int"))
     groups = stored(asked.groupBy("head", "part").applyInPandas(_pack(["head", "part"]), "head int, part int, ids binary, packed binary"), "groups")
 
-    def want(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, r in pdf.iterrows():
-                q = np.frombuffer(r["packed"], np.int64).reshape(-1, pivots.shape[1]).astype(np.float64)
-                cell = np.flatnonzero(needed(q, pivots, radius, near, k).any(axis=0))
-                yield pd.DataFrame({"head": r["head"], "part": r["part"], "cell": cell.astype(np.int32)})
-
-    wanted = stored(groups.select("head", "part", "packed").mapInPandas(want, "head int, part int, cell int"), "wanted")
-    pairs = wanted.join(blocks.select("cell", "block"), "cell")
-    data = wanted.join(blocks, "cell").select("head", "part", "cell", "block", F.lit("x").alias("side"), "ids", "packed")
-    asks = pairs.join(groups, ["head", "part"]).select("head", "part", "cell", "block", F.lit("q").alias("side"), "ids", "packed")
-    found = data.unionByName(asks).groupBy("head", "part", "cell", "block").applyInPandas(_solve(k), "query_id long, vec_id long, score long")
+    def want(known: bool):
+        """Of each group, the cells that its queries need, and which of them do; without ``known`` only the cell whose pivot each one scores highest."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for _, r in pdf.iterrows():
+                    ids = np.frombuffer(r["ids"], np.int64)
+                    q = np.frombuffer(r["packed"], np.int64).reshape(len(ids), -1).astype(np.float64)
+                    start = np.where(count > 0, q @ pivots.T, -np.inf).argmax(axis=1)
+                    if known:
+                        held = dict(zip(r["held_ids"], r["held"], strict=True)) if r["held_ids"] is not None else {}
+                        need = needed(q, pivots, radius, near, k, np.array([held.get(i, -np.inf) for i in ids.tolist()], dtype=float))
+                        need[np.arange(len(q)), start] = False
+                    else:
+                        need = np.zeros((len(q), len(pivots)), dtype=bool)
+                        need[np.arange(len(q)), start] = True
+                    cell = np.flatnonzero(need.any(axis=0))
+                    yield pd.DataFrame({"head": r["head"], "part": r["part"], "cell": cell.astype(np.int32), "who": [np.flatnonzero(need[:, c]).tolist() for c in cell]})
+
+        return run
+
+    kind = "head int, part int, cell int, who array<int>"
+    asks = groups.select("head", "part", F.col("ids").alias("q_ids"), F.col("packed").alias("q_packed"))
+
+    def solved(wanted: DataFrame) -> DataFrame:
+        both = wanted.join(blocks, "cell").join(asks, ["head", "part"]).repartition("head", "part", "cell", "block")
+        return both.select("who", "q_ids", "q_packed", "ids", "packed").mapInPandas(_solve(k), "query_id long, vec_id long, score long")
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    # The cell of the best pivot first: its k-th score there is a threshold for all other cells.
+    begun = stored(ranked(solved(stored(groups.select("head", "part", "ids", "packed").mapInPandas(want(False), kind), "first"))), "begun")
+    held = begun.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("held"))
+    held = asked.select("vec_id", "head", "part").join(held, "vec_id").groupBy("head", "part").agg(F.collect_list("vec_id").alias("held_ids"), F.collect_list("held").alias("held"))
+    wanted = stored(groups.join(held, ["head", "part"], "left").mapInPandas(want(True), kind), "wanted")
+    rest = solved(wanted)
+    return ranked(begun.select("query_id", "vec_id", "score").unionByName(rest)).select("query_id", "rank", "vec_id", "score")
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -170,10 +206,14 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
 
     Data and queries are grouped by pivots (a sample of at most 1024). Each
     cell's summary (radius, and distances of its k + 1 vectors nearest to the
-    pivot) bounds the scores in it; a group of queries gets the blocks of just
-    those cells that one of its queries may need, and each pair of a group and
-    a block is solved in a task of bounded size.
+    pivot) bounds the scores in it. Each query first searches the cell of its best
+    pivot, whose k-th score is then a threshold for all others: a group
+    of queries gets the blocks of just those cells that one of its queries may
+    still need, for these queries alone. Each pair of a group and a block is
+    solved in a task of bounded size. Components so large that an inner product
+    may not fit 64 bits raise an error.
     """
+    bounded_batches(vectors.sparkSession, 8 << 20)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     rows = stored(rows.select("vec_id", integers(F.col("v"), scale).alias("x")).distinct(), "integers")
     out = None

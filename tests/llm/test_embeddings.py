@@ -100,3 +100,30 @@ def test_all_embeddings(spark, sf_dir):
     links = brute_links(rows, 0.93)
     assert {r.vec_id: r.n_links for r in link_embeddings(df).collect()} == {i: len(links.get(i, ())) for i, _, _ in rows}
     assert embed_dedup.TILE > 0
+
+
+def test_cells_are_left_out_where_the_data_has_clusters():
+    """The share of (query, cell) that has to be searched; isotropic vectors leave none out."""
+    rng = np.random.default_rng(6)
+    for spread, most in ((0.05, 0.15), (None, 1.0)):
+        x = rng.normal(size=(4000, 24))
+        if spread:
+            x = rng.normal(size=(40, 24))[rng.integers(40, size=4000)] + spread * x
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        pivots, q = x[:60], x[60:160]
+        cell = (x @ pivots.T - (pivots**2).sum(1) / 2).argmax(1)
+        far = np.linalg.norm(x - pivots[cell], axis=1)
+        radius = np.array([far[cell == c].max() for c in range(60)])
+        near = [np.sort(far[cell == c])[:11] for c in range(60)]
+        s = q @ x.T
+        own = cell[60:160]
+        known = np.array([np.sort(s[i, cell == own[i]])[-11] if (cell == own[i]).sum() > 10 else -np.inf for i in range(100)])
+        need = knn.needed(q, pivots, radius, near, 10, known)
+        reach = np.sort(s, axis=1)[:, -11]
+        assert all(need[i, cell[j]] for i in range(100) for j in np.flatnonzero(s[i] >= reach[i]))
+        assert need.mean() <= most
+
+
+def test_scores_that_do_not_fit_are_told():
+    with pytest.raises(OverflowError):
+        knn._scores(np.array([[2**40, 1]]), np.array([[2**40, 1]]))
