@@ -55,6 +55,31 @@ def test_links(spark, tile, least):
     assert len(got) == len(comp)
 
 
+def test_an_id_is_one_vector(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.01], 0), (2, [0.0, 1.0], 0), (3, [0.0, 1.0], 0), (3, None, 0), (None, [0.0, 1.0], 0), (None, None, None)]
+    got = sorted(tuple(r) for r in link_embeddings(spark.createDataFrame(rows, SCHEMA)).where("vec_id is not null").collect())
+    assert got == [(1, 0, 1, True), (2, 1, 2, True), (3, 1, 2, False)]
+
+
+def test_doubles_are_compared_as_doubles(spark):
+    """Two vectors that are equal as floats, and a cosine just below the bound."""
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 1e-12], 0), (3, [1e300, 0.0], 0), (4, [0.93, math.sqrt(1 - 0.93**2) * (1 + 1e-10)], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in link_embeddings(spark.createDataFrame(rows, SCHEMA.replace("float", "double"))).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+
+
+def test_cells_that_are_far_apart_have_no_links():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(30, 8))[rng.integers(30, size=900)] + 0.05 * rng.normal(size=(900, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    p = x[:40]
+    cell = (x @ p.T).argmax(1)
+    reach = np.array([np.arccos(np.clip((x[cell == c] @ p[c]).min(), -1, 1)) for c in range(40)])
+    apart = embed_dedup.far_apart(p, reach, 0.93)
+    i, j = np.nonzero(x @ x.T >= 0.93)
+    assert not apart[cell[i], cell[j]].any() and apart.mean() > 0.3
+
+
 def test_tiles_bound_what_they_leave_out():
     rng = np.random.default_rng(0)
     a, b = rng.normal(size=(80, 16)), rng.normal(size=(70, 16))
