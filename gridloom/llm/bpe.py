@@ -89,16 +89,22 @@ def codec(rank_file: str, pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def chunk_edges(text: str, last: bool, c: Codec, overlap: int = OVERLAP) -> tuple[list[int], list[int]]:
-    """Pre-token starts in a chunk's first ``overlap`` characters, and in its last.
+def chunk_edges(text: str, last: bool, c: Codec, overlap: int = OVERLAP) -> tuple[list[int], list[int], int]:
+    """Pre-token starts in a chunk's first ``overlap`` characters, and in its last; and its first sure start (-1: none).
 
     A chunk's end may cut a match, or hide what a look-ahead sees: starts in
-    the last two matches of a chunk that isn't its text's last don't count.
+    the last two matches of a chunk that isn't its text's last don't count. Nor
+    do starts after white space, of which a piece that ended there would make
+    another match. A
+    sure start is a space between two characters that are none: a match of the
+    pattern begins there whatever stands before.
     """
     starts = c.boundaries(text)
     if not last:
         starts = starts[:-2]
-    return [x for x in starts if x <= overlap], [x for x in starts if x >= len(text) - overlap]
+    sure = next((x for x in starts if 0 < x < len(text) - 1 and text[x] == " " and not text[x - 1].isspace() and not text[x + 1].isspace()), -1)
+    starts = [x for x in starts if x and not text[x - 1].isspace()]
+    return [x for x in starts if x <= overlap], [x for x in starts if x >= len(text) - overlap], sure
 
 
 def stitch(heads: list[list[int]], tails: list[list[int]], chunk: int = CHUNK) -> list[int | None]:
@@ -116,6 +122,22 @@ def stitch(heads: list[list[int]], tails: list[list[int]], chunk: int = CHUNK) -
     return out
 
 
+def begins(heads: list[list[int]], tails: list[list[int]], sure: list[int], chunk: int = CHUNK) -> list[int]:
+    """Where the pieces of a text begin: right starts of matches, about one for each chunk.
+
+    Where two neighbours don't agree inside their overlap (a run of letters
+    longer than it), the piece goes on to the next sure start; from there a
+    chunk's own starts are right again.
+    """
+    out, right = [0], True  # whether the starts at the end of the chunk before are known to be right
+    for i, cut in enumerate(stitch(heads, tails, chunk), 1):
+        at = cut if right and cut is not None else sure[i] if sure[i] > 0 else None
+        right = at is not None
+        if right and i * chunk + at > out[-1]:
+            out.append(i * chunk + at)
+    return out
+
+
 def _digest(ids: str, raw: bytes) -> tuple[str, str]:
     return hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest()
 
@@ -141,12 +163,38 @@ def _short(rank_file: str, pattern: str, keep: bool):
     return run
 
 
+def _cut(chunk: int, overlap: int):
+    """The chunks of each text, in one pass over it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                key, text = b.column("key")[r].as_py(), b.column("text")[r].as_py()
+                n = max(1, -(-(len(text) - overlap) // chunk))
+                for at in range(0, n, 64):
+                    i = range(at, min(n, at + 64))
+                    yield pa.RecordBatch.from_pydict({"key": [key] * len(i), "i": pa.array(i, pa.int32()), "chunk": [text[k * chunk : (k + 1) * chunk + overlap] for k in i], "last": [k == n - 1 for k in i]})
+
+    return run
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of each text between its ``begins``, in one pass over it."""
+    for b in batches:
+        for r in range(b.num_rows):
+            key, text, begin = (b.column(c)[r].as_py() for c in ("key", "text", "begins"))
+            ends = [*begin[1:], len(text)]
+            for at in range(0, len(begin), 64):
+                i = range(at, min(len(begin), at + 64))
+                yield pa.RecordBatch.from_pydict({"key": [key] * len(i), "part": pa.array(i, pa.int32()), "piece": [text[begin[k] : ends[k]] for k in i]})
+
+
 def _edges(rank_file: str, pattern: str, overlap: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(rank_file, pattern)
         for pdf in batches:
             both = [chunk_edges(t, bool(last), c, overlap) for t, last in zip(pdf["chunk"], pdf["last"], strict=True)]
-            yield pd.DataFrame({"key": pdf["key"], "i": pdf["i"], "head": [b[0] for b in both], "tail": [b[1] for b in both]})
+            yield pd.DataFrame({"key": pdf["key"], "i": pdf["i"], "head": [b[0] for b in both], "tail": [b[1] for b in both], "sure": [b[2] for b in both]})
 
     return run
 
@@ -154,14 +202,8 @@ def _edges(rank_file: str, pattern: str, overlap: int):
 def _cuts(chunk: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
-        cuts = stitch([list(x) for x in pdf["head"]], [list(x) for x in pdf["tail"]], chunk)
-        begin = [0]
-        for i, cut in enumerate(cuts, 1):
-            if cut is None:  # the next chunk's own boundaries aren't known to be right: the piece runs on to the end
-                break
-            begin.append(i * chunk + cut)
-        end = [*begin[1:], -1]
-        return pd.DataFrame({"key": pdf["key"].iat[0], "part": range(len(begin)), "begin": begin, "end": end})
+        found = begins([list(x) for x in pdf["head"]], [list(x) for x in pdf["tail"]], pdf["sure"].tolist(), chunk)
+        return pd.DataFrame({"key": [pdf["key"].iat[0]], "begins": [found]})
 
     return run
 
@@ -205,8 +247,8 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str =
     the chunks are pre-tokenised in parallel, neighbours are stitched where
     their pre-token boundaries resynchronise inside the overlap, and the pieces
     between are encoded in parallel. Where an overlap holds no common boundary
-    (a run of letters longer than it), the piece runs on to the text's end.
-    Decoding concatenates the bytes of the pieces in their order. Only
+    (a run of letters longer than it), the piece runs on to the next place where
+    a match is sure to begin. Decoding concatenates the bytes of the pieces in their order. Only
     positions and encoded pieces are grouped, by text.
     """
     bounded_batches(docs.sparkSession)
@@ -218,12 +260,10 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str =
     short = base.where(F.length("text") <= chunk).mapInArrow(_short(rank_file, pattern, keep_ids), f"row {row_type}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
     far = base.where(F.length("text") > chunk).withColumn("key", F.sha2("text", 256))
     one = stored(far.select("key", "text").dropDuplicates(["key"]), "long-texts")
-    last = F.col("i") == F.ceil((F.length("text") - overlap) / chunk) - 1
-    n = F.greatest(F.lit(1), F.ceil((F.length("text") - overlap) / chunk)).cast("int")
-    cut = one.select("key", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).select("key", "i", F.expr(f"substring(text, i * {chunk} + 1, {chunk} + {overlap})").alias("chunk"), last.alias("last"))
-    edges = cut.repartition("key", "i").mapInPandas(_edges(rank_file, pattern, overlap), "key string, i int, head array<int>, tail array<int>")
-    places = edges.groupBy("key").applyInPandas(_cuts(chunk), "key string, part int, begin int, end int")
-    pieces = one.join(places, "key").select("key", "part", F.expr("if(end < 0, substring(text, begin + 1), substring(text, begin + 1, end - begin))").alias("piece"))
+    cut = one.mapInArrow(_cut(chunk, overlap), "key string, i int, chunk string, last boolean")
+    edges = cut.repartition("key", "i").mapInPandas(_edges(rank_file, pattern, overlap), "key string, i int, head array<int>, tail array<int>, sure int")
+    places = edges.groupBy("key").applyInPandas(_cuts(chunk), "key string, begins array<int>")
+    pieces = one.join(places, "key").select("key", "text", "begins").mapInArrow(_pieces, "key string, part int, piece string")
     encoded = pieces.repartition("key", "part").mapInPandas(_parts(rank_file, pattern, keep_ids), "key string, part int, n long, ids string, raw binary")
     joined = encoded.groupBy("key").applyInPandas(_join(keep_ids), f"key string, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
     long = far.select("row", "key").join(joined, "key").select("row", *added)

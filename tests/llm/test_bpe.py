@@ -12,7 +12,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gridloom.llm.bpe import codec, decode_ids, encode_documents
+from gridloom.llm.bpe import CHUNK, OVERLAP, begins, chunk_edges, codec, decode_ids, encode_documents
 
 FILE = public.path("byte_bpe_multi_50k.tiktoken")
 
@@ -64,6 +64,28 @@ def test_chunks_are_stitched(spark, library, chunk, overlap):
     assert all(raw[i] == (t or "").encode() for i, t in rows if i is not None)
 
 
+def test_very_long_text_with_a_gap(library):
+    """20 MB with a run of letters longer than an overlap, across one: pieces stay near a chunk, and are right."""
+    unit = long_text(7, 4000) + " "
+    at = 5 * CHUNK - 500
+    text = (unit * (at // len(unit) + 1))[:at] + " " + "q" * 2000 + " " + unit * (20_000_000 // len(unit))
+    c = codec(FILE, public.PATTERN)
+    n = -(-(len(text) - OVERLAP) // CHUNK)
+    edges = [chunk_edges(text[i * CHUNK : (i + 1) * CHUNK + OVERLAP], i == n - 1, c) for i in range(n)]
+    got = begins([e[0] for e in edges], [e[1] for e in edges], [e[2] for e in edges])
+    ends = [*got[1:], len(text)]
+    assert max(b - a for a, b in zip(got, ends, strict=True)) < 3 * CHUNK
+    some = [c.encode(text[a:b]) for a, b in zip(got[:12], ends[:12], strict=True)]
+    assert [i for x in some for i in x] == library.encode_ordinary(text[: ends[11]])
+
+
+@pytest.mark.parametrize("chunk", [64, 300])
+def test_gaps_are_crossed(spark, library, chunk):
+    rows = [(k, " ".join([long_text(k, 40), "q" * 500, long_text(k + 50, 90), "7" * 400, "x" * (40 * k), long_text(k, 60)])) for k in range(8)]
+    out = encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), FILE, public.PATTERN, chunk=chunk, overlap=16)
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out.collect()} == {k: expected(library, t) for k, t in rows}
+
+
 def test_documents(spark, sf_dir, library):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     want = {r.doc_id: expected(library, r.text) for r in docs.collect()}
