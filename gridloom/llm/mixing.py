@@ -80,32 +80,28 @@ def _round_group(seed: int, level: int):
     return run
 
 
-def mix_copies(rows: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, chunk_rows: int = 2000) -> DataFrame:
-    """Copies of each row of ``rows(id, source string, size long)``; an id is a long or a string.
+#: Copies that one row stands for, at most, while rows are dealt out again.
+STEP = 4096
 
-    Returns id, source, size, source_size, target and copies (int, at most
-    ``most``), one row for each input row. Every row of a source expects the
-    same number of copies, its target over its size; the fraction of that is
-    rounded so that the source's taken words stay at the target but for less
-    than one row's size. Rows go by the hash of their id into chunks of about
-    ``chunk_rows`` within their source, a chunk rounds its rows in the order of
-    another hash, and the one open row that each chunk leaves goes up a tree of
-    the same step, so that no task holds a whole source. Reruns agree: every
-    draw follows from ``seed`` and the rows. Null and repeated ids, rows of size
-    0 (no copies matter; they take 0 words) and null sources (a source of their
-    own) are allowed; no rows give no rows.
+
+def mix_units(rows: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, chunk_rows: int = 2000) -> DataFrame:
+    """Copies of all equal rows of ``rows(id, source string, size long)`` together.
+
+    Returns id, source, size, source_size, target, n (how many rows are equal),
+    base (copies of each) and more (how many of them get one copy more).
     """
     spark = rows.sparkSession
-    src = stored(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
+    units = stored(rows.groupBy("source", "id", "size").agg(F.count("*").alias("n")), "units")
+    about = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("units"))
+    src = source_targets(about.select("source", "source_size"), weights, share, most).join(about.select(F.col("source").alias("source_"), "units"), F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
+    src = stored(src, "targets")
     few = src.count() <= 100_000
     info = src.withColumnRenamed("source", "source_")
-    joined = rows.join(F.broadcast(info) if few else info, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
-    counts = rows.groupBy("source").agg(F.count("*").alias("n")).withColumnRenamed("source", "source_")
-    counts = stored(counts, "counts")
-    joined = joined.join(F.broadcast(counts) if few else counts, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
-    joined = joined.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "id"), F.ceil(F.col("n") / chunk_rows)).cast("long"))
+    joined = units.join(F.broadcast(info) if few else info, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
+    joined = joined.withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed), "id", "size"), F.ceil(F.col("units") / chunk_rows)).cast("long"))
     joined = joined.withColumn("order", F.xxhash64(F.lit(seed + 1), "id", "size")).withColumn("base", F.floor("rate").cast("int"))
-    joined = joined.withColumn("p", F.when(F.col("size") > 0, F.col("rate") - F.col("base")).otherwise(0.0)).drop("rate", "n")
+    joined = joined.withColumn("all", F.when(F.col("size") > 0, (F.col("rate") - F.col("base")) * F.col("n")).otherwise(0.0))
+    joined = joined.withColumn("whole", F.floor("all")).withColumn("p", F.col("all") - F.col("whole")).drop("rate", "units", "all")
     schema = joined.schema
     state = stored(joined.groupBy("k", "chunk").applyInPandas(_round_group(seed, 0), schema), "rounded")
     decided, level = [state.where("p <= 0 or p >= 1")], 0
@@ -123,7 +119,45 @@ def mix_copies(rows: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: flo
     out = open_rows.withColumn("p", F.when(u < F.col("p"), 1.0).otherwise(0.0))
     for d in decided:
         out = out.unionByName(d)
-    return out.select("id", "source", "size", "source_size", "target", (F.col("base") + F.col("p").cast("int")).alias("copies"))
+    return out.select("id", "source", "size", "source_size", "target", "n", "base", (F.col("whole") + F.col("p").cast("long")).alias("more"))
+
+
+def _dealt(units: DataFrame, many: str) -> DataFrame:
+    """Each row ``many`` times, numbered by ``_i`` from 1: rows of great numbers are cut and dealt out before they are multiplied."""
+
+    def number(df: DataFrame, first: Column, last: Column) -> DataFrame:
+        return df.select("*", F.explode(F.sequence(first, last)).alias("_i"))
+
+    units = units.where(F.col(many) > 0)
+    few = number(units.where(F.col(many) <= STEP), F.lit(1).cast("long"), F.col(many))
+    hot = units.where(F.col(many) > STEP)
+    if hot.isEmpty():
+        return few
+    cut = hot.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(many) - 1) / STEP))).alias("_part")).repartition("id", "size", "_part")
+    return few.unionByName(number(cut, F.col("_part") * STEP + 1, F.least(F.col(many), (F.col("_part") + 1) * STEP)).drop("_part"))
+
+
+def mix_copies(rows: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, chunk_rows: int = 2000) -> DataFrame:
+    """Copies of each row of ``rows(id, source string, size long)``; an id is a long or a string.
+
+    Returns id, source, size, source_size, target and copies (int, at most
+    ``most``), one row for each input row. Every row of a source expects the
+    same number of copies, its target over its size; the fraction of that is
+    rounded so that the source's taken words stay at the target but for less
+    than one row's size. Equal rows are one unit with a count: they share whole
+    copies, and only what is left of them is rounded, so that an id with very
+    many rows is one unit too. Units go by a hash into chunks of about
+    ``chunk_rows`` within their source, a chunk rounds its units in the order of
+    another hash, and the one open unit that each chunk leaves goes up a tree of
+    the same step, so that no task holds a whole source. (The targets of all
+    sources are made in one task: a row for each source.) Reruns agree: every
+    draw follows from ``seed`` and the rows. Null and repeated ids, rows of size
+    0 (no copies matter; they take 0 words) and null sources (a source of their
+    own) are allowed; no rows give no rows.
+    """
+    units = stored(mix_units(rows, weights, share, most, seed, chunk_rows), "mixed")
+    copies = F.col("base") + (F.col("_i") <= F.col("more")).cast("int")
+    return _dealt(units, "n").select("id", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", **options) -> DataFrame:
@@ -135,7 +169,12 @@ def mix_documents(docs: DataFrame, text: str = "text", source: str = "source", *
     cols = [F.col(f"`{c}`") for c in docs.columns]
     key = F.concat(F.hex(F.xxhash64(*cols)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *cols)))
     narrow = stored(docs.select(key.alias("id"), F.col(source).alias("source"), word_count(text).alias("size")), "words")
-    copies = mix_copies(narrow, **options)
-    times = copies.groupBy("id").agg(F.sum(F.when(F.col("size") > 0, F.col("copies")).otherwise(1)).alias("times")).where("times > 0")
-    one = docs.select(F.struct(*cols).alias("row"), key.alias("id")).dropDuplicates(["id"]).join(times, "id")
-    return one.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("copy")).select("row.*")
+    units = mix_units(narrow, **options)
+    times = F.when(F.col("size") > 0, F.col("n") * F.col("base") + F.col("more")).otherwise(F.col("n"))
+    times = stored(units.select("id", "size", times.alias("_times")).where("_times > 0"), "times")
+    one = docs.select(F.struct(*cols).alias("row"), key.alias("id")).dropDuplicates(["id"])
+    cold = one.join(times.where(F.col("_times") <= STEP), "id").select("row", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int"))).alias("_copy"))
+    hot = times.where(F.col("_times") > STEP)
+    if hot.isEmpty():
+        return cold.select("row.*")
+    return cold.select("row").unionByName(_dealt(one.join(F.broadcast(hot) if hot.count() <= 100_000 else hot, "id"), "_times").select("row")).select("row.*")

@@ -8,7 +8,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from gridloom.llm.mixing import mix_copies, mix_documents, pivot, source_targets
+from gridloom.llm import mixing
+from gridloom.llm.mixing import mix_copies, mix_documents, mix_units, pivot, source_targets
 
 
 def water(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
@@ -77,3 +78,38 @@ def test_documents(spark):
     total = sum(words(t) * n for (_, t, _, _), n in times.items())
     assert abs(total - 1.5 * sum(words(t) for _, t, _, _ in rows)) < 40
     assert mix_documents(df.where("false")).collect() == []
+
+
+def test_a_hot_id_is_one_unit(spark, monkeypatch):
+    """30,000 equal rows among 60,000: no chunk is over twice its limit, and the copies are right."""
+    rows = spark.range(60_000).selectExpr("if(id < 30000, null, id) as id", "if(id % 3 = 0, 'a', 'b') as source", "if(id < 30000, 11L, 1 + id % 7) as size")
+    sizes = []
+    real = mixing._round_group
+
+    def watched(seed, level):
+        run = real(seed, level)
+
+        def seen(pdf):
+            assert len(pdf) <= 1200
+            return run(pdf)
+
+        return seen
+
+    monkeypatch.setattr(mixing, "_round_group", watched)
+    out = mix_copies(rows, chunk_rows=600)
+    assert out.count() == 60_000 and out.where("copies > 2 or copies < 0").isEmpty()
+    for r in out.groupBy("source").agg({"target": "max"}).join(out.selectExpr("source", "copies * size as t").groupBy("source").sum("t"), "source").collect():
+        sizes.append((r["max(target)"], r["sum(t)"]))
+    assert all(abs(a - b) <= 11 for a, b in sizes)
+    again = mix_copies(rows.repartition(5), chunk_rows=600)
+    assert out.exceptAll(again).isEmpty() and again.exceptAll(out).isEmpty()
+    one = mix_units(rows, chunk_rows=600).where("id is null").collect()
+    assert sum(r.n for r in one) == 30_000 and len(one) == 2
+
+
+def test_copies_of_a_hot_document(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEP", 16)
+    docs = spark.createDataFrame([("x y z", "s")] * 500 + [(f"a{i} b", "t") for i in range(40)], "text string, source string")
+    got = Counter(r.text for r in mix_documents(docs).collect())
+    total = 3 * 500 + 2 * 40
+    assert abs(3 * got["x y z"] + 2 * sum(n for t, n in got.items() if t != "x y z") - 1.5 * total) <= 6
