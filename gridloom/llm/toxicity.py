@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, few_or_many, stored
@@ -21,6 +21,8 @@ PLACES = 1 << 18
 LONGEST = 64
 #: Labelled documents of each class to learn from, about: the documented bound of the sample.
 SAMPLE = 2500
+#: Features of the documents of each class to learn from, at most: the bound of the sample in bytes.
+MOST = 4_000_000
 
 _STOP = re.compile(r"[.!?\n\r 。]+")
 _TRIM = ",;:\"'()[]<>*%#"
@@ -83,16 +85,16 @@ class Model:
         return float(-np.expm1(-np.logaddexp(0, z).sum())) if len(z) else 0.0
 
 
-def fit(docs: list[list[list[int]]], labels: np.ndarray, rounds: int = 80, rate: float = 0.1, decay: float = 2e-5, seen: int = 3) -> Model:
+def fit(flat: np.ndarray, lengths: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = 80, rate: float = 0.1, decay: float = 2e-5, seen: int = 3) -> Model:
     """Weights that make the noisy-or of each document's sentences likely, by Adam over all documents.
 
-    Features of fewer than ``seen`` documents have no weight. The search starts
-    at each feature's log odds over documents, so that a sentence with a word
-    that only toxic documents have starts as the culprit.
+    ``flat`` has the features of all sentences, ``lengths`` how many each one
+    has, ``counts`` the number of sentences of each document. Features of fewer
+    than ``seen`` documents have no weight. The search starts at each feature's
+    log odds over documents, so that a sentence with a word that only toxic
+    documents have starts as the culprit.
     """
-    lengths = np.array([len(s) for d in docs for s in d], dtype=np.int64)
-    doc_of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    flat = np.fromiter((i for d in docs for s in d for i in s), dtype=np.int64, count=int(lengths.sum()))
+    doc_of = np.repeat(np.arange(len(counts)), counts)
     sent_of = np.repeat(np.arange(len(lengths)), lengths)
     y = labels.astype(float)
     n_pos, n_neg = y.sum(), len(y) - y.sum()
@@ -110,7 +112,7 @@ def fit(docs: list[list[list[int]]], labels: np.ndarray, rounds: int = 80, rate:
     for t in range(1, rounds + 1):
         z = np.bincount(sent_of, weights=w[place], minlength=len(lengths)) + bias
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        q = np.exp(-np.bincount(doc_of, weights=np.logaddexp(0, z), minlength=len(docs)))
+        q = np.exp(-np.bincount(doc_of, weights=np.logaddexp(0, z), minlength=len(counts)))
         pull = np.where(y == 1, -q / np.maximum(1 - q, 1e-6), 1.0) * share
         g = pull[doc_of] * p
         grad = np.bincount(place, weights=g[sent_of], minlength=len(used)) + decay * w
@@ -127,12 +129,17 @@ def fit(docs: list[list[list[int]]], labels: np.ndarray, rounds: int = 80, rate:
 def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         bags = [[[i for w in words for i in features(w)] for _, _, words in sentences(t or "")] for t in pdf["text"]]
-        yield pd.DataFrame({"order": pdf["order"], "label": pdf["label"], "bag": bags})
+        yield pd.DataFrame({"order": pdf["order"], "label": pdf["label"], "flat": [[i for s in b for i in s] for b in bags], "lengths": [[len(s) for s in b] for b in bags], "n": [sum(map(len, b)) for b in bags]})
 
 
 def _fit_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat([*batches, pd.DataFrame({"order": [], "label": [], "bag": []})]).sort_values(["order", "label"], kind="stable")
-    model = fit([[list(map(int, s)) for s in d] for d in pdf["bag"]], pdf["label"].to_numpy(float)) if len(pdf) else Model(np.zeros(PLACES, np.float32), -5.0)
+    parts = [p for p in batches if len(p)]
+    if not parts:
+        model = Model(np.zeros(PLACES, np.float32), -5.0)
+    else:
+        pdf = pd.concat(parts).sort_values(["order", "label", "n"], kind="stable")
+        counts = np.array([len(x) for x in pdf["lengths"]], dtype=np.int64)
+        model = fit(np.concatenate(pdf["flat"].to_numpy()).astype(np.int64), np.concatenate(pdf["lengths"].to_numpy()).astype(np.int64), counts, pdf["label"].to_numpy(float))
     yield pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
 
 
@@ -141,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     Held out are documents whose crc32(doc_id as text) mod 5 is 0. About
     ``sample`` documents of each class are taken by a hash of their id (all, if
-    there are fewer): the only bound, and only on what is learned from. Labels
+    there are fewer), in its order up to MOST features of a class: the only
+    bounds, and only on what is learned from. Labels
     other than 0 and 1 and null ids are left out. Without labelled documents
     every score is near 0. One task of an executor fits the weights.
     """
@@ -154,7 +162,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         keep = keep | ((F.col("label") == label) & (order < int((1 << 40) * min(1.0, sample / n))))
     picked = known.where(keep).withColumn("order", order)
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(few_or_many(picked), "id")
-    bags = stored(texts.select("order", "label", "text").mapInPandas(_bags, "order long, label int, bag array<array<int>>"), "bags")
+    bags = stored(texts.select("order", "label", "text").mapInPandas(_bags, "order long, label int, flat array<int>, lengths array<int>, n long"), "bags")
+    upto = bags.select("order", "label", "n", F.sum("n").over(Window.partitionBy("label").orderBy("order")).alias("upto"))
+    for r in upto.groupBy("label").agg(F.max(F.when(F.col("upto") <= MOST, F.col("order"))).alias("last"), F.sum("n").alias("all")).collect():
+        if r["all"] > MOST:
+            bags = bags.where((F.col("label") != r.label) | (F.col("order") <= (-1 if r["last"] is None else r["last"])))
     row = bags.coalesce(1).mapInPandas(_fit_all, "weights binary, bias double").first()
     return Model(np.frombuffer(row.weights, dtype=np.float32).copy(), row.bias)
 

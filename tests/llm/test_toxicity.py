@@ -65,6 +65,25 @@ def test_held_out_labels_are_not_learned(spark):
     assert (one.weights == two.weights).all() and one.bias == two.bias
 
 
+def test_what_is_learned_from_is_bounded(spark, monkeypatch):
+    """Documents beyond the bound of features don't count, in the order of their hash; texts are whole."""
+    docs, labels, _ = corpus(100, 3)
+    df = spark.createDataFrame(docs + [(10_000, "word " * 50_000)], "doc_id long, text string")
+    monkeypatch.setattr(toxicity, "MOST", 3000)
+    bags = []
+    kept = toxicity.stored
+
+    def watched(frame, name):
+        out = kept(frame, name)
+        bags.append(out) if name == "bags" else None
+        return out
+
+    monkeypatch.setattr(toxicity, "stored", watched)
+    model = train(df, spark.createDataFrame([*labels, (10_000, 0)], "doc_id long, toxic int"))
+    total = {r.label: r.n for r in bags[0].groupBy("label").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    assert min(total.values()) > 3000 and np.isfinite(model.weights).all()
+
+
 def test_odd_rows(spark, fitted):
     model = fitted[3]
     rows = [(1, None, "a"), (2, "", "b"), (None, "vermin wretch scoundrel", "c"), (4, "x " * 200_000 + "vermin wretch scoundrel vermin", "d"), (4, "calm", "e"), (4, "calm", "e")]
