@@ -12,6 +12,8 @@ from .common import stored
 
 #: Bits of a key's hash: the first 15 hexadecimal digits of its MD5.
 BITS = 60
+#: Equal rows that are numbered in one place.
+STEP = 4096
 
 
 def hash_bits(key: Column) -> Column:
@@ -51,8 +53,9 @@ def shard_rows(rows: DataFrame, limit: int, step: int = 6) -> DataFrame:
 
     Only sums by prefix are computed, and only for buckets still too large
     beyond the first directory. Rows whose 60 bits are all equal (one key with a
-    great many rows) go on splitting by the bits of a row number's hash, after a
-    ``+`` in the shard's name. A shard is over ``limit`` only if it is one row
+    great many rows) go on splitting by the bits of a hash of their columns and
+    of a number among equal rows, after a ``+`` in the shard's name: reruns and
+    other partitionings give the same shards. A shard is over ``limit`` only if it is one row
     that is. Null sizes count as 0; no rows give no rows.
     """
     cols = rows.columns
@@ -75,9 +78,13 @@ def shard_rows(rows: DataFrame, limit: int, step: int = 6) -> DataFrame:
             if depth == BITS:
                 break
             start, depth = depth + 1, min(BITS, depth + step)
-        # One hash value has too many rows: number them once, in a stored table, and split by that.
+        # One hash value has too many rows: number equal ones (of great numbers in steps that are dealt out first), and split by that.
         more = todo.withColumn("root", F.concat("root", F.lpad(F.bin("bits"), BITS, "0"), F.lit("+")))
-        todo = stored(more.withColumn("bits", hash_bits(F.concat(F.col("bits").cast("string"), F.lit("/"), F.monotonically_increasing_id().cast("string")))), "salted")
+        same = more.groupBy(*more.columns).agg(F.count("*").alias("_n"))
+        cut = same.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / STEP))).alias("_part")).repartition("root", *cols, "_part")
+        each = cut.select(*more.columns, F.explode(F.sequence(F.col("_part") * STEP, F.least(F.col("_n"), (F.col("_part") + 1) * STEP) - 1)).alias("_i"))
+        salt = F.xxhash64(*[c for c in cols if c != "bits"], "_i").cast("string")
+        todo = stored(each.withColumn("bits", hash_bits(F.concat(F.col("bits").cast("string"), F.lit("/"), salt))).drop("_i"), "salted")
     return reduce(DataFrame.unionByName, out) if out else rows.select(*cols, F.lit("").alias("shard"), F.lit(0).alias("depth"), F.col("size").alias("shard_bytes"), F.lit(1).cast("long").alias("shard_rows"))
 
 
