@@ -18,7 +18,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     out = toxicity.score_documents(docs, model, columns=["doc_id"])
-    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))  # a null id has no label to learn
     return out.select("doc_id", held.alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
 
 
@@ -57,6 +57,11 @@ select doc_id, n_bytes,
 from f where k = 1"""
 
 
+def shards_of_64k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with shards so small that small tables split, too."""
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), 64 << 10)
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, vec_id and score of the ten best candidates of every hundredth vector."""
     return knn.top_k(table(spark, sf_dir, "embeddings"), 10, 100, 1024)
@@ -79,6 +84,16 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), limit=2048, columns=["doc_id"])
 
 
+def bytes_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op6: doc_id and n_bytes."""
+    return op6_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
+
+
+def round_trip_of_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op3: the hash of the decoded bytes is that of the text."""
+    return op3_bpe(spark, sf_dir).select("doc_id", "decoded_sha256")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -87,6 +102,23 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def targets_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the mix that SQL can express: each source's size and target."""
+    docs = table(spark, sf_dir, "documents")
+    sizes = docs.groupBy("source").agg(F.sum(mixing.word_count("text")).alias("source_size"))
+    return mixing.source_targets(mixing.stored(sizes, "sizes")).select("source", "source_size", F.round("target", 4).alias("target"))
+
+
+#: The water level: each source in turn is full, or the rest is shared by weight.
+TARGETS_SQL = r"""
+with s as (select source, sum(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0))::bigint as source_size from documents group by source),
+w as (select *, [5.0, 2.0, 1.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as w, 1.5::double * sum(source_size) over () as total from s),
+c as (select *, 2.0::double * source_size as cap, 2.0::double * source_size / w as level from w),
+l as (select a.level, (any_value(a.total) - sum(case when b.level < a.level then b.cap else 0 end)) / nullif(sum(case when b.level >= a.level then b.w else 0 end), 0) as water from c a cross join c b group by a.level),
+m as (select arg_min(water, level) as water from l where water <= level)
+select source, source_size, round(least(cap, coalesce(water * w, cap)), 4) as target from c, m"""
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the text with surrogates, their number and places, of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -98,6 +130,22 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def rules_of_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the url filter that SQL can express: page_id, host, path and rule."""
+    parts = table(spark, sf_dir, "pages").select("page_id", url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path"))
+    return parts.withColumn("rule", url_filter.rule_of(F.col("host"), F.col("path")))
+
+
+RULES_SQL = r"""
+with u as (select page_id, case when contains(url, '://') then regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) else '' end as h,
+                  case when contains(url, '://') then regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) else '' end as path from pages),
+p as (select page_id, translate(coalesce(h, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, coalesce(path, '') as path from u),
+r as (select * from (values ('com/'), ('example.com/en/'), ('www.example.com/en/'), ('net/es/'), ('net/fr/')) t(rule)),
+f as (select page_id, host, path, arg_max(rule, len(rule)) as rule from p, r
+      where (host = split_part(rule, '/', 1) or ends_with(host, '.' || split_part(rule, '/', 1))) and starts_with(path, rule[len(split_part(rule, '/', 1)) + 1:]) group by all)
+select page_id, host, path, rule from p left join f using (page_id, host, path)"""
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, component_id and kept of every document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -133,5 +181,10 @@ r as (select distinct doc_id as node, doc_id as low from documents where doc_id
 select node as doc_id, min(low) as component_id, min(low) = node as kept from r group by node"""
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_bpe, op4_sharding, op5_topk, op6_token_counts, op7_mixing, op8_pii, op9_urls, op10_minhash)}
-ORACLES = {"op2_embedding_dedup": LINKS_SQL, "op4_sharding": _shards_sql(SHARD_BYTES), "op5_topk": TOPK_SQL, "op10_minhash": NEAR_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_bpe, op4_sharding, op5_topk, op6_token_counts, op7_mixing, op8_pii, op9_urls, op10_minhash, shards_of_64k, targets_of_sources, rules_of_urls, bytes_of_texts, round_trip_of_bpe)}
+ORACLES = {
+    "shards_of_64k": _shards_sql(64 << 10, 20), "targets_of_sources": TARGETS_SQL, "rules_of_urls": RULES_SQL,
+    "bytes_of_texts": "select doc_id, coalesce(strlen(text), 0)::bigint as n_bytes from documents",
+    "round_trip_of_bpe": "select doc_id, sha256(coalesce(text, '')) as decoded_sha256 from documents",
+    "op2_embedding_dedup": LINKS_SQL, "op4_sharding": _shards_sql(SHARD_BYTES), "op5_topk": TOPK_SQL, "op10_minhash": NEAR_SQL,
+}
