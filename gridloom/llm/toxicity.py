@@ -135,7 +135,7 @@ def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _fit_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     parts = [p for p in batches if len(p)]
     if not parts:
-        model = Model(np.zeros(PLACES, np.float32), -5.0)
+        model = Model(np.zeros(PLACES, np.float32), -40.0)
     else:
         pdf = pd.concat(parts).sort_values(["order", "label", "n"], kind="stable")
         counts = np.array([len(x) for x in pdf["lengths"]], dtype=np.int64)
