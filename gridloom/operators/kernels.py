@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import reduce as fold
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -15,9 +16,6 @@ from .buffer import Buffer
 
 #: Cells of a side that may be broadcast.
 BROADCAST_CELLS = 1_000_000
-#: Cells of a tile along each dimension.
-TILE = (256, 256)
-
 BORDERS = ("skip", "edge", "constant")
 
 
@@ -140,6 +138,11 @@ def contract_tiled(a: Buffer, b: Buffer, tile: int = 256) -> Buffer:
     return Buffer(df.where((F.col("i0") < n) & (F.col("i1") < m)), (n, m))
 
 
+def tile_of_dims(dims: int) -> tuple[int, ...]:
+    """The usual extents of a tile."""
+    return {1: (16_384,), 2: (128, 128), 3: (32, 32, 16)}[dims]
+
+
 def _halo(c: str, size: int, halo: int) -> Column:
     """The tiles whose area, grown by the halo, holds a coordinate: its own, and near an edge a neighbour's."""
     own = div(c, size)
@@ -148,111 +151,174 @@ def _halo(c: str, size: int, halo: int) -> Column:
     return F.filter(F.array(*tiles), lambda x: x.isNotNull())
 
 
-def tiled(buffer: Buffer, halo: Sequence[int], tile: Sequence[int] = TILE) -> DataFrame:
-    """Cells with the tile they belong to, ``t0`` and ``t1``; cells near an edge also for the neighbour, with ``inner`` false.
+def tiled(buffer: Buffer, halo: Sequence[int], tile: Sequence[int] | None = None) -> DataFrame:
+    """Cells with the tile they belong to, ``t0`` …; cells near an edge also for the neighbour, with ``inner`` false.
 
     A tile then has all that a stencil of this reach needs. One shuffle by tile
-    serves any number of windows inside tiles, and no window holds more than a
-    tile's row or column.
+    serves any number of lookups inside tiles, and no task holds more of a line
+    of the array than a tile has.
     """
+    tile = tuple(tile or tile_of_dims(len(halo)))[: len(halo)]
     for h, n in zip(halo, tile, strict=True):
         if 2 * h > n:
             raise ValueError(f"a halo of {h} needs tiles of {2 * h} at least")
-    df = buffer.df.withColumn("t0", F.explode(_halo("i0", tile[0], halo[0])) if halo[0] else div("i0", tile[0]))
-    df = df.withColumn("t1", F.explode(_halo("i1", tile[1], halo[1])) if halo[1] else div("i1", tile[1]))
-    inner = (div("i0", tile[0]) == F.col("t0")) & (div("i1", tile[1]) == F.col("t1"))
-    return df.withColumn("inner", inner).repartition("t0", "t1")
+    df, inner = buffer.df, F.lit(True)
+    for d, (h, n) in enumerate(zip(halo, tile, strict=True)):
+        df = df.withColumn(f"t{d}", F.explode(_halo(f"i{d}", n, h)) if h else div(f"i{d}", n))
+        inner = inner & (div(f"i{d}", n) == F.col(f"t{d}"))
+    return df.withColumn("inner", inner).repartition(*[f"t{d}" for d in range(len(halo))])
 
 
-def neighbour(value: Column | str, dim: int, steps: int, border: str = "skip", constant: object = 0.0) -> Column:
-    """The value ``steps`` further along a dimension, inside tiled() rows.
+class Near:
+    """Lookups of other cells by their coordinates, inside tiled() rows.
 
-    Beyond the array it is null (``skip``), the nearest cell's (``edge``), or a constant.
+    All cells of a tile are ordered by one number made of their coordinates, so
+    that a neighbour is a range frame of one value: absent cells are absent, and
+    null cells null, whatever stands around them. ``there`` tells the two apart.
     """
-    value = F.col(value) if isinstance(value, str) else value
-    if not steps:
-        return value
-    w = Window.partitionBy("t0", "t1", f"i{1 - dim}").orderBy(f"i{dim}")
-    move = F.lead if steps > 0 else F.lag
-    there = move(value, abs(steps)).over(w)
-    if border == "edge":
-        nearer = [move(value, k).over(w) for k in range(abs(steps) - 1, 0, -1)]
-        return F.coalesce(there, *nearer, value)
-    return F.coalesce(there, F.lit(constant)) if border == "constant" else there
-
-
-def stencil(buffer: Buffer, taps: Sequence[tuple[int, int]], combine: Callable[[dict[tuple[int, int], Column]], Column], border: str = "skip", constant: object = 0.0, name: str = "v", tile: Sequence[int] = TILE) -> Buffer:
-    """A value from each cell's neighbours at fixed offsets: ``combine`` gets a column for each of ``taps``.
-
-    First all rows' neighbours along dimension 0, then along dimension 1, are
-    windows inside tiles: one shuffle, of each cell once (and a halo). A box of
-    offsets with ``skip`` gives null for cells outside the array.
+
+    def __init__(self, halo: Sequence[int], tile: Sequence[int] | None, extent: Sequence[int], border: str = "skip", constant: object = 0.0):
+        if border not in BORDERS:
+            raise ValueError(f"border is one of {BORDERS}")
+        self.dims, self.extent, self.border, self.constant = len(halo), extent, border, constant
+        tile = tuple(tile or tile_of_dims(self.dims))[: self.dims]
+        self.stride, at = [0] * self.dims, F.lit(0).cast("long")
+        step = 1
+        for d in reversed(range(self.dims)):
+            self.stride[d] = step
+            at = at + (F.col(f"i{d}") - F.col(f"t{d}") * tile[d] + halo[d]) * step
+            step *= tile[d] + 4 * halo[d] + 1  # wide enough that no lookup reaches the next line
+        self.window = Window.partitionBy(*[f"t{d}" for d in range(self.dims)]).orderBy(at)
+
+    def fixed(self, value: Column, steps: Sequence[int]) -> Column:
+        """A struct with the value of the cell ``steps`` further, null if it isn't there."""
+        k = sum(n * m for n, m in zip(steps, self.stride, strict=True))
+        return F.first(F.struct(value.alias("v"))).over(self.window.rangeBetween(k, k))
+
+    def offsets(self, taps: Sequence[Sequence[int]]) -> list[tuple[int, ...]]:
+        """The fixed offsets that taps need: with ``edge`` also all between them and the cell itself."""
+        if self.border != "edge":
+            return sorted({tuple(t) for t in taps})
+        return sorted({x for t in taps for x in product(*[range(min(0, n), max(0, n) + 1) for n in t])})
+
+    def value(self, found: dict[tuple[int, ...], Column], tap: Sequence[int]) -> Column:
+        """The tap's value by the border's rule, from the structs at the fixed offsets.
+
+        Of a cell that isn't there it is null (``skip``) or the constant; beyond
+        the array that of the nearest cell (``edge``), null if that is absent.
+        """
+        if self.border == "edge":
+            chosen = F
+            for x in self.offsets([tap]):
+                inside = fold(lambda a, b: a & b, [self._clamped(d, n, k) for d, (n, k) in enumerate(zip(tap, x, strict=True))])
+                chosen = chosen.when(inside, found[x]["v"])
+            return chosen
+        at = found[tuple(tap)]
+        return F.when(at.isNull(), F.lit(self.constant)).otherwise(at["v"]) if self.border == "constant" else at["v"]
+
+    def _clamped(self, d: int, n: int, k: int) -> Column:
+        """Whether ``n`` steps along a dimension, stopped at the array's border, are ``k``."""
+        i, last = F.col(f"i{d}"), self.extent[d] - 1
+        if k == n:
+            return (i + n >= 0) & (i + n <= last)
+        return (i + k == 0) if n < 0 else (i + k == last)
+
+
+def stencil(buffer: Buffer, taps: Sequence[Sequence[int]], combine: Callable[[dict[tuple[int, ...], Column]], Column], border: str = "skip", constant: object = 0.0, name: str = "v", tile: Sequence[int] | None = None) -> Buffer:
+    """A value from each cell's neighbours at fixed offsets, in one to three dimensions: ``combine`` gets a column for each of ``taps``.
+
+    Neighbours are found by coordinate (see Near): cells that aren't there count
+    as beyond the array, null cells are null. One shuffle, of each cell once
+    (and a halo), and one sort inside tiles.
+    """
+    (v,) = buffer.values
+    dims = len(buffer.keys)
+    halo = [max(abs(t[d]) for t in taps) for d in range(dims)]
+    near = Near(halo, tile, buffer.extent() if border == "edge" else (), border, constant)
+    df = tiled(buffer, halo, tile)
+    offsets = near.offsets(taps)
+    df = df.select("*", *[near.fixed(F.col(v), x).alias(f"_n{k}") for k, x in enumerate(offsets)])
+    found = {x: F.col(f"_n{k}") for k, x in enumerate(offsets)}
+    out = combine({tuple(t): near.value(found, t) for t in taps})
+    return Buffer(df.where("inner").select(*buffer.keys, out.alias(name)), buffer.shape, (name,))
+
+
+def _in_tiles(buffer: Buffer, low: Sequence[int], high: Sequence[int], border: str, constant: float, name: str, tile: Sequence[int] | None, f: Callable[[np.ndarray, tuple[np.ndarray, ...]], np.ndarray]) -> Buffer:
+    """Values of each tile's cells from an array of the tile and its halo: ``f(array, places)``.
+
+    Absent cells and, with ``skip``, those beyond the array are 0 in it (the
+    constant with ``constant``); null cells are not a number, and so is what they
+    reach, which comes back as null.
     """
     if border not in BORDERS:
         raise ValueError(f"border is one of {BORDERS}")
     (v,) = buffer.values
-    reach = [max(abs(t[d]) for t in taps) for d in (0, 1)]
-    df = tiled(buffer, reach, tile)
-    rows = sorted({a for a, _ in taps})
-    df = df.select("*", *[neighbour(v, 0, a, border, constant).alias(f"_r{k}") for k, a in enumerate(rows)])
-    places = {t: f"_n{k}" for k, t in enumerate(taps)}
-    df = df.select("*", *[neighbour(f"_r{rows.index(a)}", 1, b, border, constant).alias(places[a, b]) for a, b in taps])
-    out = combine({t: F.col(c) for t, c in places.items()})
-    return Buffer(df.where("inner").select("i0", "i1", out.alias(name)), buffer.shape, (name,))
+    keys, dims = buffer.keys, len(buffer.keys)
+    extent = buffer.extent() if border == "edge" else None
+    size = tuple(tile or tile_of_dims(dims))[:dims]
+    empty = constant if border == "constant" else 0.0
 
-
-def separable(buffer: Buffer, weights: Sequence[Sequence[float]], first: Sequence[int], border: str = "constant", name: str = "v", tile: Sequence[int] = TILE) -> Buffer:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        inner = pdf[pdf["inner"]]
+        if inner.empty:
+            return pd.DataFrame({k: pd.Series(dtype="int64") for k in keys} | {name: pd.Series(dtype="float64")})
+        corner = [int(pdf[f"t{d}"].iat[0]) * size[d] - low[d] for d in range(dims)]
+        have = np.full([n + a + b for n, a, b in zip(size, low, high, strict=True)], float(empty))
+        at = [pdf[k].to_numpy() - c for k, c in zip(keys, corner, strict=True)]
+        ok = np.logical_and.reduce([(x >= 0) & (x < n) for x, n in zip(at, have.shape, strict=True)])
+        have[tuple(x[ok] for x in at)] = pdf["v"].to_numpy(float)[ok]
+        if extent:
+            for d in range(dims):  # beyond the array: the nearest cell in it
+                have = have.take(np.clip(np.arange(have.shape[d]), -corner[d], extent[d] - 1 - corner[d]), axis=d)
+        places = tuple(inner[k].to_numpy() - c for k, c in zip(keys, corner, strict=True))
+        return pd.DataFrame({k: inner[k].to_numpy() for k in keys} | {name: f(have, places)})
+
+    cells = buffer.with_df(buffer.df.select(*keys, F.col(v).cast("double").alias("v")), ("v",))
+    df = tiled(cells, [max(x) for x in zip(low, high, strict=True)], size)
+    kinds = ", ".join(f"{k} long" for k in keys)
+    return Buffer(df.groupBy(*[f"t{d}" for d in range(dims)]).applyInPandas(run, f"{kinds}, {name} double"), buffer.shape, (name,))
+
+
+def separable(buffer: Buffer, weights: Sequence[Sequence[float]], first: Sequence[int], border: str = "constant", name: str = "v", tile: Sequence[int] | None = None) -> Buffer:
     """A weighted sum over a box whose weights are products of one list for each dimension.
 
-    ``first`` is the offset of each list's first weight. It takes one window
-    expression for each weight instead of one for each cell of the box.
+    ``first`` is the offset of each list's first weight. Each tile, with its
+    halo, is one array in a task, summed along one dimension after another.
     """
-    (v,) = buffer.values
-    reach = [max(abs(f), abs(f + len(w) - 1)) for f, w in zip(first, weights, strict=True)]
-    df = tiled(buffer, reach, tile)
-    for dim in (0, 1):
-        near = [neighbour(v if dim == 0 else "_s0", dim, first[dim] + k, border) * F.lit(float(w)) for k, w in enumerate(weights[dim])]
-        df = df.withColumn(f"_s{dim}", fold(lambda a, b: a + b, near))
-    return Buffer(df.where("inner").select("i0", "i1", F.col("_s1").alias(name)), buffer.shape, (name,))
+    low = [max(0, -f) for f in first]
+    high = [max(0, f + len(w) - 1) for f, w in zip(first, weights, strict=True)]
+
+    def run(have: np.ndarray, places: tuple[np.ndarray, ...]) -> np.ndarray:
+        for d, (w, f) in enumerate(zip(weights, first, strict=True)):
+            out = np.zeros_like(have)
+            for k, x in enumerate(w, f):
+                here, there = [slice(None)] * have.ndim, [slice(None)] * have.ndim
+                n = have.shape[d]
+                here[d], there[d] = slice(max(0, -k), n - max(0, k)), slice(max(0, k), n - max(0, -k))
+                out[tuple(here)] += x * have[tuple(there)]
+            have = out
+        return have[places]
+
+    return _in_tiles(buffer, low, high, border, 0.0, name, tile, run)
 
 
-def dense_stencil(buffer: Buffer, weights: np.ndarray, first: Sequence[int], border: str = "constant", constant: float = 0.0, name: str = "v", tile: Sequence[int] = TILE) -> Buffer:
+def dense_stencil(buffer: Buffer, weights: np.ndarray, first: Sequence[int], border: str = "constant", constant: float = 0.0, name: str = "v", tile: Sequence[int] | None = None) -> Buffer:
     """A weighted sum over a box of any weights, in arrays: for boxes too large for a window expression a cell.
 
-    ``first`` is the offset of ``weights[0, 0]``. Each tile, with its halo, is
-    one array in a task; with ``skip`` cells beyond the array count as 0.
+    ``first`` is the offset of the first weight. Each tile, with its halo, is one
+    array in a task.
     """
-    if border not in BORDERS:
-        raise ValueError(f"border is one of {BORDERS}")
-    (v,) = buffer.values
     weights = np.asarray(weights, float)
     low = [max(0, -f) for f in first]
     high = [max(0, f + n - 1) for f, n in zip(first, weights.shape, strict=True)]
-    mode = {"mode": "edge"} if border == "edge" else {"mode": "constant", "constant_values": constant if border == "constant" else 0.0}
-    tile = tuple(tile)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        inner = pdf[pdf["inner"]]
-        if inner.empty:
-            return pd.DataFrame({"i0": [], "i1": [], name: []})
-        i, j = pdf["i0"].to_numpy(), pdf["i1"].to_numpy()
-        (a, b), (c, d) = (i.min(), i.max()), (j.min(), j.max())
-        have = _dense(pdf["i0"] - a, pdf["i1"] - c, pdf["v"], b - a + 1, d - c + 1)
-        p, q = inner["i0"].to_numpy(), inner["i1"].to_numpy()
-        # What the tile lacks of its halo lies beyond the array.
-        lack = [(max(0, low[0] - (p.min() - a)), max(0, high[0] - (b - p.max()))), (max(0, low[1] - (q.min() - c)), max(0, high[1] - (d - q.max())))]
-        have = np.pad(have, lack, **mode)
-        at0, at1 = p - a + lack[0][0] + first[0], q - c + lack[1][0] + first[1]
-        out = np.zeros(len(p))
-        for x in range(weights.shape[0]):
-            for y in range(weights.shape[1]):
-                if weights[x, y]:
-                    out += weights[x, y] * have[at0 + x, at1 + y]
-        return pd.DataFrame({"i0": p, "i1": q, name: out})
-
-    cells = buffer.with_df(buffer.df.select("i0", "i1", F.col(v).cast("double").alias("v")), ("v",))
-    df = tiled(cells, [max(lo, hi) for lo, hi in zip(low, high, strict=True)], tile)
-    return Buffer(df.groupBy("t0", "t1").applyInPandas(run, f"i0 long, i1 long, {name} double"), buffer.shape, (name,))
+    def run(have: np.ndarray, places: tuple[np.ndarray, ...]) -> np.ndarray:
+        out = np.zeros(len(places[0]))
+        for x in np.argwhere(weights):
+            out += weights[tuple(x)] * have[tuple(p + f + k for p, f, k in zip(places, first, x, strict=True))]
+        return out
+
+    return _in_tiles(buffer, low, high, border, constant, name, tile, run)
 
 
 def update(current: Buffer, written: Buffer) -> Buffer:
@@ -289,6 +355,7 @@ def scan(df: DataFrame, order: str, value: str, name: str = "scan", by: Sequence
 
 
 def growing_mean(rows: DataFrame, order: str, value: str, name: str = "v", by: Sequence[str] = (), block: int = 65_536) -> DataFrame:
-    """The mean of all earlier cells along a dense coordinate that starts at 0 (null at 0)."""
+    """The mean of all earlier cells along a coordinate (null at the first): of those that are there and not null."""
     out = scan(rows, order, value, "_sum", by, inclusive=False, block=block)
-    return out.withColumn(name, F.when(F.col(order) > 0, F.col("_sum") / F.col(order))).drop("_sum")
+    out = scan(out.withColumn("_one", F.when(F.col(value).isNotNull(), 1).otherwise(0)), order, "_one", "_n", by, inclusive=False, block=block)
+    return out.withColumn(name, F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n"))).drop("_sum", "_n", "_one")

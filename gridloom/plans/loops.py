@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.buffer import Buffer
-from ..operators.kernels import TILE, neighbour, tiled
+from ..operators.kernels import Near, tiled
 from ..sources.storage import shared_dir
 
 
@@ -47,29 +47,35 @@ def until(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], measure
     raise RuntimeError(f"the loop did not end in {most} steps: the last value is {value}")
 
 
-def supersteps(buffer: Buffer, step: Callable[[Callable[[str, int, int], Column], int], dict[str, Column]], steps: int, reach: int = 1, border: str = "edge", per: int = 4, tile: Sequence[int] = TILE) -> Buffer:
-    """Steps of a two-dimensional stencil with several values, ``per`` steps for each shuffle.
+def supersteps(buffer: Buffer, step: Callable[[Callable[[str, int, int], Column], int], dict[str, Column]], steps: int, reach: int = 1, border: str = "edge", per: int = 4, tile: Sequence[int] | None = None) -> Buffer:
+    """Steps of a stencil with several values, in one to three dimensions, ``per`` steps for each shuffle.
 
     ``step(near, t)`` gives the new values; ``near(value, dim, offset)`` is a
     neighbour along an axis. Tiles get a halo of ``per * reach`` cells, whose
     outer part goes stale step by step while the tile itself stays right; after
     ``per`` steps the tiles are cut anew and the plan with them.
     """
-    values = list(buffer.values)
+    values, dims = list(buffer.values), len(buffer.keys)
+    extent = buffer.extent()
+    tiles = [f"t{d}" for d in range(dims)]
     state, t = buffer, 0
     while t < steps:
         k = min(per, steps - t)
-        df = tiled(state, [k * reach] * 2, tile)
+        halo = [k * reach] * dims
+        df = tiled(state, halo, tile)
+        look = Near(halo, tile, extent, border)
         for s in range(k):
-            asked: dict[tuple[str, int, int], str] = {}
+            asked: dict[tuple[str, tuple[int, ...]], str] = {}
 
-            def near(value: str, dim: int, offset: int, asked=asked) -> Column:
-                return F.col(asked.setdefault((value, dim, offset), f"_{len(asked)}"))
+            def near(value: str, dim: int, offset: int, asked=asked, look=look) -> Column:
+                tap = tuple(offset if d == dim else 0 for d in range(dims))
+                found = {x: F.col(asked.setdefault((value, x), f"_{len(asked)}")) for x in look.offsets([tap])}
+                return look.value(found, tap)
 
             new = step(near, t + s)
-            df = df.select("*", *[neighbour(v, d, o, border).alias(c) for (v, d, o), c in asked.items()])
-            df = df.select("i0", "i1", "t0", "t1", "inner", *[new.get(v, F.col(v)).alias(v) for v in values])
+            df = df.select("*", *[look.fixed(F.col(v), x).alias(c) for (v, x), c in asked.items()])
+            df = df.select(*buffer.keys, *tiles, "inner", *[new.get(v, F.col(v)).alias(v) for v in values])
         t += k
-        out = df.where("inner").select("i0", "i1", *values)
+        out = df.where("inner").select(*buffer.keys, *values)
         state = buffer.with_df(cut(out) if t < steps else out)
     return state

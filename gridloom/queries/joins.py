@@ -121,6 +121,53 @@ def neighbourhood_along_axes(spark, d):
     return out.df.select("i0", "i1", rounded("v").alias("v"))
 
 
+@query("""with e as (select event_id as i0, value as v from events), top as (select max(i0) as n from e), offs as (select range - 2 as a from range(4))
+select x.i0, round(sum(y.v * (a + 3)), 6) + 0.0 as v from e x, top, offs join e y on y.i0 = least(n, greatest(0, x.i0 + a)) group by x.i0""")
+def neighbourhood_1d(spark, d):
+    """Four cells of a line, weighted; beyond its ends the nearest one."""
+    out = kernels.stencil(events(spark, d), [(-2,), (-1,), (0,), (1,)], lambda near: sum(near[(a,)] * (a + 3) for a in (-2, -1, 0, 1)), "edge")
+    return out.df.select("i0", rounded("v").alias("v"))
+
+
+#: An embedding as 8 × 8 cells of a third dimension.
+CUBE = f"{CELLS}, cube as (select i0, i1 // 8 as i1, i1 % 8 as i2, v from cells)"
+STAR = [(0, 0, 0), (-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
+
+
+def cube(spark, d):
+    b = cells(spark, d)
+    return Buffer(b.df.select("i0", F.floor(F.col("i1") / 8).alias("i1"), (F.col("i1") % 8).alias("i2"), "v"), (None, 8, 8))
+
+
+@query(f"""with {CUBE}, offs as (select * from (values {", ".join(map(str, STAR))}) t(a, b, c))
+select x.i0, x.i1, x.i2, round(sum(case when a = 0 and b = 0 and c = 0 then -6 * y.v else coalesce(y.v, 0.5) end), 6) + 0.0 as v
+from cube x cross join offs left join cube y on y.i0 = x.i0 + a and y.i1 = x.i1 + b and y.i2 = x.i2 + c group by all""")
+def neighbourhood_3d(spark, d):
+    """The seven-point Laplacian, with a half beyond the array."""
+    out = kernels.stencil(cube(spark, d), STAR, lambda near: _sum(near, STAR[1:]) - 6 * near[0, 0, 0], "constant", 0.5)
+    return out.df.select("i0", "i1", "i2", rounded("v").alias("v"))
+
+
+@query(f"""with {CELLS}, h as (select * from cells where (i0 * 7 + i1 * 3) % 5 <> 0), offs as (select * from (values (0, -1), (0, 1), (-1, 0), (1, 0), (1, 1)) t(a, b))
+select x.i0, x.i1, round(sum(coalesce(y.v, -1)), 6) + 0.0 as v from h x cross join offs left join h y on y.i0 = x.i0 + a and y.i1 = x.i1 + b group by all""")
+def neighbourhood_over_holes(spark, d):
+    """Neighbours of an array with absent cells, found by coordinate: an absent one counts as beyond the array."""
+    b = cells(spark, d)
+    out = kernels.stencil(b.with_df(b.df.where((F.col("i0") * 7 + F.col("i1") * 3) % 5 != 0)), [(0, -1), (0, 1), (-1, 0), (1, 0), (1, 1)], _sum, "constant", -1.0)
+    return out.df.select("i0", "i1", rounded("v").alias("v"))
+
+
+@query(f"""with {CELLS}, h as (select i0, i1, case when (i0 + i1) % 4 <> 1 then v end as v from cells), top as (select max(i0) as n from h), offs as (select * from (values (0, 1, 'r'), (-1, 0, 'u')) t(a, b, k))
+select x.i0, x.i1, max(case when k = 'r' then round(y.v, 6) + 0.0 end) as right_, max(case when k = 'u' then round(y.v, 6) + 0.0 end) as up
+from h x, top, offs left join h y on y.i0 = least(n, greatest(0, x.i0 + a)) and y.i1 = least(63, greatest(0, x.i1 + b)) group by x.i0, x.i1""")
+def neighbourhood_null_cells(spark, d):
+    """A null cell is in the array: its neighbours see null, not the nearest other value."""
+    b = cells(spark, d)
+    b = b.with_df(b.df.withColumn("v", F.when((F.col("i0") + F.col("i1")) % 4 != 1, F.col("v"))))
+    out = kernels.stencil(b, [(0, 1), (-1, 0)], lambda near: F.struct(near[0, 1].alias("right_"), near[-1, 0].alias("up")), "edge")
+    return out.df.select("i0", "i1", rounded("v.right_").alias("right_"), rounded("v.up").alias("up"))
+
+
 @query(f"""with {CELLS}, offs as (select a.range - 2 as a, b.range - 1 as b, ((a.range * 4 + b.range) % 7 - 3) / 10.0::double as w from range(5) a, range(4) b)
 select x.i0, x.i1, round(sum(w * coalesce(y.v, 0)), 6) + 0.0 as v from cells x cross join offs left join cells y on y.i0 = x.i0 + a and y.i1 = x.i1 + b group by all""")
 def neighbourhood_dense(spark, d):

@@ -196,3 +196,38 @@ def test_until_says_when_its_steps_are_not_enough(spark):
     df = spark.createDataFrame([(0, 1.0)], "i0 long, v double")
     with pytest.raises(RuntimeError, match="did not end in 2 steps"):
         until(df, lambda s, t: s.withColumn("v", F.col("v") / 2), lambda s: F.max("v"), lambda m: m < 0.2, most=2)
+
+
+@pytest.mark.parametrize("border", ["skip", "edge", "constant"])
+@pytest.mark.parametrize("shape", [(29,), (13, 11), (7, 6, 9)])
+def test_stencils_of_any_dimension_over_holes_and_nulls(spark, shape, border):
+    """Against plain Python; tiles are small, cells absent, and others null."""
+    rng = np.random.default_rng(len(shape))
+    dims = len(shape)
+    cells = {at: (None if rng.random() < 0.2 else float(round(rng.normal(), 3))) for at in np.ndindex(*shape) if rng.random() < 0.8 or not any(at) or at == tuple(n - 1 for n in shape)}
+    kinds = ", ".join(f"i{d} long" for d in range(dims))
+    buffer = Buffer(spark.createDataFrame([(*map(int, at), v) for at, v in cells.items()], f"{kinds}, v double"), shape)
+    taps = [tuple(int(rng.integers(-2, 3)) for _ in range(dims)) for _ in range(4)]
+    out = kernels.stencil(buffer, taps, lambda near: F.array(*[near[t] for t in taps]), border, 9.5, tile=(8, 8, 8))
+    got = {tuple(r[:-1]): list(r[-1]) for r in out.df.select(*buffer.keys, "v").collect()}
+
+    def want(at, t):
+        there = tuple(a + b for a, b in zip(at, t, strict=True))
+        if border == "edge":
+            there = tuple(min(n - 1, max(0, x)) for x, n in zip(there, shape, strict=True))
+        return cells[there] if there in cells else 9.5 if border == "constant" else None
+
+    assert got == {at: [want(at, t) for t in taps] for at in cells}
+
+
+def test_separable_over_holes(spark):
+    rng = np.random.default_rng(3)
+    image = rng.normal(size=(14, 17))
+    gone = rng.random(image.shape) < 0.3
+    b = from_host(spark, image)
+    keep = spark.createDataFrame([(int(i), int(j)) for i, j in np.argwhere(~gone)], "i0 long, i1 long")
+    out = kernels.separable(b.with_df(b.df.join(keep, ["i0", "i1"])), [[1.0, 2.0, -1.0], [0.5, 1.0]], [-1, 0], tile=(8, 8))
+    full = np.pad(np.where(gone, 0, image), 2)
+    want = sum(x * y * full[2 + a : 16 + a, 2 + c : 19 + c] for a, x in ((-1, 1.0), (0, 2.0), (1, -1.0)) for c, y in ((0, 0.5), (1, 1.0)))
+    got = {(r.i0, r.i1): r.v for r in out.df.collect()}
+    assert got.keys() == {tuple(x) for x in np.argwhere(~gone).tolist()} and all(abs(want[k] - v) < 1e-9 for k, v in got.items())
