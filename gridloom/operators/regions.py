@@ -265,15 +265,86 @@ def cells_of(boxes: DataFrame, dims: int) -> DataFrame:
     return out.select(*[F.col(f"i{d}").cast("long").alias(f"i{d}") for d in range(dims)]).distinct()
 
 
-def merge_intervals(intervals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Gaps and islands: the union of ``intervals(lo, hi)`` within each ``by``, as (by…, lo, hi)."""
+def merge_intervals(intervals: DataFrame, by: Sequence[str] = (), width: int | None = None) -> DataFrame:
+    """Gaps and islands: the union of ``intervals(lo, hi)`` within each ``by``, as (by…, lo, hi).
+
+    With ``width`` intervals are cut at its multiples and merged in each piece;
+    pieces that touch a cut are then joined again. So no task holds more of a
+    ``by``, or of a relation without any, than one piece of it and the seams.
+    """
+    some = intervals.where("lo < hi").select(*by, "lo", "hi")
+    if width is None:
+        return _islands(some, by)
+    piece = F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("_p")
+    cut = some.select(*by, "lo", "hi", piece).select(*by, "_p", F.greatest("lo", F.col("_p") * width).alias("lo"), F.least("hi", (F.col("_p") + 1) * width).alias("hi"))
+    inner = _islands(cut, [*by, "_p"])
+    seam = (F.col("lo") == F.col("_p") * width) | (F.col("hi") == (F.col("_p") + 1) * width)
+    return inner.where(~seam).drop("_p").unionByName(_islands(inner.where(seam).drop("_p"), by))
+
+
+def _islands(intervals: DataFrame, by: Sequence[str]) -> DataFrame:
     order = Window.partitionBy(*by).orderBy("lo", "hi")
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = intervals.where("lo < hi").withColumn("_new", F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0))
+    marked = intervals.withColumn("_new", F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0))
     island = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return island.groupBy(*by, "_island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_island")
 
 
+def _slabs(boxes: DataFrame, width: int, by: Sequence[str]) -> DataFrame:
+    """Two-dimensional boxes cut along dimension 0 wherever, near them, any begins or ends: ``lo0, hi0`` beside the rest.
+
+    Boxes go to each run of ``width`` coordinates that they reach; cuts are
+    those of the boxes of the run, so that a box meets at most ``width`` cuts.
+    """
+    run = F.explode(F.sequence(F.floor(F.col("min0") / width), F.floor((F.col("max0") - 1) / width))).alias("_run")
+    cut = boxes.where("min0 < max0 and min1 < max1").select("*", run)
+    cut = cut.withColumn("min0", F.greatest("min0", F.col("_run") * width)).withColumn("max0", F.least("max0", (F.col("_run") + 1) * width))
+    ends = cut.select(*by, "_run", F.explode(F.array("min0", "max0")).alias("lo0")).distinct()
+    ends = ends.withColumn("hi0", F.lead("lo0").over(Window.partitionBy(*by, "_run").orderBy("lo0"))).where("hi0 is not null")
+    return cut.join(ends, [*by, "_run"]).where("lo0 >= min0 and lo0 < max0").drop("min0", "max0", "_run")
+
+
+def overlay(a: DataFrame, b: DataFrame, width: int = 64, by: Sequence[str] = ()) -> DataFrame:
+    """Two relations of two-dimensional boxes cut into disjoint ones that are each inside or outside of both throughout.
+
+    Returns (by…, min0, max0, min1, max1, in_a, in_b) in canonical form: runs are
+    longest in dimension 1 first, then in dimension 0. It sweeps boxes, never
+    cells: cuts along dimension 0 in runs of about ``width`` coordinates (say,
+    ten usual extents), depths along dimension 1 as running sums, and joins of
+    equal neighbours. Every window is within a cut or a pair of ends.
+    """
+    both = a.select(*by, "min0", "max0", "min1", "max1", F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(b.select(*by, "min0", "max0", "min1", "max1", F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    slabs = _slabs(both, width, by)
+    slab = [*by, "lo0", "hi0"]
+    steps = slabs.select(*slab, F.explode(F.array(F.struct(F.col("min1").alias("x"), F.col("_a").alias("a"), F.col("_b").alias("b")), F.struct(F.col("max1").alias("x"), (-F.col("_a")).alias("a"), (-F.col("_b")).alias("b")))).alias("e"))
+    steps = steps.groupBy(*slab, F.col("e.x").alias("lo1")).agg(F.sum("e.a").alias("a"), F.sum("e.b").alias("b"))
+    along = Window.partitionBy(*slab).orderBy("lo1")
+    depth = steps.select(*slab, "lo1", F.lead("lo1").over(along).alias("hi1"), (F.sum("a").over(along) > 0).alias("in_a"), (F.sum("b").over(along) > 0).alias("in_b"))
+    return _joined(depth.where("in_a or in_b"), by, ["in_a", "in_b"])
+
+
+def _joined(pieces: DataFrame, by: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """Pieces (lo0, hi0, lo1, hi1) with equal labels joined along dimension 1, then 0."""
+
+    def runs(df: DataFrame, group: Sequence[str], lo: str, hi: str) -> DataFrame:
+        w = Window.partitionBy(*group).orderBy(lo)
+        new = df.withColumn("_new", (F.coalesce(F.lag(hi).over(w) != F.col(lo), F.lit(True))).cast("int")).withColumn("_island", F.sum("_new").over(w))
+        return new.groupBy(*group, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("_island")
+
+    flat = runs(pieces, [*by, "lo0", "hi0", *labels], "lo1", "hi1")
+    out = runs(flat, [*by, "lo1", "hi1", *labels], "lo0", "hi0")
+    return out.select(*by, F.col("lo0").alias("min0"), F.col("hi0").alias("max0"), F.col("lo1").alias("min1"), F.col("hi1").alias("max1"), *labels)
+
+
+def combine_regions(a: DataFrame, b: DataFrame, keep: Column, width: int = 64, by: Sequence[str] = ()) -> DataFrame:
+    """The canonical boxes of the cells for which ``keep`` (of ``in_a`` and ``in_b``) holds: union, intersection, difference."""
+    kept = overlay(a, b, width, by).where(keep)
+    # Parts that only one label kept apart belong together now: their slabs are cut alike, and joined again.
+    again = kept.select(*by, "min0", "max0", "min1", "max1", F.lit(0).alias("_one"))
+    slabs = _slabs(again, width, by).select(*by, "lo0", "hi0", F.col("min1").alias("lo1"), F.col("max1").alias("hi1"))
+    return _joined(slabs, by, [])
+
+
 def overlap(a: str, b: str, dims: int = 1) -> Column:
     """Whether the boxes of two aliased relations overlap."""
     out = F.lit(True)
@@ -282,37 +353,81 @@ def overlap(a: str, b: str, dims: int = 1) -> Column:
     return out
 
 
-def intersections(a: DataFrame, b: DataFrame, dims: int, by: Sequence[str] = ()) -> DataFrame:
-    """The non-empty intersections of boxes of two relations with equal ``by``."""
-    x, y = a.alias("a"), b.alias("b")
-    on = overlap("a", "b", dims)
-    for c in by:
-        on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    cols = [f(F.col(f"a.{k}{d}"), F.col(f"b.{k}{d}")).alias(f"{k}{d}") for d in range(dims) for k, f in (("min", F.greatest), ("max", F.least))]
-    return x.join(y, on).select(*[F.col(f"a.{c}") for c in by], *cols)
+def intersections(a: DataFrame, b: DataFrame, dims: int, width: int | Sequence[int] = 64, by: Sequence[str] = ()) -> DataFrame:
+    """The non-empty intersections of boxes of two relations with equal ``by``.
+
+    An equi-join: boxes go to each bucket of ``width`` coordinates (of each
+    dimension) that they reach, and two meet in the first that they share.
+    """
+    widths = [width] * dims if isinstance(width, int) else list(width)
 
+    def dealt(x: DataFrame, mark: str) -> DataFrame:
+        for d, w in enumerate(widths):
+            x = x.where(f"min{d} < max{d}").withColumn(f"_bucket{d}", F.explode(F.sequence(F.floor(F.col(f"min{d}") / w), F.floor((F.col(f"max{d}") - 1) / w))))
+        return x.select(*by, *[f"_bucket{d}" for d in range(dims)], *[F.col(f"{k}{d}").alias(f"{mark}{k}{d}") for d in range(dims) for k in ("min", "max")])
 
-def interval_join(a: DataFrame, b: DataFrame, width: int, by: Sequence[str] = ()) -> DataFrame:
+    both = dealt(a, "a_").join(dealt(b, "b_"), [*by, *[f"_bucket{d}" for d in range(dims)]])
+    lo = [F.greatest(f"a_min{d}", f"b_min{d}") for d in range(dims)]
+    hi = [F.least(f"a_max{d}", f"b_max{d}") for d in range(dims)]
+    for d, w in enumerate(widths):
+        both = both.where((lo[d] < hi[d]) & (F.floor(lo[d] / w) == F.col(f"_bucket{d}")))
+    return both.select(*by, *[c.alias(f"{k}{d}") for d in range(dims) for k, c in (("min", lo[d]), ("max", hi[d]))])
+
+
+def interval_join(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The overlaps of intervals ``a(by…, lo, hi, …)`` with ``b(by…, lo, hi, …)``: by…, lo, hi of the overlap, and both rests.
 
-    An equi-join instead of a loop over pairs: intervals go to each bucket of
-    ``width`` coordinates that they reach, and two meet in the first that they
-    share. ``width`` should be about the usual length of an interval. Columns
-    other than by, lo and hi must differ between the two.
+    An equi-join instead of a loop over pairs. An interval belongs to the power
+    of two that is at least its length, and there lies in one or two buckets of
+    that width; two of different size classes meet in buckets of the larger
+    width, and two overlap only if they share one. The size classes (64 at most)
+    are found first: an interval goes to two buckets for its own class and each
+    larger one of the other side, however long the longest is. Columns other than by, lo and hi must
+    differ between the two.
     """
 
-    def dealt(x: DataFrame, mark: str) -> DataFrame:
+    def sized(x: DataFrame, mark: str) -> DataFrame:
         x = x.where("lo < hi").withColumnsRenamed({"lo": f"_lo{mark}", "hi": f"_hi{mark}"})
-        last = F.floor((F.col(f"_hi{mark}") - 1) / width)
-        return x.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(f"_lo{mark}") / width), last)))
+        return x.withColumn(f"_class{mark}", F.ceil(F.log2((F.col(f"_hi{mark}") - F.col(f"_lo{mark}")).cast("double"))).cast("int"))
 
-    both = dealt(a, "a").join(dealt(b, "b"), [*by, "_bucket"]).where("_loa < _hib and _lob < _hia")
+    x, y = sized(a, "a"), sized(b, "b")
+
+    def classes(s: DataFrame, mark: str) -> list[int]:
+        return sorted(r[0] for r in s.select(f"_class{mark}").distinct().collect())
+
+    def dealt(s: DataFrame, mark: str, others: list[int]) -> DataFrame:
+        above = F.filter(F.array(*[F.lit(c) for c in others]).cast("array<int>"), lambda c: c > F.col(f"_class{mark}"))
+        s = s.withColumn("_class", F.explode(F.concat(F.array(f"_class{mark}"), above)))
+        wide = F.pow(F.lit(2.0), F.col("_class")).cast("long")
+        return s.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(f"_lo{mark}") / wide), F.floor((F.col(f"_hi{mark}") - 1) / wide))))
+
+    both = dealt(x, "a", classes(y, "b")).join(dealt(y, "b", classes(x, "a")), [*by, "_class", "_bucket"]).where("_loa < _hib and _lob < _hia and _class = greatest(_classa, _classb)")
     lo = F.greatest("_loa", "_lob")
-    first = both.where(F.floor(lo / width) == F.col("_bucket"))
+    first = both.where(F.floor(lo / F.pow(F.lit(2.0), F.col("_class")).cast("long")) == F.col("_bucket"))
     rest = [c for c in (*a.columns, *b.columns) if c not in (*by, "lo", "hi")]
     return first.select(*by, lo.alias("lo"), F.least("_hia", "_hib").alias("hi"), *rest)
 
 
+def overwrite_runs(updates: DataFrame, order: str, value: str, width: int = 1024, by: Sequence[str] = ()) -> DataFrame:
+    """A map of runs: what ``updates(by…, lo, hi, order, value)`` leave, each one overwriting those of lower order, as (by…, lo, hi, value).
+
+    Runs stay runs: within pieces of ``width`` coordinates they are cut where
+    any begins or ends, and each part keeps its last writer; neighbours with
+    equal values are one run again.
+    """
+    run = F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("_run")
+    cut = updates.where("lo < hi").select(*by, "lo", "hi", F.col(order).alias("_at"), F.col(value).alias("_value"), run)
+    cut = cut.withColumn("lo", F.greatest("lo", F.col("_run") * width)).withColumn("hi", F.least("hi", (F.col("_run") + 1) * width))
+    # Of runs with equal ends only the last writer counts.
+    cut = cut.groupBy(*by, "_run", "lo", "hi").agg(F.max(F.struct("_at", "_value")).alias("_last"))
+    ends = cut.select(*by, "_run", F.explode(F.array("lo", "hi")).alias("_x")).distinct()
+    ends = ends.withColumn("_y", F.lead("_x").over(Window.partitionBy(*by, "_run").orderBy("_x"))).where("_y is not null")
+    parts = cut.join(ends, [*by, "_run"]).where("_x >= lo and _x < hi").groupBy(*by, "_x", "_y").agg(F.max("_last")["_value"].alias(value))
+    w = Window.partitionBy(*by, value).orderBy("_x")
+    new = parts.withColumn("_new", F.coalesce(F.lag("_y").over(w) != F.col("_x"), F.lit(True)).cast("int")).withColumn("_island", F.sum("_new").over(w))
+    return new.groupBy(*by, value, "_island").agg(F.min("_x").alias("lo"), F.max("_y").alias("hi")).select(*by, "lo", "hi", value)
+
+
 def overwrite(current: DataFrame, updates: DataFrame, key: Sequence[str], order: str, value: str = "value") -> DataFrame:
     """Last writer by cell: ``current(key, value)`` overwritten by ``updates(key, order, value)``, clamped to it.
 

@@ -12,47 +12,49 @@ from ..operators.regions import Box
 from ..sources.files import table
 from .common import WIDTH, cells, query
 
-#: Boxes of two sets of parts: a corner and an extent from their numbers.
-_A = "a as (select p_partkey * 7 % 60 as min0, p_partkey * 11 % 50 as min1, p_partkey * 7 % 60 + p_size % 5 + 1 as max0, p_partkey * 11 % 50 + p_size % 4 + 1 as max1 from part where p_partkey % 4 = 0)"
-_B = _A.replace("a as", "b as").replace("= 0)", "= 1)")
+#: Boxes of two sets, of all parts and of all customers: a corner and an extent from their numbers, on a grid that grows with them.
+_A = "a as (select p_partkey as min0, p_partkey * 11 % 97 as min1, p_partkey + p_size % 5 + 1 as max0, p_partkey * 11 % 97 + p_size % 40 + 1 as max1 from part)"
+_B = "b as (select c_custkey as min0, c_custkey * 13 % 97 as min1, c_custkey + c_nationkey % 7 + 1 as max0, c_custkey * 13 % 97 + c_custkey % 30 + 1 as max1 from customer)"
+#: Both sets as cells, to count by; the boxes that the operators return are checked by what they cover.
 _CELLS = "{0}c as (select distinct unnest(range(min0, max0)) as i0, i1 from (select min0, max0, unnest(range(min1, max1)) as i1 from {0}))"
 _SETS = f"with {_A}, {_B}, {_CELLS.format('a')}, {_CELLS.format('b')}"
 
 
-def _boxes(spark, d, rest: int) -> DataFrame:
+def _boxes_a(spark, d) -> DataFrame:
     k, s = F.col("p_partkey"), F.col("p_size")
-    p = table(spark, d, "part").where(k % 4 == rest)
-    lo0, lo1 = k * 7 % 60, k * 11 % 50
-    return p.select(lo0.alias("min0"), lo1.alias("min1"), (lo0 + s % 5 + 1).alias("max0"), (lo1 + s % 4 + 1).alias("max1"))
+    return table(spark, d, "part").select(k.alias("min0"), (k * 11 % 97).alias("min1"), (k + s % 5 + 1).alias("max0"), (k * 11 % 97 + s % 40 + 1).alias("max1"))
 
 
-def _both(spark, d) -> tuple[DataFrame, DataFrame]:
-    return regions.cells_of(_boxes(spark, d, 0), 2), regions.cells_of(_boxes(spark, d, 1), 2)
+def _boxes_b(spark, d) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select(k.alias("min0"), (k * 13 % 97).alias("min1"), (k + F.col("c_nationkey") % 7 + 1).alias("max0"), (k * 13 % 97 + k % 30 + 1).alias("max1"))
 
 
-@query(f"{_SETS} select * from ac union select * from bc")
+#: Canonical boxes in SQL, from cells: runs along dimension 1, then equal runs along dimension 0.
+_CANON = """f as (select i0, min(i1) as min1, max(i1) + 1 as max1 from (select i0, i1, i1 - row_number() over (partition by i0 order by i1) as g from {0}) group by i0, g)
+select min(i0) as min0, max(i0) + 1 as max0, min1, max1 from (select *, i0 - row_number() over (partition by min1, max1 order by i0) as g from f) group by min1, max1, g"""
+
+
+@query(f"{_SETS}, x as (select * from ac union select * from bc), {_CANON.format('x')}")
 def region_union(spark, d):
-    a, b = _both(spark, d)
-    return a.union(b).distinct()
+    """The canonical boxes of all cells of either set."""
+    return regions.combine_regions(_boxes_a(spark, d), _boxes_b(spark, d), F.col("in_a") | F.col("in_b"))
 
 
-@query(f"{_SETS} select * from ac intersect select * from bc")
+@query(f"{_SETS}, x as (select * from ac intersect select * from bc), {_CANON.format('x')}")
 def region_intersection(spark, d):
-    a, b = _both(spark, d)
-    return a.intersect(b)
+    return regions.combine_regions(_boxes_a(spark, d), _boxes_b(spark, d), F.col("in_a") & F.col("in_b"))
 
 
-@query(f"{_SETS} select * from ac except select * from bc")
+@query(f"{_SETS}, x as (select * from ac except select * from bc), {_CANON.format('x')}")
 def region_difference(spark, d):
-    a, b = _both(spark, d)
-    return a.subtract(b)
+    return regions.combine_regions(_boxes_a(spark, d), _boxes_b(spark, d), F.col("in_a") & ~F.col("in_b"))
 
 
-@query(f"{_SETS} select *, (max0 - min0) * (max1 - min1) as area from (select greatest(a.min0, b.min0) as min0, least(a.max0, b.max0) as max0, greatest(a.min1, b.min1) as min1, least(a.max1, b.max1) as max1 from a, b where a.min0 < b.max0 and b.min0 < a.max0 and a.min1 < b.max1 and b.min1 < a.max1)")
+@query(f"with {_A}, {_B} select *, (max0 - min0) * (max1 - min1) as area from (select greatest(a.min0, b.min0) as min0, least(a.max0, b.max0) as max0, greatest(a.min1, b.min1) as min1, least(a.max1, b.max1) as max1 from a, b where a.min0 < b.max0 and b.min0 < a.max0 and a.min1 < b.max1 and b.min1 < a.max1)")
 def box_intersections(spark, d):
-    """Overlaps of two sets of boxes, of the parts that share nothing but their area."""
-    a, b = _boxes(spark, d, 0), F.broadcast(_boxes(spark, d, 1))
-    out = regions.intersections(a, b, 2)
+    """Overlaps of two sets of boxes: an equi-join in buckets of both dimensions."""
+    out = regions.intersections(_boxes_a(spark, d), _boxes_b(spark, d), 2, (16, 64))
     return out.withColumn("area", (F.col("max0") - F.col("min0")) * (F.col("max1") - F.col("min1")))
 
 
@@ -88,22 +90,33 @@ def bounding_boxes(spark, d):
     return table(spark, d, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("min0"), (F.max("p_partkey") + 1).alias("max0"), F.min("p_size").alias("min1"), (F.max("p_size") + 1).alias("max1"))
 
 
-@query(f"{_SETS}, o as (select i0, i1, case when a and b then 'ab' when a then 'a' else 'b' end as owners from (select i0, i1, bool_or(s = 'a') as a, bool_or(s = 'b') as b from (select *, 'a' as s from ac union all select *, 'b' from bc) group by all)) select owners, count(*) as n, min(i0) as min0, max(i0) + 1 as max0 from o group by 1")
+@query(f"""{_SETS}, o as (select i0, i1, case when a and b then 'ab' when a then 'a' else 'b' end as owners from (select i0, i1, bool_or(s = 'a') as a, bool_or(s = 'b') as b from (select *, 'a' as s from ac union all select *, 'b' from bc) group by all)),
+f as (select owners, i0, min(i1) as min1, max(i1) + 1 as max1 from (select *, i1 - row_number() over (partition by owners, i0 order by i1) as g from o) group by owners, i0, g)
+select owners, min(i0) as min0, max(i0) + 1 as max0, min1, max1 from (select *, i0 - row_number() over (partition by owners, min1, max1 order by i0) as g from f) group by owners, min1, max1, g""")
 def region_owners(spark, d):
-    """Overlapping regions split into parts that have the same owners throughout."""
-    a, b = _both(spark, d)
-    owned = a.withColumn("s", F.lit("a")).unionByName(b.withColumn("s", F.lit("b")))
-    owned = owned.groupBy("i0", "i1").agg(F.concat_ws("", F.array_sort(F.collect_set("s"))).alias("owners"))
-    return owned.groupBy("owners").agg(F.count("*").alias("n"), F.min("i0").alias("min0"), (F.max("i0") + 1).alias("max0"))
+    """Overlapping regions split into boxes that have the same owners throughout."""
+    out = regions.overlay(_boxes_a(spark, d), _boxes_b(spark, d))
+    owners = F.when(F.col("in_a") & F.col("in_b"), "ab").when(F.col("in_a"), "a").otherwise("b")
+    return out.select(owners.alias("owners"), "min0", "max0", "min1", "max1")
 
 
 @query(f"""with {_RUNS}, u as (select event_id as i0, max(hi) as reach from events join i on event_id >= lo and event_id < hi group by 1)
 select event_id as i0, coalesce(reach, -1) as value from events left join u on i0 = event_id""")
 def region_map(spark, d):
     """A map over the events' ids, updated by runs of ids (a later run ends further on), then with a default where none came."""
-    ids = table(spark, d, "events").select(F.col("event_id").alias("i0"), F.lit(-1).cast("long").alias("value"))
-    runs = _runs(spark, d).where("lo < hi").select(F.explode(F.sequence("lo", F.col("hi") - 1)).alias("i0"), F.col("hi").alias("at"), F.col("hi").alias("new"))
-    return regions.overwrite(ids, runs.withColumnRenamed("new", "value"), ["i0"], "at")
+    runs = _runs(spark, d).select("lo", "hi", F.col("hi").alias("at"), F.col("hi").alias("value"))
+    held = regions.overwrite_runs(runs, "at", "value")
+    ids = table(spark, d, "events").select(F.col("event_id").alias("lo"), (F.col("event_id") + 1).alias("hi"), F.col("event_id").alias("i0"))
+    found = regions.interval_join(ids, held).select("i0", "value")
+    return ids.select("i0").join(found, "i0", "left").select("i0", F.coalesce("value", F.lit(-1)).alias("value"))
+
+
+@query(f"""with {_RUNS}, m as (select *, max(hi) over (order by lo, hi rows between unbounded preceding and 1 preceding) as reach from i where lo < hi),
+n as (select *, sum(case when reach is null or lo > reach then 1 else 0 end) over (order by lo, hi rows unbounded preceding) as island from m)
+select min(lo) as lo, max(hi) as hi from n group by island""")
+def merge_all_intervals(spark, d):
+    """The union of all runs of order numbers, in pieces of a bounded width."""
+    return regions.merge_intervals(_runs(spark, d), width=512)
 
 
 @query("""select greatest(o_orderkey, p_partkey * 7) as lo, least(o_orderkey + 3 + o_custkey % 40, p_partkey * 7 + p_size) as hi, o_custkey as value, p_partkey as asked
@@ -113,7 +126,7 @@ def region_values(spark, d):
     o, p = table(spark, d, "orders"), table(spark, d, "part")
     held = o.select(F.col("o_orderkey").alias("lo"), (F.col("o_orderkey") + 3 + F.col("o_custkey") % 40).alias("hi"), F.col("o_custkey").alias("value"))
     asked = p.select((F.col("p_partkey") * 7).alias("lo"), (F.col("p_partkey") * 7 + F.col("p_size")).alias("hi"), F.col("p_partkey").alias("asked"))
-    return regions.interval_join(held, asked, 32)
+    return regions.interval_join(held, asked)
 
 
 @query("select event_id as i0, floor(value / 10) as v, round((floor(value) % 7) - 3, 6) + 0.0 as w from events")

@@ -39,3 +39,4 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
 def test_small_sides_are_broadcast_and_large_ones_not(spark, sf_dir):
     assert "BroadcastNestedLoopJoin" not in plan_of(QUERIES["one_to_one"](spark, sf_dir))
     assert "CartesianProduct" not in "".join(plan_of(QUERIES[n](spark, sf_dir)) for n in ("contrast_stretch", "fixed_box", "whole_buffer", "box_intersections"))
+    assert "BroadcastNestedLoopJoin" not in "".join(plan_of(QUERIES[n](spark, sf_dir)) for n in ("box_intersections", "region_union", "region_map", "region_values"))

@@ -7,6 +7,7 @@ import random
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gridloom.operators.regions import (
     Box,
@@ -14,11 +15,16 @@ from gridloom.operators.regions import (
     RegionBuilder,
     RegionMap,
     bounding_box,
+    combine_regions,
     connected_bounding_boxes,
     dissected,
     interval_join,
+    intersections,
+    merge_intervals,
     merged_intervals,
     merged_overlapping,
+    overlay,
+    overwrite_runs,
     split_overlapping,
 )
 
@@ -131,11 +137,57 @@ def test_region_map_is_last_writer(updates, asked):
     assert got == {c: v for c, v in truth.items() if c in cells([asked])}
 
 
-@pytest.mark.parametrize("width", [1, 7, 1000])
-def test_interval_join(spark, width):
-    rng = random.Random(width)
-    a = [(rng.randrange(2), x, x + rng.randrange(0, 9), k) for k in range(40) for x in [rng.randrange(60)]]
-    b = [(rng.randrange(2), x, x + rng.randrange(0, 30), k) for k in range(20) for x in [rng.randrange(60)]]
-    out = interval_join(spark.createDataFrame(a, "g int, lo long, hi long, x int"), spark.createDataFrame(b, "g int, lo long, hi long, y int"), width, ["g"])
+@pytest.mark.parametrize("longest", [1, 30, 100_000])
+def test_interval_join(spark, longest):
+    rng = random.Random(longest)
+    a = [(rng.randrange(2), x, x + rng.randrange(0, 9), k) for k in range(40) for x in [rng.randrange(60)]] + [(0, -5, longest - 5, 99)]
+    b = [(rng.randrange(2), x, x + rng.randrange(0, 30), k) for k in range(20) for x in [rng.randrange(60)]] + [(0, -longest, 3, 77)]
+    out = interval_join(spark.createDataFrame(a, "g int, lo long, hi long, x int"), spark.createDataFrame(b, "g int, lo long, hi long, y int"), ["g"])
     want = sorted((g, max(lo, p), min(hi, q), x, y) for g, lo, hi, x in a for h, p, q, y in b if g == h and max(lo, p) < min(hi, q))
     assert sorted(map(tuple, out.select("g", "lo", "hi", "x", "y").collect())) == want
+
+
+BOXES = "min0 long, max0 long, min1 long, max1 long"
+
+
+def relation(spark, bs):
+    return spark.createDataFrame([(b.min[0], b.max[0], b.min[1], b.max[1]) for b in bs], BOXES)
+
+
+@pytest.mark.parametrize("width", [3, 64])
+def test_relations_of_boxes_have_the_canonical_regions(spark, width):
+    """Against the algebra of the driver, with empty and equal boxes."""
+    rng = random.Random(width)
+    a, b = ([Box.at((rng.randrange(-9, 20), rng.randrange(-9, 20)), (rng.randrange(0, 9), rng.randrange(1, 7))) for _ in range(25)] for _ in "ab")
+    x, y = Region.of(*a), Region.of(*b)
+    rx, ry = relation(spark, a + a[:3]), relation(spark, b)
+    in_a, in_b = F.col("in_a"), F.col("in_b")
+    for keep, want in ((in_a | in_b, x | y), (in_a & in_b, x & y), (in_a & ~in_b, x - y), (in_a & in_a, x)):
+        got = combine_regions(rx, ry, keep, width)
+        assert sorted(Box((r.min0, r.min1), (r.max0, r.max1)) for r in got.collect()) == list(want.boxes)
+    owned = overlay(rx, ry, width).collect()
+    assert sum((r.max0 - r.min0) * (r.max1 - r.min1) for r in owned) == (x | y).area
+    got = sorted((r.min0, r.min1, r.max0, r.max1) for r in intersections(rx, ry, 2, width).collect())
+    assert got == sorted((*c.min, *c.max) for p in a + a[:3] for q in b if not (c := p & q).empty)
+    assert combine_regions(rx.where("false"), ry.where("false"), in_a | in_b).collect() == []
+
+
+def test_runs_overwrite_runs(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(2), x, x + rng.randrange(0, 25), k, rng.randrange(4)) for k in range(60) for x in [rng.randrange(-20, 90)]]
+    truth = {}
+    for g, lo, hi, _, v in rows:
+        truth |= {(g, i): v for i in range(lo, hi)}
+    for width in (7, 1024):
+        out = overwrite_runs(spark.createDataFrame(rows, "g int, lo long, hi long, at int, v int"), "at", "v", width, ["g"]).collect()
+        assert {(r.g, i): r.v for r in out for i in range(r.lo, r.hi)} == truth and sum(r.hi - r.lo for r in out) == len(truth)
+        assert not {(r.g, r.hi, r.v) for r in out} & {(r.g, r.lo, r.v) for r in out}
+
+
+@pytest.mark.parametrize("width", [4, 50, None])
+def test_intervals_are_merged_in_pieces(spark, width):
+    rng = random.Random(5)
+    rows = [(rng.randrange(3), x, x + rng.choice([0, 1, 3, 40])) for _ in range(80) for x in [rng.randrange(-50, 400)]]
+    got = merge_intervals(spark.createDataFrame(rows, "g int, lo long, hi long"), ["g"], width)
+    want = [(g, *i) for g in range(3) for i in merged_intervals((lo, hi) for h, lo, hi in rows if h == g)]
+    assert sorted((r.g, r.lo, r.hi) for r in got.collect()) == sorted(want)
