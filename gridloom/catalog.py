@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .queries import common, folds, joins, maps, programs, regions
+from .queries import common, driver, folds, joins, maps, programs, regions
 
-MODULES = (maps, joins, folds, regions, programs)
+MODULES = (maps, joins, folds, regions, programs, driver)
 QUERIES = common.QUERIES
 ORACLES = common.ORACLES

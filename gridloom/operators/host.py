@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import copy
+import math
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Generic, TypeVar
@@ -29,23 +31,32 @@ class Partition:
     size: int
 
 
-def partitioned(buffer: Buffer, parts: int, f: Callable[[Partition, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Runs ``f(partition, cells)`` for ``parts`` even runs of the first dimension.
+#: Cells of a run that a task gets, about, where the number of runs isn't given.
+RUN_CELLS = 1_000_000
 
-    Each task gets its run's cells in order; ``parts`` should be such that a run
-    fits a worker's memory.
+
+def partitioned(buffer: Buffer, parts: int | None, f: Callable[[Partition, pd.DataFrame], pd.DataFrame], schema: str, offset: Sequence[int] | None = None, extent: Sequence[int] | None = None) -> DataFrame:
+    """Runs ``f(partition, cells)`` for ``parts`` even runs of the first dimension, of a box if ``extent`` is given.
+
+    Each task gets its run's cells in order, as one frame; without ``parts``
+    runs have about RUN_CELLS cells. Coordinates stay absolute, and the
+    partition's offset is that of its first one.
     """
-    n = buffer.extent()[0]
+    first = offset[0] if offset else 0
+    if extent is not None:
+        buffer = buffer.box(offset or [0] * len(extent), extent)
+    n, *inner = buffer.extent()
+    parts = parts or max(1, -(-n * math.prod(inner) // RUN_CELLS))
     bounds = even_bounds(n, parts)
     from .splits import run_of
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         k = int(pdf["_part"].iat[0])
         lo, hi = bounds[k]
-        return f(Partition(k, lo, hi - lo, n), pdf.drop(columns="_part").sort_values(keys, ignore_index=True))
+        return f(Partition(k, first + lo, hi - lo, n), pdf.drop(columns="_part").sort_values(keys, ignore_index=True))
 
     keys = buffer.keys
-    return buffer.df.withColumn("_part", run_of("i0", n, parts)).groupBy("_part").applyInPandas(run, schema)
+    return buffer.df.withColumn("_part", run_of(F.col("i0") - first, n, parts)).groupBy("_part").applyInPandas(run, schema)
 
 
 def each_item(buffer: Buffer, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -84,15 +95,23 @@ class HostObject(Generic[T]):
         self.log.append(name or getattr(f, "__name__", "task"))
         return f(self.value)
 
+    def snapshot(self) -> T:
+        """A copy that later tasks don't change."""
+        return copy.deepcopy(self.value)
+
 
 def once(f: Callable[[], T]) -> T:
     """A task that runs one time, on the driver."""
     return f()
 
 
-def fence(buffer: Buffer, offset=None, extent=None) -> Future:
-    """A snapshot of a box (all, if None), made in the background."""
-    return _BACKGROUND.submit(buffer.snapshot, offset, extent)
+def fence(of: Buffer | HostObject, offset=None, extent=None) -> Future:
+    """A snapshot of a buffer's box (all, if None), made in the background; of a host object what it holds now."""
+    if isinstance(of, HostObject):
+        out: Future = Future()
+        out.set_result(of.snapshot())
+        return out
+    return _BACKGROUND.submit(of.snapshot, offset, extent)
 
 
 def windowed(buffer: Buffer, parts: int) -> DataFrame:

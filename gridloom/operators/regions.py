@@ -19,9 +19,11 @@ class Box:
     max: tuple[int, ...]
 
     def __post_init__(self):
-        if any(a >= b for a, b in zip(self.min, self.max, strict=True)):
-            object.__setattr__(self, "min", (0,) * len(self.min))
-            object.__setattr__(self, "max", (0,) * len(self.min))
+        for a, b in zip(self.min, self.max, strict=True):
+            if a >= b:
+                object.__setattr__(self, "min", (0,) * len(self.min))
+                object.__setattr__(self, "max", (0,) * len(self.min))
+                return
 
     @classmethod
     def at(cls, offset: Sequence[int], extent: Sequence[int]) -> Box:
@@ -44,7 +46,27 @@ class Box:
 
     @property
     def empty(self) -> bool:
-        return self.area == 0
+        return bool(self.min) and self.min[0] >= self.max[0]  # an empty box is all zeros
+
+    def meets(self, other: Box) -> bool:
+        """Whether both share a cell."""
+        for a, b, c, d in zip(self.min, self.max, other.min, other.max):  # noqa: B905
+            if a >= d or c >= b:
+                return False
+        return True
+
+    def less(self, other: Box) -> list[Box]:
+        """Disjoint boxes of what is outside of another box that meets this one."""
+        out, lo, hi = [], self.min, self.max
+        for d in range(len(lo)):
+            a, b = other.min[d], other.max[d]
+            if lo[d] < a:
+                out.append(Box(lo, (*hi[:d], a, *hi[d + 1 :])))
+                lo = (*lo[:d], a, *lo[d + 1 :])
+            if b < hi[d]:
+                out.append(Box((*lo[:d], b, *lo[d + 1 :]), hi))
+                hi = (*hi[:d], b, *hi[d + 1 :])
+        return out
 
     def covers(self, other: Box) -> bool:
         return other.empty or self & other == other
@@ -105,23 +127,33 @@ class Region:
 
     @classmethod
     def of(cls, *boxes: Box) -> Region:
+        if len(boxes) == 1:
+            return cls(() if boxes[0].empty else boxes)
         return cls(tuple(_sweep([list(boxes)], lambda m: m[0])))
 
     def _with(self, other: Region, keep: Callable[[tuple[bool, ...]], bool]) -> Region:
         return Region(tuple(_sweep([self.boxes, other.boxes], keep)))
 
     def __or__(self, other: Region) -> Region:
-        return self._with(other, any)
+        if self == other or not other.boxes:
+            return self
+        return self._with(other, any) if self.boxes else other
 
     def __and__(self, other: Region) -> Region:
-        return self._with(other, all)
+        if self == other:
+            return self
+        if len(self.boxes) == len(other.boxes) == 1:
+            return Region.of(self.boxes[0] & other.boxes[0])
+        return self._with(other, all) if self.overlaps(other) else Region(())
 
     def __sub__(self, other: Region) -> Region:
-        return self._with(other, lambda m: m[0] and not m[1])
+        if self == other:
+            return Region(())
+        return self._with(other, lambda m: m[0] and not m[1]) if self.overlaps(other) else self
 
     def overlaps(self, other: Region) -> bool:
         """Whether both share a cell; it compares boxes and makes none."""
-        return any(all(lo < y and x < hi for lo, hi, x, y in zip(a.min, a.max, b.min, b.max, strict=True)) for a in self.boxes for b in other.boxes)
+        return any(a.meets(b) for a in self.boxes for b in other.boxes)
 
     @property
     def empty(self) -> bool:
@@ -220,39 +252,56 @@ def split_overlapping(regions: Sequence[Region]) -> list[Region]:
 
 
 class RegionMap:
-    """Values of the cells of an extent: the last update of a cell counts. Updates and queries are clamped."""
+    """Values of the cells of an extent: the last update of a cell counts. Updates and queries are clamped.
+
+    It keeps disjoint boxes with their values. An update cuts only boxes that it
+    meets; boxes of equal values are joined when asked for, or when they have
+    become many.
+    """
 
     def __init__(self, shape: Sequence[int], default: object = None):
-        self.extent = Region.of(Box.full(shape))
-        self._parts: list[tuple[Region, object]] = [(self.extent, default)]
+        self.extent = Box.full(shape)
+        self._parts: list[tuple[Box, object]] = [(self.extent, default)]
+        self._many = 64
 
     def update(self, region: Region | Box, value: object) -> None:
-        region = (Region.of(region) if isinstance(region, Box) else region) & self.extent
-        same = region
-        parts = []
-        for r, v in self._parts:
-            if v == value:
-                same = same | r
-            elif not r.overlaps(region):
-                parts.append((r, v))
-            elif not (left := r - region).empty:
-                parts.append((left, v))
-        self._parts = [*parts, (same, value)] if not same.empty else parts
+        new = [c for b in ((region,) if isinstance(region, Box) else region.boxes) if not (c := b if self.extent.covers(b) else b & self.extent).empty]
+        parts = self._parts
+        for x in new:
+            kept = []
+            for part in parts:
+                b = part[0]
+                if not b.meets(x):
+                    kept.append(part)
+                elif not x.covers(b):
+                    kept += [(c, part[1]) for c in b.less(x)]
+            parts = kept
+        self._parts = parts + [(x, value) for x in new]
+        if len(self._parts) > self._many:
+            self.apply(lambda v: v)
+            self._many = max(64, 2 * len(self._parts))
+
+    def holders(self, region: Region | Box) -> list[object]:
+        """The different values in a region, in the order of their first boxes."""
+        boxes = (region,) if isinstance(region, Box) else region.boxes
+        found = [(b.min, v) for b, v in self._parts for x in boxes if b.meets(x)]
+        return list(dict.fromkeys(v for _, v in (sorted(found, key=lambda f: f[0]) if len(found) > 1 else found)))
 
     def values(self, region: Region | Box) -> list[tuple[Box, object]]:
-        region = Region.of(region) if isinstance(region, Box) else region
-        return sorted(((b, v) for r, v in self._parts if r.overlaps(region) for b in (r & region).boxes), key=lambda x: x[0])
+        boxes = (region,) if isinstance(region, Box) else region.boxes
+        found: dict[object, list[Box]] = {}
+        for b, v in self._parts:
+            for x in boxes:
+                if b.meets(x):
+                    found.setdefault(v, []).append(b & x)
+        return sorted(((b, v) for v, bs in found.items() for b in Region.of(*bs).boxes), key=lambda x: x[0])
 
     def apply(self, f: Callable[[object], object]) -> None:
         """Changes every value; parts of equal values become one."""
-        old, self._parts = self._parts, []
-        for r, v in old:
-            new = f(v)
-            at = next((i for i, (_, w) in enumerate(self._parts) if w == new), None)
-            if at is None:
-                self._parts.append((r, new))
-            else:
-                self._parts[at] = (self._parts[at][0] | r, new)
+        found: dict[object, list[Box]] = {}
+        for b, v in self._parts:
+            found.setdefault(f(v), []).append(b)
+        self._parts = [(b, v) for v, bs in found.items() for b in Region.of(*bs).boxes]
 
 
 def cells_of(boxes: DataFrame, dims: int) -> DataFrame:

@@ -19,6 +19,10 @@ def split_1d(box: Box, granularity: Sequence[int], parts: int) -> list[Box]:
     return [Box((box.min[0] + a, *box.min[1:]), (box.min[0] + b, *box.max[1:])) for a, b in bounds]
 
 
+#: What counts as a nearly square domain. The bounds of chunks must be those that users of 2-D splits know.
+SQUARE = (0.95, 1.05)
+
+
 def grid_shape(extent: Sequence[int], granularity: Sequence[int], parts: int) -> tuple[int, int]:
     """Rows and columns of the tile grid that split_2d makes.
 
@@ -32,7 +36,7 @@ def grid_shape(extent: Sequence[int], granularity: Sequence[int], parts: int) ->
         tall, wide = ((min(x, most[0]), min(y, most[1])) for x, y in ((parts // a, a), (a, parts // a)))
         if math.prod(tall) != math.prod(wide):
             pick = max(tall, wide, key=math.prod)
-        elif 0.95 < math.sqrt(extent[0] * extent[1]) / extent[0] < 1.05:
+        elif SQUARE[0] < math.sqrt(extent[0] * extent[1]) / extent[0] < SQUARE[1]:
             pick = tall
         else:
             edge = {g: extent[0] // g[0] + extent[1] // g[1] for g in (tall, wide)}

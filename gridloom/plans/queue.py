@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import SparkSession
 
 from ..operators.buffer import Buffer
-from ..operators.host import HostObject, fence
+from ..operators.host import HostObject, collective, fence
 from .loops import cut
 
 LOOKAHEADS = ("none", "automatic", "infinite")
@@ -78,13 +78,21 @@ class Queue:
             if age:
                 self.buffers[name], self._age[name] = self._cut(f"flush {name}", self.buffers[name]), 0
 
-    def wait(self) -> None:
-        """Returns when all that was submitted is made."""
+    def wait(self, barrier: bool = False) -> None:
+        """Returns when all that was submitted is made; with ``barrier`` when all executors' task slots have met as well."""
         self.flush()
-
-    def fence(self, name: str, offset=None, extent=None):
-        """A snapshot in the background of a buffer, or of a host object's value."""
-        return fence(self.buffers[name], offset, extent)
+        if barrier and self.buffers:
+            df = next(iter(self.buffers.values())).df
+            collective(df.limit(0), lambda node, nodes, rows: iter(()), max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+    def fence(self, of: str | HostObject, offset=None, extent=None):
+        """A snapshot in the background of a buffer's present version, or a copy of a host object's value after the tasks before."""
+        return fence(of if isinstance(of, HostObject) else self.buffers[of], offset, extent)
+
+    def named(self, name: str) -> Buffer:
+        """The present version of a buffer; its plan bears the name."""
+        b = self.buffers[name]
+        return b.with_df(b.df.alias(name))
 
     def host_task(self, name: str, state: HostObject, f: Callable) -> object:
         """A task on the driver, after those before it that saw the same object."""

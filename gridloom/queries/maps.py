@@ -81,7 +81,8 @@ def host_each_item(spark, d):
 
 
 @query(f"with {CELLS} select i0 - 100 as i0, i1 - 10 as i1, v from cells where i0 between 100 and 119 and i1 between 10 and 13")
-def snapshot_box(spark, d):
+def box_of_cells(spark, d):
+    """A box as a filter, counted from its corner."""
     return cells(spark, d).box([100, 10], [20, 4], rebase=True).df
 
 

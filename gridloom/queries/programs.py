@@ -13,7 +13,7 @@ from ..operators.buffer import Buffer, index_space
 from ..operators.mappers import All, Chunk, Custom, Neighborhood, OneToOne
 from ..operators.reductions import equal_everywhere, reduction
 from ..operators.regions import Box
-from ..plans.loops import iterate, supersteps, until
+from ..plans.loops import cut, iterate, supersteps, until
 from ..plans.program import Access, Program
 from ..plans.topologies import TOPOLOGIES
 from ..sources.files import load, save, scratch, table
@@ -179,20 +179,20 @@ def transposed_io(spark, d):
     return back.df.crossJoin(F.broadcast(equal_everywhere(back, m)))
 
 
-@query(f"with {CELLS} select t.range as i0, i1, round(v, 6) + 0.0 as v from cells, range(6) t where i0 = 0")
+@query(f"with {CELLS} select i0 as vec, t.range as i0, i1, round(v, 6) + 0.0 as v from cells, range(4) t")
 def radiosity(spark, d):
-    """Each row is the mean of all rows before it; the first row is an embedding."""
-    first = cells(spark, d).df.where("i0 = 0")
+    """Each row is the mean of all rows before it; the first row is an embedding, of each one."""
+    first = cells(spark, d).df.select(F.col("i0").alias("vec"), F.lit(0).cast("long").alias("i0"), "i1", "v")
 
     def step(rows, t):
-        new = rows.groupBy("i1").agg((F.sum("v") / (t + 1)).alias("v")).select(F.lit(t + 1).cast("long").alias("i0"), "i1", "v")
+        new = rows.groupBy("vec", "i1").agg((F.sum("v") / (t + 1)).alias("v")).select("vec", F.lit(t + 1).cast("long").alias("i0"), "i1", "v")
         return rows.unionByName(new)
 
-    out = iterate(first, step, 5, checkpoint_every=3)
-    return out.select("i0", "i1", rounded("v").alias("v"))
+    out = iterate(first, step, 3, checkpoint_every=2)
+    return out.select("vec", "i0", "i1", rounded("v").alias("v"))
 
 
-_SYSTEM = f"{CELLS}, n as (select count(distinct i0) as n from cells), m as (select a.i1 as i0, b.i1 as i1, sum(a.v * b.v) + case when a.i1 = b.i1 then 10 * any_value(n) else 0 end as v from cells a join cells b on a.i0 = b.i0, n group by a.i1, b.i1), b as (select p_partkey as i0, p_retailprice as y from part where p_partkey < 64)"
+_SYSTEM = f"{CELLS}, n as (select count(distinct i0) as n from cells), m as (select a.i1 as i0, b.i1 as i1, sum(a.v * b.v) + case when a.i1 = b.i1 then 10 * any_value(n) else 0 end as v from cells a join cells b on a.i0 = b.i0, n group by a.i1, b.i1), b as (select p_partkey % 64 as i0, avg(p_retailprice) as y from part group by 1)"
 
 
 def _sweep_sql(k: int) -> str:
@@ -201,11 +201,12 @@ def _sweep_sql(k: int) -> str:
 
 @query(f"with {_SYSTEM}, x0 as (select i0, 0.0::double as x from b), {_sweep_sql(1)}, {_sweep_sql(2)}, {_sweep_sql(3)} select i0, round(x, 6) + 0.0 as x from x3")
 def jacobi(spark, d):
-    """Three sweeps on the Gram matrix of the embeddings, made diagonally dominant."""
+    """Three sweeps on the Gram matrix of the embeddings, made diagonally dominant; the right side is means of all prices."""
     m = cells(spark, d)
     n = m.df.select("i0").distinct().count()
-    gram = kernels.contract(m, m, a_dim=0, b_dim=0).df.withColumn("v", F.col("v") + F.when(F.col("i0") == F.col("i1"), 10.0 * n).otherwise(0.0)).cache()
-    y = parts(spark, d).df.where("i0 < 64").select("i0", F.col("v").alias("y"))
+    gram = kernels.contract(m, m, a_dim=0, b_dim=0).df.withColumn("v", F.col("v") + F.when(F.col("i0") == F.col("i1"), 10.0 * n).otherwise(0.0))
+    gram = cut(gram)
+    y = parts(spark, d).df.groupBy((F.col("i0") % WIDTH).alias("i0")).agg(F.avg("v").alias("y"))
     diagonal = gram.where("i0 = i1").select("i0", F.col("v").alias("d"))
 
     def sweep(x, t):

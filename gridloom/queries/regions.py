@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.coordinates import linear_id
-from ..operators import regions, splits
+from ..operators import kernels, regions, splits
 from ..operators.mappers import Chunk, EvenSplit
 from ..operators.regions import Box
 from ..sources.files import table
-from .common import WIDTH, cells, query
+from .common import CELLS, WIDTH, cells, query
 
 #: Boxes of two sets, of all parts and of all customers: a corner and an extent from their numbers, on a grid that grows with them.
 _A = "a as (select p_partkey as min0, p_partkey * 11 % 97 as min1, p_partkey + p_size % 5 + 1 as max0, p_partkey * 11 % 97 + p_size % 40 + 1 as max1 from part)"
@@ -129,11 +129,12 @@ def region_values(spark, d):
     return regions.interval_join(held, asked)
 
 
-@query("select event_id as i0, floor(value / 10) as v, round((floor(value) % 7) - 3, 6) + 0.0 as w from events")
-def coordinate_arithmetic(spark, d):
-    """Arithmetic on coordinates and values of a map's regions."""
-    e = table(spark, d, "events")
-    return e.select(F.col("event_id").alias("i0"), F.floor(F.col("value") / 10).cast("double").alias("v"), F.round((F.floor("value") % 7) - 3.0, 6).alias("w"))
+@query(f"with {CELLS}, r as (select i0, i1, 255 - greatest(0, least(255, floor(v * 100)::bigint)) as v from cells) select i0, i1, case when v < 250 then 0 else v end as v from r")
+def applied_values(spark, d):
+    """A function of all values of a map; cells of equal values stay apart only by their coordinates."""
+    b = cells(spark, d)
+    b = kernels.parallel_for(b, v=F.lit(255) - F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.col("v") * 100))))
+    return kernels.parallel_for(b, v=F.when(F.col("v") < 250, 0).otherwise(F.col("v"))).df
 
 
 _SPLITS = [("1d", (128,), (1,), 4), ("1d", (13,), (1,), 5), ("1d", (80,), (16,), 3), ("1d", (96,), (48,), 3), ("2d", (128, 128), (1, 1), 4), ("2d", (100, 100), (1, 1), 6), ("2d", (128, 120), (8, 8), 4), ("2d", (64, 256), (1, 1), 8), ("2d", (256, 64), (1, 1), 8)]
@@ -148,10 +149,16 @@ def split_bounds_1d(spark, d):
     return spark.createDataFrame(rows, "fixture long, chunk long, min0 long, max0 long")
 
 
-@query("select f[1]::bigint as fixture, (a.range * f[3] + b.range)::bigint as chunk from (select unnest([[4, 2, 2], [5, 3, 2], [6, 2, 2], [7, 2, 4], [8, 4, 2]]) as f), range(4) a, range(4) b where a.range < f[2] and b.range < f[3]")
+#: Where the rows and the columns of tiles of each fixture begin and end.
+_TILES = {4: ([0, 64, 128], [0, 64, 128]), 5: ([0, 34, 67, 100], [0, 50, 100]), 6: ([0, 64, 128], [0, 64, 120]), 7: ([0, 32, 64], [0, 64, 128, 192, 256]), 8: ([0, 64, 128, 192, 256], [0, 32, 64])}
+
+
+@query(f"""with f as (select * from (values {", ".join(f"({n}, {r}, {c})" for n, (r, c) in _TILES.items())}) t(fixture, r, c)), x as (select *, unnest(range(1, len(r))) as i from f), y as (select *, unnest(range(1, len(c))) as j from x)
+select fixture::bigint as fixture, ((i - 1) * (len(c) - 1) + j - 1)::bigint as chunk, r[i]::bigint as min0, r[i + 1]::bigint as max0, c[j]::bigint as min1, c[j + 1]::bigint as max1 from y""")
 def split_bounds_2d(spark, d):
-    rows = [(n, k) for n, (kind, e, g, p) in enumerate(_SPLITS) if kind == "2d" for k, _ in enumerate(splits.split_2d(Box.full(e), g, p))]
-    return spark.createDataFrame(rows, "fixture long, chunk long")
+    """All bounds of two-dimensional splits."""
+    rows = [(n, k, b.min[0], b.max[0], b.min[1], b.max[1]) for n, (kind, e, g, p) in enumerate(_SPLITS) if kind == "2d" for k, b in enumerate(splits.split_2d(Box.full(e), g, p))]
+    return spark.createDataFrame(rows, "fixture long, chunk long, min0 long, max0 long, min1 long, max1 long")
 
 
 @query("""with n as (select (max(vec_id) + 1) // 8 as each, (max(vec_id) + 1) % 8 as more from embeddings), c as (select vec_id as i0, (generate_subscripts(embedding, 1) - 1)::bigint as i1, unnest(embedding)::double as v from embeddings)

@@ -11,7 +11,7 @@ from gridloom.catalog import QUERIES
 #: Exchanges that the plan may have (a broadcast counts apart).
 SHUFFLES = {
     "neighbourhood_edge": 1, "neighbourhood_skip": 1, "neighbourhood_along_axes": 1, "edge_detection": 1, "group_votes": 1, "group_scans": 1, "group_permute_and_select": 1, "reduction_known": 1,
-    "reduction_of_a_dimension": 1, "slice_contraction": 3, "map_sine": 0, "map_condition": 0, "transpose": 0, "linear_ids": 0, "allocation_window": 0, "snapshot_box": 0, "even_split": 1, "contrast_stretch": 1, "last_writer": 2, "merge_intervals": 1,
+    "reduction_of_a_dimension": 1, "slice_contraction": 3, "map_sine": 0, "map_condition": 0, "transpose": 0, "linear_ids": 0, "allocation_window": 0, "box_of_cells": 0, "even_split": 1, "contrast_stretch": 1, "last_writer": 2, "merge_intervals": 1,
     "dissect_intervals": 2, "joint_algorithms": 0, "index_space_2d": 0, "host_each_item": 0, "fixed_box": 1,
 }
 PYTHON = {"host_each_item"}
@@ -30,7 +30,7 @@ def test_shuffles(spark, sf_dir, name):
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
-    plan = plan_of(QUERIES["snapshot_box"](spark, sf_dir))
+    plan = plan_of(QUERIES["box_of_cells"](spark, sf_dir))
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(vec_id,100\)", plan) and "label" not in plan
     plan = plan_of(QUERIES["map_with_offset"](spark, sf_dir))
     assert "GreaterThanOrEqual(o_orderkey,100)" in plan and re.search(r"ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>", plan)
