@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, minhash, mixing, pii, toxicity
-from gridloom.llm.common import shared_dir, table
+from gridloom.llm.common import stored, table
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +42,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written to the shared folder and read again."""
+    """All stages over ``documents``; each is written to the shared folder and read again. Intermediate tables go with drop_stored().
+
+    Rows are those that each stage keeps: null and empty texts are neither toxic
+    nor anybody's near copy and stay, rows without an id too; no documents, or
+    no labels, give what the stages give (no labels: nothing is toxic). Columns
+    other than doc_id, text, source and n_chars pass through unread.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/stages/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
