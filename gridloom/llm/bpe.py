@@ -14,12 +14,12 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, lean, stored
 
 #: Characters in a chunk, and characters that it shares with the next one.
 CHUNK, OVERLAP = 32_768, 1_024
 #: Entries of a worker's cache of encoded pieces before it starts anew.
-CACHE = 120_000
+CACHE = 60_000
 
 #: A space before more white space, or at the end, joins it: such texts aren't cut at spaces.
 _AWKWARD = re.compile(r" [\s\x85]| \Z")
@@ -257,14 +257,14 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str =
     rest = [F.col(f"`{c}`") for c in (docs.columns if columns is None else columns) if c not in ("n_tokens", "ids", "ids_sha256", "decoded_sha256")]
     base = docs.select(F.struct(*rest).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     row_type = base.schema["row"].dataType.simpleString()
-    short = base.where(F.length("text") <= chunk).mapInArrow(_short(rank_file, pattern, keep_ids), f"row {row_type}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
+    short = base.where(F.length("text") <= chunk).mapInArrow(lean(_short(rank_file, pattern, keep_ids)), f"row {row_type}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
     far = base.where(F.length("text") > chunk).withColumn("key", F.sha2("text", 256))
     one = stored(far.select("key", "text").dropDuplicates(["key"]), "long-texts")
-    cut = one.mapInArrow(_cut(chunk, overlap), "key string, i int, chunk string, last boolean")
-    edges = cut.repartition("key", "i").mapInPandas(_edges(rank_file, pattern, overlap), "key string, i int, head array<int>, tail array<int>, sure int")
-    places = edges.groupBy("key").applyInPandas(_cuts(chunk), "key string, begins array<int>")
-    pieces = one.join(places, "key").select("key", "text", "begins").mapInArrow(_pieces, "key string, part int, piece string")
-    encoded = pieces.repartition("key", "part").mapInPandas(_parts(rank_file, pattern, keep_ids), "key string, part int, n long, ids string, raw binary")
+    cut = one.mapInArrow(lean(_cut(chunk, overlap)), "key string, i int, chunk string, last boolean")
+    edges = cut.repartition("key", "i").mapInPandas(lean(_edges(rank_file, pattern, overlap)), "key string, i int, head array<int>, tail array<int>, sure int")
+    places = stored(edges.groupBy("key").applyInPandas(_cuts(chunk), "key string, begins array<int>"), "places")  # a worker a task, not two
+    pieces = one.join(places, "key").select("key", "text", "begins").mapInArrow(lean(_pieces), "key string, part int, piece string")
+    encoded = pieces.repartition("key", "part").mapInPandas(lean(_parts(rank_file, pattern, keep_ids)), "key string, part int, n long, ids string, raw binary")
     joined = encoded.groupBy("key").applyInPandas(_join(keep_ids), f"key string, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
     long = far.select("row", "key").join(joined, "key").select("row", *added)
     return short.select("row", *added).unionByName(long).select("row.*", *added)

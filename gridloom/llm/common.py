@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,25 @@ def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
         spark.conf.set(name, str(most))
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, after which its worker gives free memory back to the machine: workers wait for other tasks, and keep what they once took."""
+
+    @functools.wraps(run)
+    def go(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        _give_back()
+
+    return go
+
+
 def few_or_many(df: DataFrame, most: int = 500_000) -> DataFrame:
     """``df``, stored, with a hint to broadcast it if it has at most ``most`` rows (of a few numbers); else it is shuffled."""
     df = stored(df, "side")

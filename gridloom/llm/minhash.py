@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, few_or_many, stored
+from .common import bounded_batches, components, few_or_many, lean, stored
 
 #: Words in a shingle.
 WORDS = 5
@@ -226,7 +226,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
     under RARE weigh alike. Tasks' counters are added up in two steps, by block.
     """
     kind = "block int, part int, counts binary"
-    part = docs.select(F.col(text).alias("text")).mapInArrow(_sketch, kind).groupBy("block", "part").applyInPandas(_summed, kind)
+    part = docs.select(F.col(text).alias("text")).mapInArrow(lean(_sketch), kind).groupBy("block", "part").applyInPandas(_summed, kind)
     full = stored(part.groupBy("block").applyInPandas(_summed, kind), "frequencies").collect()
     n = next((int(_wide(bytes(r.counts))[0]) for r in full if r.block < 0), 0)
     out = np.full(2 * COUNTERS, 255, np.uint8)
@@ -328,7 +328,7 @@ class NearDuplicates:
                         bands.append(bands_of(s).tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "key", "bands"])
 
-        return self.docs.mapInArrow(run, "id long, key binary, bands array<long>")
+        return self.docs.mapInArrow(lean(run), "id long, key binary, bands array<long>")
 
     def verified(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose similarity is at least ``least``."""
@@ -353,7 +353,7 @@ class NearDuplicates:
 
         side = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("y")), "b")
         both = side.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("x")), "a")
-        return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+        return both.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
     def crossed(self, members: DataFrame, texts: DataFrame) -> DataFrame:
         """Links (a, b) that join the components of open buckets ``members(key, rep, comp)``: all pairs of different components.
@@ -427,7 +427,7 @@ class NearDuplicates:
                 got = links(r["ids"], r["comps"], a, r["ids2"], r["comps2"], b)
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in got], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        return found.unionByName(stored(both.repartition("key", "block", "block2").mapInArrow(across, "a long, b long"), "links"))
+        return found.unionByName(stored(both.repartition("key", "block", "block2").mapInArrow(lean(across), "a long, b long"), "links"))
 
     def classes(self) -> DataFrame:
         """(id, component) of the documents with words."""

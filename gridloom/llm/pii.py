@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, lean, stored
 
 #: Given names by script and gender. A surrogate is another name of its list.
 GIVEN = {
@@ -402,7 +402,7 @@ def collisions(docs: DataFrame, key: bytes, text: str = "text", most: int = 1_00
         for pdf in batches:
             yield pdf.assign(surrogate=[surrogate(key, *x) for x in zip(pdf["kind"], pdf["value"], pdf["attempt"], strict=True)])
 
-    every = stored(docs.select(F.col(text).alias("text")).mapInPandas(seen, "kind string, value string, form string, room double").distinct(), "entities")
+    every = stored(docs.select(F.col(text).alias("text")).mapInPandas(lean(seen), "kind string, value string, form string, room double").distinct(), "entities")
     sparse = every.groupBy("form").agg(F.count("*").alias("n"), F.first("room").alias("room")).where(F.col("n") < F.col("room") * SPARSE).select("form", F.lit(True).alias("sparse"))
     real = every.where("kind not in ('given', 'initial')").select(F.col("value").alias("surrogate")).distinct()
     rows = every.join(sparse, "form", "left").select("kind", "value", F.coalesce("sparse", F.lit(False)).alias("sparse"), F.lit(0).alias("attempt"))
@@ -476,6 +476,6 @@ def pseudonymise(docs: DataFrame, key: bytes | None = None, text: str = "text")
 
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "pii")]
     base = docs.select(F.struct(*rest, F.lit(0).alias("__")).alias("row"), F.col(text).alias("text"))
-    out = base.mapInArrow(run, f"row {base.schema['row'].dataType.simpleString()}, text string, pii array<struct<start:int,end:int,kind:string>>")
+    out = base.mapInArrow(lean(run), f"row {base.schema['row'].dataType.simpleString()}, text string, pii array<struct<start:int,end:int,kind:string>>")
     cols = [F.col("text").alias(text) if c == text else F.col(f"row.`{c}`") for c in docs.columns if c != "pii"]
     return out.select(*cols, "pii")

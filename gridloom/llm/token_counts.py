@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import bounded_batches
+from .common import bounded_batches, lean
 
 #: Entries of the broadcast table, at most; and of a worker's cache before it starts anew.
 FREQUENT, CACHE = 65_536, 600_000
@@ -102,7 +102,7 @@ def frequent_units(docs: DataFrame, text: str = "text", most: int = FREQUENT) ->
     2**-16 of them. The table only speeds up the lookup: counts of tokens don't
     depend on it.
     """
-    part = docs.select(F.col(text).alias("text")).mapInArrow(_frequent, "unit string, n long")
+    part = docs.select(F.col(text).alias("text")).mapInArrow(lean(_frequent), "unit string, n long")
     top = part.groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(most)
     return [r.unit for r in top.select("unit").collect()]
 
@@ -139,5 +139,5 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 20
 
     rest = [F.col(f"`{x}`") for x in (docs.columns if columns is None else columns) if x not in ("n_bytes", "n_tokens", "over_limit")]
     base = docs.select(F.struct(*rest).alias("row"), F.col(text).alias("text"), F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"))
-    out = base.mapInArrow(run, f"row {base.schema['row'].dataType.simpleString()}, n_bytes long, n_tokens long")
+    out = base.mapInArrow(lean(run), f"row {base.schema['row'].dataType.simpleString()}, n_bytes long, n_tokens long")
     return out.select("row.*", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, few_or_many, stored
+from .common import bounded_batches, few_or_many, lean, stored
 
 #: Places of the hashed weight vector.
 PLACES = 1 << 18
@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         keep = keep | ((F.col("label") == label) & (order < int((1 << 40) * min(1.0, sample / n))))
     picked = known.where(keep).withColumn("order", order)
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(few_or_many(picked), "id")
-    bags = stored(texts.select("order", "label", "text").mapInPandas(_bags, "order long, label int, flat array<int>, lengths array<int>, n long"), "bags")
+    bags = stored(texts.select("order", "label", "text").mapInPandas(lean(_bags), "order long, label int, flat array<int>, lengths array<int>, n long"), "bags")
     upto = bags.select("order", "label", "n", F.sum("n").over(Window.partitionBy("label").orderBy("order")).alias("upto"))
     for r in upto.groupBy("label").agg(F.max(F.when(F.col("upto") <= MOST, F.col("order"))).alias("last"), F.sum("n").alias("all")).collect():
         if r["all"] > MOST:
@@ -200,5 +200,5 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", columns:
     names = [c for c in (docs.columns if columns is None else columns) if c not in ("score", "predicted", "offending")]
     inside = names.index(text) if text in names else None  # the text then travels once
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *([F.col(text).alias("text")] if inside is None else []))
-    out = base.mapInArrow(run, f"row {base.schema['row'].dataType.simpleString()}, score double, offending array<struct<start:int,end:int,score:double>>")
+    out = base.mapInArrow(lean(run), f"row {base.schema['row'].dataType.simpleString()}, score double, offending array<struct<start:int,end:int,score:double>>")
     return out.select("row.*", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "offending")
