@@ -457,12 +457,13 @@ def interval_join(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFra
     return first.select(*by, lo.alias("lo"), F.least("_hia", "_hib").alias("hi"), *rest)
 
 
-def overwrite_runs(updates: DataFrame, order: str, value: str, width: int = 1024, by: Sequence[str] = ()) -> DataFrame:
+def overwrite_runs(updates: DataFrame, order: str, value: str, width: int = 64, by: Sequence[str] = ()) -> DataFrame:
     """A map of runs: what ``updates(by…, lo, hi, order, value)`` leave, each one overwriting those of lower order, as (by…, lo, hi, value).
 
     Runs stay runs: within pieces of ``width`` coordinates they are cut where
     any begins or ends, and each part keeps its last writer; neighbours with
-    equal values are one run again.
+    equal values are one run again. ``width`` should be about the usual length
+    of a run: a run meets all cuts of its pieces.
     """
     run = F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("_run")
     cut = updates.where("lo < hi").select(*by, "lo", "hi", F.col(order).alias("_at"), F.col(value).alias("_value"), run)

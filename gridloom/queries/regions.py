@@ -105,7 +105,7 @@ select event_id as i0, coalesce(reach, -1) as value from events left join u on i
 def region_map(spark, d):
     """A map over the events' ids, updated by runs of ids (a later run ends further on), then with a default where none came."""
     runs = _runs(spark, d).select("lo", "hi", F.col("hi").alias("at"), F.col("hi").alias("value"))
-    held = regions.overwrite_runs(runs, "at", "value")
+    held = regions.overwrite_runs(runs, "at", "value", width=32)
     ids = table(spark, d, "events").select(F.col("event_id").alias("lo"), (F.col("event_id") + 1).alias("hi"), F.col("event_id").alias("i0"))
     found = regions.interval_join(ids, held).select("i0", "value")
     return ids.select("i0").join(found, "i0", "left").select("i0", F.coalesce("value", F.lit(-1)).alias("value"))
