@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -457,22 +459,34 @@ def interval_join(a: DataFrame, b: DataFrame, by: Sequence[str] = ()) -> DataFra
     return first.select(*by, lo.alias("lo"), F.least("_hia", "_hib").alias("hi"), *rest)
 
 
-def overwrite_runs(updates: DataFrame, order: str, value: str, width: int = 64, by: Sequence[str] = ()) -> DataFrame:
+def overwrite_runs(updates: DataFrame, order: str, value: str, width: int = 4096, by: Sequence[str] = ()) -> DataFrame:
     """A map of runs: what ``updates(by…, lo, hi, order, value)`` leave, each one overwriting those of lower order, as (by…, lo, hi, value).
 
-    Runs stay runs: within pieces of ``width`` coordinates they are cut where
-    any begins or ends, and each part keeps its last writer; neighbours with
-    equal values are one run again. ``width`` should be about the usual length
-    of a run: a run meets all cuts of its pieces.
+    Runs stay runs: each piece of ``width`` coordinates is an array in a task, of
+    the parts between the ends of its runs, on which these are painted in their
+    order; neighbours with equal values are one run again. ``width`` should be
+    many times the usual length of a run. Of equal orders the larger value wins.
     """
     run = F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("_run")
     cut = updates.where("lo < hi").select(*by, "lo", "hi", F.col(order).alias("_at"), F.col(value).alias("_value"), run)
     cut = cut.withColumn("lo", F.greatest("lo", F.col("_run") * width)).withColumn("hi", F.least("hi", (F.col("_run") + 1) * width))
     # Of runs with equal ends only the last writer counts.
-    cut = cut.groupBy(*by, "_run", "lo", "hi").agg(F.max(F.struct("_at", "_value")).alias("_last"))
-    ends = cut.select(*by, "_run", F.explode(F.array("lo", "hi")).alias("_x")).distinct()
-    ends = ends.withColumn("_y", F.lead("_x").over(Window.partitionBy(*by, "_run").orderBy("_x"))).where("_y is not null")
-    parts = cut.join(ends, [*by, "_run"]).where("_x >= lo and _x < hi").groupBy(*by, "_x", "_y").agg(F.max("_last")["_value"].alias(value))
+    cut = cut.groupBy(*by, "_run", "lo", "hi").agg(F.max(F.struct("_at", "_value")).alias("_last")).select(*by, "_run", "lo", "hi", "_last._at", "_last._value")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields if f.name in by)
+    kind = cut.schema["_value"].dataType.simpleString()
+
+    def painted(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Runs painted one over another, over the parts between the ends of any."""
+        pdf = pdf.sort_values(["_at", "_value"], kind="stable")
+        ends = np.unique(np.concatenate([pdf["lo"], pdf["hi"]]))
+        lo, hi = np.searchsorted(ends, pdf["lo"]), np.searchsorted(ends, pdf["hi"])
+        top = np.full(len(ends) - 1, -1)
+        for k, (a, b) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
+            top[a:b] = k
+        at = np.flatnonzero(top >= 0)
+        return pd.DataFrame({c: pdf[c].iat[0] for c in by} | {"_x": ends[at], "_y": ends[at + 1], value: pdf["_value"].to_numpy()[top[at]]}, index=range(len(at)))
+
+    parts = cut.groupBy(*by, "_run").applyInPandas(painted, f"{kinds + ', ' if kinds else ''}_x long, _y long, `{value}` {kind}")
     w = Window.partitionBy(*by, value).orderBy("_x")
     new = parts.withColumn("_new", F.coalesce(F.lag("_y").over(w) != F.col("_x"), F.lit(True)).cast("int")).withColumn("_island", F.sum("_new").over(w))
     return new.groupBy(*by, value, "_island").agg(F.min("_x").alias("lo"), F.max("_y").alias("hi")).select(*by, "lo", "hi", value)
