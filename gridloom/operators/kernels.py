@@ -80,16 +80,20 @@ def transpose(buffer: Buffer) -> Buffer:
 
 
 def contract(a: Buffer, b: Buffer, a_dim: int = 1, b_dim: int = 0, name: str = "v") -> Buffer:
-    """Sums of products over a common dimension (a matrix product by default).
+    """Sums of products over a common dimension (a matrix product by default), of arrays of any dimensions.
 
-    Cells meet by an equi-join on that coordinate; products are summed before
-    the shuffle by output cell. It suits outputs of moderate size, such as a
-    Gram matrix of many rows; contract_tiled suits large square products.
+    The result has the other dimensions of ``a``, then those of ``b``, at most
+    three. Cells meet by an equi-join on the common coordinate; products are
+    summed before the shuffle by output cell. It suits outputs of moderate size,
+    such as a Gram matrix of many rows; contract_tiled suits large square
+    products.
     """
-    left = a.df.select(F.col(f"i{a_dim}").alias("k"), F.col(f"i{1 - a_dim}").alias("i0"), F.col(a.values[0]).cast("double").alias("x"))
-    right = b.df.select(F.col(f"i{b_dim}").alias("k"), F.col(f"i{1 - b_dim}").alias("i1"), F.col(b.values[0]).cast("double").alias("y"))
-    df = left.join(right, "k").groupBy("i0", "i1").agg(F.sum(F.col("x") * F.col("y")).alias(name))
-    return Buffer(df, (a.shape[1 - a_dim], b.shape[1 - b_dim]), (name,))
+    mine, theirs = ([d for d in range(len(x.shape)) if d != common] for x, common in ((a, a_dim), (b, b_dim)))
+    out = [f"i{n}" for n in range(len(mine) + len(theirs))]
+    left = a.df.select(F.col(f"i{a_dim}").alias("k"), *[F.col(f"i{d}").alias(n) for d, n in zip(mine, out, strict=False)], F.col(a.values[0]).cast("double").alias("x"))
+    right = b.df.select(F.col(f"i{b_dim}").alias("k"), *[F.col(f"i{d}").alias(n) for d, n in zip(theirs, out[len(mine) :], strict=True)], F.col(b.values[0]).cast("double").alias("y"))
+    df = left.join(right, "k").groupBy(*out).agg(F.sum(F.col("x") * F.col("y")).alias(name))
+    return Buffer(df, (*[a.shape[d] for d in mine], *[b.shape[d] for d in theirs]), (name,))
 
 
 def _dense(i: pd.Series, j: pd.Series, v: pd.Series, height: int, width: int) -> np.ndarray:

@@ -59,6 +59,13 @@ def slice_contraction(spark, d):
     return out.df.select("i0", "i1", rounded("v", 4).alias("v"))
 
 
+@query(f"with {CELLS} select a.i1 // 8 as i0, a.i1 % 8 as i1, b.i1 as i2, round(sum(a.v * b.v), 4) + 0.0 as v from cells a join cells b on a.i0 = b.i0 group by all")
+def slice_contraction_3d(spark, d):
+    """A cube and a matrix, summed over their first dimension: an array of three dimensions."""
+    out = kernels.contract(cube(spark, d), cells(spark, d), a_dim=0, b_dim=0)
+    return out.df.select("i0", "i1", "i2", rounded("v", 4).alias("v"))
+
+
 @query(f"with {CELLS} select i0, 63 - i1 as i1, round(v, 6) + 0.0 as v from cells")
 def tiled_matmul(spark, d):
     """A product with the mirrored identity, by tiles."""

@@ -10,7 +10,8 @@ from ..operators import kernels
 from ..operators.buffer import from_host, index_space, scalar
 from ..operators.host import each_item, windowed
 from ..sources.files import decoded_grey, load, save, save_grey, scratch
-from ..streaming.frames import FrameSink, read_frames
+from ..sources.images import CHANNELS, read_image, save_image
+from ..streaming.frames import FrameSink, pack_frames, read_frames, unpack_frames
 from .common import CELLS, GREY, WIDTH, byte, cells, events, orders, parts, query, rounded
 
 
@@ -118,6 +119,27 @@ def image_round_trip(spark, d):
     return decoded_grey(spark.read.parquet(path)).df
 
 
+@query(f"with {GREY} select i0, i1, v as r, 255 - v as g, ((i0 + i1) % 256)::int as b from grey")
+def colour_image_round_trip(spark, d):
+    """Interleaved channels, written as one PNG and read as an image."""
+    b, path = cells(spark, d), scratch(spark, "colours") + ".png"
+    save_image(b.with_df(b.df.select("i0", "i1", byte("v").alias("r"), (255 - byte("v")).alias("g"), ((F.col("i0") + F.col("i1")) % 256).cast("int").alias("b")), CHANNELS[3]), path)
+    return read_image(spark, path).df
+
+
+@query("select f.range as frame, p_partkey as i0, p_retailprice * pow(2, f.range) as v from part, range(3) f")
+def packed_frames(spark, d):
+    """A loop's frames in one file with a header."""
+    path = scratch(spark, "frames")
+    sink, b = FrameSink(path), parts(spark, d)
+    for _ in range(3):
+        sink.append(b)
+        b = b.with_df(b.df.withColumn("v", F.col("v") * 2))
+    sink.close()
+    pack_frames(spark, path, path + ".bin", kind="<f8")
+    return unpack_frames(spark, path + ".bin", sink.extent, "<f8")
+
+
 @query("select f.range as frame, p_partkey as i0, round(p_retailprice * pow(2, f.range), 4) as v from part, range(3) f")
 def frame_sink(spark, d):
     """A loop's frames, appended one after another to one table."""

@@ -1,13 +1,14 @@
-"""Arrays in files: Parquet in runs of the first dimension, portable grey images, and the folder that all machines share."""
+"""Arrays in files: Parquet in runs of the first dimension, portable grey images, single files of bytes, and the folder that all machines share."""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.buffer import Buffer
@@ -24,6 +25,44 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def stream_of(spark: SparkSession, path: str, write: bool = False):
+    """The Java stream of one file in any store that Spark knows, open for reading, or new for writing."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = fs.create(p, True) if write else fs.open(p)
+    try:
+        yield stream
+    finally:
+        stream.close()
+
+
+def write_bytes(spark: SparkSession, path: str, pieces: Iterator[bytes]) -> None:
+    """Writes one file, a piece at a time; what a failure left of it is removed."""
+    try:
+        with stream_of(spark, path, write=True) as out:
+            for piece in pieces:
+                out.write(piece)
+    except BaseException:
+        remove(spark, path)
+        raise
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def in_order(pieces: DataFrame, *by: str) -> Iterator[Row]:
+    """The rows one after another by ``by``, a partition of them at the driver at a time; they are made once, and stored until read."""
+    spark, path = pieces.sparkSession, scratch(pieces.sparkSession, "pieces")
+    pieces.write.parquet(path)
+    try:
+        yield from spark.read.parquet(path).repartitionByRange(*by).sortWithinPartitions(*by).toLocalIterator()
+    finally:
+        remove(spark, path)
+
+
 def save(buffer: Buffer, path: str, parts: int | None = None) -> None:
     """Writes a buffer as Parquet, in ranges of its coordinates, so that readers of a box skip the other files."""
     df = buffer.df.select(*buffer.keys, *buffer.values)

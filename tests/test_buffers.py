@@ -11,8 +11,9 @@ from gridloom.operators.buffer import Buffer, from_columns, from_host, index_spa
 from gridloom.operators.groups import Groups
 from gridloom.operators.reductions import combined, reduction
 from gridloom.plans.loops import iterate, supersteps, until
+from gridloom.sources import images
 from gridloom.sources.files import decoded_grey
-from gridloom.streaming.frames import FrameSink, read_frames, stream_frames
+from gridloom.streaming.frames import FrameSink, pack_frames, read_frames, read_header, stream_frames, unpack_frames
 
 
 def array_of(buffer, shape):
@@ -169,6 +170,71 @@ def test_images(spark):
     assert sorted(map(tuple, decoded_grey(df).df.collect())) == [(10, 0, 0), (10, 1, 1), (10, 2, 2), (11, 0, 253), (11, 1, 254), (11, 2, 255)]
 
 
+@pytest.mark.parametrize("n", [1, 3, 4])
+def test_image_files(spark, tmp_path, n, monkeypatch):
+    monkeypatch.setattr(images, "STRIP", 19 * 4)  # strips of a few lines, some without any cell
+    names, a = images.CHANNELS[n], np.random.default_rng(n).integers(0, 256, (23, 19, n))
+    a[8:16] = 0
+    i, j = (x.ravel() for x in np.indices((23, 19)))
+    rows = [(int(x), int(y), *map(int, a[x, y])) for x, y in zip(i, j, strict=True) if not 8 <= x < 16]
+    b = Buffer(spark.createDataFrame(rows, "i0 long, i1 long, " + ", ".join(f"{c} int" for c in names)), (23, 19), names)
+    path = str(tmp_path / "a.png")
+    images.save_image(b, path)
+    got = images.read_image(spark, path, n)
+    assert got.extent() == (23, 19)
+    for k, c in enumerate(names):
+        assert (array_of(got.with_df(got.df.select("i0", "i1", c), [c]), (23, 19)) == a[:, :, k]).all()
+    if n == 3:
+        grey = array_of(images.read_image(spark, path, 1), (23, 19))
+        assert (grey == (a @ np.array(images.LUMA) >> 8)).all()
+        assert images.read_image(spark, path, 4).df.where("a <> 255").isEmpty()
+    if n == 4:
+        with pytest.raises(ValueError):
+            images.save_image(b, str(tmp_path / "a.jpg"))
+        return
+    smooth = b.with_df(b.df.select("i0", "i1", *[(F.col("i0") * 5 + F.col("i1") * 3).cast("int").alias(c) for c in names]), names)
+    images.save_image(smooth, str(tmp_path / "a.jpg"))
+    back = images.read_image(spark, str(tmp_path / "a.jpg"), 1).df.where("i0 < 7 or i0 > 17").select(F.max(F.abs(F.col("v") - (F.col("i0") * 5 + F.col("i1") * 3)))).first()[0]
+    assert back < 25
+
+
+def test_what_is_no_image(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(b"no image")
+    with pytest.raises(Exception, match="no image"):
+        images.read_image(spark, str(tmp_path / "a.png")).df.collect()
+    with pytest.raises(ValueError):
+        images.save_image(index_space(spark, (2, 2), v=F.lit(1)), str(tmp_path / "a.tiff"))
+
+
+def test_packed_frames(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("gridloom.streaming.frames.PIECE", 5)
+    path, file = str(tmp_path / "frames"), str(tmp_path / "frames.bin")
+    sink, want = FrameSink(path), np.zeros((3, 3, 4), "<f4")
+    for k in range(3):
+        b = index_space(spark, (3, 4), v=F.col("i0") * 10 + F.col("i1") + 100 * k)
+        sink.append(b.with_df(b.df.where("i0 <> 1" if k else "false")))  # an empty frame, and frames with holes
+        i, j = np.indices((3, 4))
+        want[k] = np.where((i != 1) & (k > 0), i * 10 + j + 100 * k, 0)
+    assert sink.close() == 3 and read_header(spark, path) == ((3, 4), 3)
+    pack_frames(spark, path, file)
+    raw = (tmp_path / "frames.bin").read_bytes()
+    assert np.frombuffer(raw, "<u8", 2).tolist() == [3, 3] and (np.frombuffer(raw, "<f4", offset=16).reshape(3, 3, 4) == want).all()
+    got = np.zeros((3, 3, 4))
+    for r in unpack_frames(spark, file, (3, 4)).collect():
+        got[r["frame"], r["i0"], r["i1"]] = r["v"]
+    assert (got == want).all()
+    with pytest.raises(Exception, match="no file of frames"):
+        unpack_frames(spark, file, (4, 4)).collect()
+
+
+@pytest.mark.parametrize(("a", "b", "over"), [((4, 3, 5), (5, 6), (2, 0)), ((4, 3), (2, 3, 5), (1, 1)), ((4,), (4, 2, 3), (0, 0)), ((4,), (4,), (0, 0))])
+def test_products_of_any_dimensions(spark, a, b, over):
+    x, y = (np.random.default_rng(len(s)).normal(size=s) for s in (a, b))
+    want = np.tensordot(x, y, axes=([over[0]], [over[1]]))
+    got = kernels.contract(from_host(spark, x), from_host(spark, y), *over)
+    assert got.shape == want.shape and np.allclose(array_of(got, want.shape) if want.shape else got.df.first()["v"], want)
+
+
 def test_frames_as_a_stream(spark, tmp_path):
     path = str(tmp_path / "frames")
     sink = FrameSink(path)
