@@ -55,7 +55,11 @@ _NUMBER = re.compile(
 )
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _CAPITAL = "[" + "".join(c for c in map(chr, range(1 << 16)) if unicodedata.category(c) in ("Lu", "Lt")) + "]"
-_NAME = re.compile(rf"{_CAPITAL}(?:[\w'-]*\w)?\.?(?: (?:{_CAPITAL}[\w'-]*\w|{_CAPITAL}(?:\.|(?= {_CAPITAL}))|(?!I){_CAPITAL}(?!\w)))+")
+#: Words with a capital each, or one that others join to it: what has matched is not tried again, so that a run of any length takes linear time.
+_NAME = re.compile(
+    rf"{_CAPITAL}(?<!\w.)(?:(?:['-]*+\w++)*+\.?(?: (?:{_CAPITAL}(?:['-]*+\w++)++|{_CAPITAL}(?:\.|(?= {_CAPITAL}))|(?!I){_CAPITAL}(?!\w)))+"
+    r"|\w*+(?:['-]++\w++)++)"
+)
 _INITIAL = re.compile(rf"{_CAPITAL}\.?")
 _PART = re.compile("[^-]+")
 #: Words that introduce a name of two words or more, and characters of the longest.
@@ -78,7 +82,7 @@ class Entity:
 def _names(text: str) -> Iterator[Entity]:
     for m in _NAME.finditer(text):
         words, at = m[0].split(" "), m.start()
-        if at and (text[at - 1].isalnum() or text[at - 1] == "_"):
+        if len(words) == 1:
             continue
         place = []
         for w in words:

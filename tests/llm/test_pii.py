@@ -100,6 +100,19 @@ def test_prose_after_a_keyword_is_no_secret(text):
     assert find(text) == []
 
 
+@pytest.mark.parametrize("run", ["A", "A'", "A-", "A--", "0A9F3C", "AA00", "Aa.", "xA", "(", "+1 ", "a@", "password="])
+def test_runs_without_spaces_take_linear_time(run):
+    """A run of a megabyte, where trying each end of each word would take hours, hides nothing after it."""
+    text = run * (1_000_000 // len(run)) + " then Anna Smith came"
+    assert [(e.kind, e.value) for e in find(text)][-2:] == [("given", "Anna"), ("surname", "Smith")]
+
+
+def test_a_capital_inside_a_word_begins_no_name():
+    assert [e.value for e in find("iPhone Anna Smith")] == ["Anna", "Smith"]
+    assert [e.value for e in find("l'Anna Smith, --Anna Smith")] == ["Anna", "Smith"] * 2
+    assert find("_Anna Smith 9Anna Smith xAnna Smith") == []
+
+
 def test_long_values_stay_different():
     values = ["ab1" * 100 + c for c in "abcdefgh"] + [c + "ab1" * 100 for c in "bcdefgh"]
     out = [surrogate(KEY, "secret", v) for v in values]
