@@ -384,7 +384,7 @@ def replaced(text: str, key: bytes, redrawn: dict[tuple[str, str], int], cache:
 SPARSE = 1e-4
 
 
-def collisions(docs: DataFrame, key: bytes, text: str = "text", most: int = 1_000_000) -> dict[tuple[str, str], int]:
+def collisions(docs: DataFrame, key: bytes, text: str = "text", most: int = 1_000_000, draws: int = 100) -> dict[tuple[str, str], int]:
     """Attempts of entities whose surrogate would be another's, or an entity of the corpus itself: as a rule few or none.
 
     All different entities of the corpus get their surrogates. Where two agree
@@ -392,7 +392,7 @@ def collisions(docs: DataFrame, key: bytes, text: str = "text", most: int = 1_00
     entity whose surrogate really is in the corpus, in formats of which the
     corpus has a share under SPARSE (parts of names are common words, and in a
     crowded format any value may be somebody's). It goes on until nothing
-    agrees; an entity that has drawn 100 times, or over ``most`` entries, raise
+    agrees; an entity that has drawn ``draws`` times, or over ``most`` entries, raise
     an error that says to use another key.
     """
 
@@ -420,7 +420,7 @@ def collisions(docs: DataFrame, key: bytes, text: str = "text", most: int = 1_00
         if clash.isEmpty():
             break
         again = rows.join(clash, ["kind", "value"]).select("kind", "value", "sparse", (F.col("attempt") + 1).alias("attempt"))
-        if not again.where("attempt > 100").isEmpty():
+        if not again.where(F.col("attempt") > draws).isEmpty():
             raise RuntimeError("some surrogates agree however often they are drawn: use another key")
         rows = stored(rows.join(clash, ["kind", "value"], "left_anti").unionByName(again.mapInPandas(drawn, schema)), "surrogates")
     redrawn = rows.where("attempt > 0")

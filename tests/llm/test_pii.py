@@ -154,7 +154,7 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
     assert pii.collisions(docs, KEY) == {("email", "c@d.com"): 1}
     monkeypatch.setattr(pii, "surrogate", lambda *_: "same")
     with pytest.raises(RuntimeError, match="another key"):
-        pii.collisions(docs, KEY)
+        pii.collisions(docs, KEY, draws=3)
 
 
 def test_a_surrogate_is_no_entity_of_the_corpus(spark):
